@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import filled, let, strip
 
 Test = Callable[[Column], Column]
 
@@ -120,8 +120,16 @@ def first_of(nodes: Column, groups: Sequence[Group]) -> Column:
 
 def below(nodes: Column, node: Column) -> Column:
     """The node's subtree, itself included; null when the node is null."""
-    inside = F.filter(nodes, lambda x: (x["id"] >= node["id"]) & (x["id"] <= node["last"]))
-    return F.when(node.isNotNull(), inside)
+    def within(root: Column) -> Column:
+        inside = F.filter(nodes, lambda x: (x["id"] >= root["id"]) & (x["id"] <= root["last"]))
+        return F.when(root["id"].isNotNull(), inside)
+
+    return let(node, within)
+
+
+def inside(page: Column, node: Column) -> Column:
+    """As ``below``, for an untouched page array, where position equals id."""
+    return let(node, lambda root: F.slice(page, root["id"], root["last"] - root["id"] + 1))
 
 
 def text_parts(nodes: Column) -> Column:
@@ -136,8 +144,7 @@ def text_of(nodes: Column, sep: str = " ") -> Column:
 
 def first_text(nodes: Column, groups: Sequence[Group]) -> Column:
     """Text of the first group whose first match has any; null when none has."""
-    texts = [F.nullif(text_of(below(nodes, first(nodes, g))), F.lit("")) for g in groups]
-    return F.coalesce(*texts)
+    return F.coalesce(*[filled(text_of(below(nodes, first(nodes, g)))) for g in groups])
 
 
 META_ATTRS = ("property", "name", "itemprop")
@@ -149,16 +156,15 @@ def meta(nodes: Column, names: Sequence[str]) -> Column:
     For every (name, attribute) pair only the first tag counts, even if its
     content is empty; the next pair is tried then.
     """
-    tags = F.filter(nodes, lambda x: x["tag"] == "meta")
-    values = []
-    for name in names:
-        for attr in META_ATTRS:
-            tag = F.get(
-                F.filter(tags, lambda x, a=attr, n=name: F.coalesce(x["attrs"][a] == n, F.lit(False))), 0
-            )
-            content = tag["attrs"]["content"]
-            values.append(F.when(content != "", strip(content)))
-    return F.coalesce(*values)
+    def lookup(tags: Column) -> Column:
+        values = []
+        for name in names:
+            for attr in META_ATTRS:
+                tag = F.get(F.filter(tags, Step("meta", attr=attr, equals=name).test), 0)
+                values.append(let(tag["attrs"]["content"], lambda c: F.when(c != "", strip(c))))
+        return F.coalesce(*values)
+
+    return let(F.filter(nodes, lambda x: x["tag"] == "meta"), lookup)
 
 
 def subtree_roots(nodes: Column, doomed: Test) -> Column:

@@ -11,6 +11,20 @@ from pyspark.sql import Column, functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Inside a lambda every mention of an outer expression is evaluated again
+    for each element; binding it to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def filled(value: Column) -> Column:
+    """The value, or null where it is empty."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
     return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+$", "")
@@ -68,7 +82,8 @@ def ascii_fold(value: Column) -> Column:
     value = F.translate(value, "".join(single), "".join(single.values()))
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in many.items()])
     expanded = F.aggregate(pairs, value, lambda acc, x: F.replace(acc, x["c"], x["p"]))
-    value = F.when(value.rlike("[" + "".join(many) + "]"), expanded).otherwise(value)
+    # A hashed deletion tells cheaply whether any of the longer ones occurs.
+    value = F.when(F.translate(value, "".join(many), "") != value, expanded).otherwise(value)
     return F.regexp_replace(value, r"[^\x00-\x7F]", "")
 
 

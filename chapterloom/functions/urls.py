@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 # RFC 3986, appendix B: scheme, authority, path, query and fragment.
 PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(?s:(.*)))?$"
@@ -34,7 +36,7 @@ def normalize_for_site(url: Column, prefix_regex: Column) -> Column:
     """
     plain = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
     plain = F.regexp_replace(plain, "/+$", "")
-    prefix = F.regexp_extract(plain, prefix_regex, F.lit(1))
+    prefix = F.call_function("regexp_extract", plain, prefix_regex, F.lit(1))
     reduced = F.when(prefix != "", prefix).otherwise(plain)
     return F.when(prefix_regex.isNull(), normalize(url)).otherwise(reduced)
 
@@ -79,27 +81,24 @@ def _inner_nonempty(segments: Column) -> Column:
     return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
 
 
+def _parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment as an array."""
+    first = F.regexp_extract(url, PARTS, 1)
+    return F.array(F.lower(first), *[F.regexp_extract(url, PARTS, g) for g in range(2, 6)])
+
+
 def resolve(base: Column, link: Column) -> Column:
     """A link found on page ``base`` as an absolute URL (RFC 3986, section 5)."""
-    link = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-
-    def part(url: Column, group: int) -> Column:
-        return F.regexp_extract(url, PARTS, group)
-
-    scheme, authority, path = F.lower(part(link, 1)), part(link, 2), part(link, 3)
-    query, fragment = part(link, 4), part(link, 5)
-    base_scheme, base_authority, base_path = F.lower(part(base, 1)), part(base, 2), part(base, 3)
-
-    base_segments = F.split(base_path, "/")
-    folder = F.when(
-        F.element_at(base_segments, -1) != "", F.slice(base_segments, F.lit(1), F.size(base_segments) - 1)
-    ).otherwise(base_segments)
-    merged = F.array_join(_inner_nonempty(F.concat(folder, F.split(path, "/"))), "/")
-    target = F.when(path.startswith("/"), path).otherwise(merged)
-    # A relative path needs no walk unless it has dot segments.
-    target = F.when(target.rlike(r"(^|/)\.\.?(/|$)"), _flat_path(target)).when(
-        target == "", F.lit("/")
-    ).otherwise(target)
+    trimmed = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return let(
+        F.struct(base.alias("base"), trimmed.alias("link"), _parts(base).alias("b"), _parts(trimmed).alias("l")),
+        _resolved,
+    )
+
+
+def _resolved(u: Column) -> Column:
+    scheme, authority, path, query, fragment = (F.get(u["l"], i) for i in range(5))
+    base_scheme, base_authority, base_path, base_query = (F.get(u["b"], i) for i in range(4))
 
     def tail(q: Column, f: Column) -> Column:
         return F.concat(
@@ -107,16 +106,30 @@ def resolve(base: Column, link: Column) -> Column:
             F.when(f != "", F.concat(F.lit("#"), f)).otherwise(F.lit("")),
         )
 
+    def clean(target: Column) -> Column:
+        # Only paths with dot segments need the walk.
+        flat = F.when(target.rlike(r"(^|/)\.\.?(/|$)"), _flat_path(target)).otherwise(target)
+        return let(flat, lambda t: F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t)))
+
+    folder = F.regexp_replace(base_path, "[^/]*$", "")
+    joined = F.split(F.concat(folder, path), "/")
+    merged = F.array_join(let(joined, _inner_nonempty), "/")
+    rooted = F.array_join(let(F.split(path, "/"), _inner_nonempty), "/")
     root = F.concat(base_scheme, F.lit("://"), base_authority)
-    base_query = part(base, 4)
     return (
-        F.when(link == "", base)
-        .when(base == "", link)
-        .when((scheme != "") & (scheme != base_scheme), link)
+        F.when(u["link"] == "", u["base"])
+        .when(u["base"] == "", u["link"])
+        .when((scheme != "") & (scheme != base_scheme), u["link"])
         .when(authority != "", F.concat(base_scheme, F.lit("://"), authority, path, tail(query, fragment)))
         .when(
             path == "",
             F.concat(root, base_path, tail(F.when(query != "", query).otherwise(base_query), fragment)),
         )
-        .otherwise(F.concat(root, target, tail(query, fragment)))
+        # The common link needs neither merging nor walking.
+        .when(
+            path.startswith("/") & ~path.contains("//") & ~path.contains("/."),
+            F.concat(root, path, tail(query, fragment)),
+        )
+        .when(path.startswith("/"), F.concat(root, let(rooted, clean), tail(query, fragment)))
+        .otherwise(F.concat(root, let(merged, clean), tail(query, fragment)))
     )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import nodes as N
-from ..functions.text import collapse, is_blank, shorten
+from ..functions.text import collapse, is_blank, let, shorten
 from ..functions.urls import resolve
 
 # ---- fixed values -------------------------------------------------------
@@ -307,7 +307,7 @@ def sanitize_nodes(
 def flat_text(nodes: Column, limit: int | None = None) -> Column:
     """Visible text on one line, optionally shortened."""
     text = collapse(N.text_of(nodes))
-    return shorten(text, limit) if limit else text
+    return let(text, lambda t: shorten(t, limit)) if limit else text
 
 
 def chapter_contents(
