@@ -85,10 +85,14 @@ def is_ad(node: Column, ads: Sequence[N.Step]) -> Column:
     return hit
 
 
+def _with_page(df: DataFrame) -> DataFrame:
+    """Keep the page as read in ``page_nodes``, where position equals id."""
+    return df if "page_nodes" in df.columns else df.withColumn("page_nodes", F.col("nodes"))
+
+
 def _remove(df: DataFrame, doomed) -> DataFrame:
     """Drop the subtrees of all nodes for which ``doomed`` holds."""
-    if "page_nodes" not in df.columns:
-        df = df.withColumn("page_nodes", F.col("nodes"))
+    df = _with_page(df)
     roots = N.subtree_roots(F.col("nodes"), doomed)
     df = df.withColumn("roots", roots)
     kept = N.without_ranges(F.col("page_nodes"), F.col("nodes"), F.col("roots"))
@@ -112,7 +116,7 @@ def strip_ads(df: DataFrame, ads: Sequence[N.Step]) -> DataFrame:
 
 def strip_comments(df: DataFrame) -> DataFrame:
     """Only elements and character data are content."""
-    return df.withColumn(
+    return _with_page(df).withColumn(
         "nodes", F.filter("nodes", lambda x: x["kind"].isin("el", "tx", "css", "js"))
     )
 
@@ -131,7 +135,7 @@ def drop_images(df: DataFrame) -> DataFrame:
 
 def keep_container(df: DataFrame, groups: Sequence[N.Group]) -> DataFrame:
     """Reduce each page to its content container; ``has_container`` tells if there is one."""
-    df = df.withColumn("container", N.first_of(F.col("nodes"), groups))
+    df = _with_page(df).withColumn("container", N.first_of(F.col("nodes"), groups))
     inside = N.below(F.col("nodes"), F.col("container"))
     empty = F.filter("nodes", lambda x: F.lit(False))
     return (
@@ -143,7 +147,7 @@ def keep_container(df: DataFrame, groups: Sequence[N.Group]) -> DataFrame:
 
 def unwrap_tags(df: DataFrame) -> DataFrame:
     """Markup outside the allowlist goes, the text below it stays."""
-    return df.withColumn(
+    return _with_page(df).withColumn(
         "nodes",
         F.filter("nodes", lambda x: (x["kind"] == "tx") | x["tag"].isin(*ALLOWED_TAGS)),
     )
@@ -235,8 +239,7 @@ def _leading_breaks(nodes: Column) -> Column:
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Empty p/div/span first, then the leading breaks of every parent."""
-    if "page_nodes" not in df.columns:
-        df = df.withColumn("page_nodes", F.col("nodes"))
+    df = _with_page(df)
     for doomed in (_empty_blocks, _leading_breaks):
         df = df.withColumn("roots", doomed(F.col("nodes")))
         kept = N.without_ranges(F.col("page_nodes"), F.col("nodes"), F.col("roots"))

@@ -35,18 +35,18 @@ def order_catalog(spark: SparkSession, d: str) -> DataFrame:
     """orders as one long catalog: a customer is a novel, an order a chapter."""
     orders = table(spark, d, "orders").select(
         F.col("o_custkey").alias("novel_id"),
-        micros(F.col("o_orderdate")).alias("at"),
+        micros(F.col("o_orderdate")).alias("ordered_us"),
         "o_orderkey",
         "o_orderpriority",
     )
-    numbered = with_ordinal(orders, ["novel_id"], ["at", "o_orderkey"], "chapter_index")
+    numbered = with_ordinal(orders, ["novel_id"], ["ordered_us", "o_orderkey"], "chapter_index")
     key = F.col("o_orderkey").cast("string")
     return numbered.select(
         "novel_id",
         "chapter_index",
         F.concat(F.lit("Order "), key).alias("title"),
         F.concat(F.lit("https://shop.example.org/c/"), key).alias("url"),
-        "at",
+        "ordered_us",
         "o_orderkey",
         "o_orderpriority",
     )
@@ -54,7 +54,7 @@ def order_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 ORDER_CATALOG = """
     SELECT o_custkey AS novel_id, 'Order ' || o_orderkey AS title,
-           'https://shop.example.org/c/' || o_orderkey AS url, epoch_us(o_orderdate) AS at, o_orderkey, o_orderpriority,
+           'https://shop.example.org/c/' || o_orderkey AS url, epoch_us(o_orderdate) AS ordered_us, o_orderkey, o_orderpriority,
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS chapter_index
     FROM orders
 """
