@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls
 from ..operators import cleaning as C, routing as R
-from . import catalog_queries, cleaning_queries, url_queries  # noqa: F401
+from . import (  # noqa: F401
+    book_queries, catalog_queries, cleaning_queries, library_queries, url_queries,
+)
 from .fragments import ARTICLE, page_nodes
 from .registry import CHECKS, QUERIES
 from .site_rules import rules_table
