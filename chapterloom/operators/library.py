@@ -221,7 +221,7 @@ def apply_updates(library: DataFrame, results: DataFrame, at) -> DataFrame:
 
 def update_counts(results: DataFrame) -> DataFrame:
     """Totals of a bulk update; only real errors count as failed."""
-    heads = results.groupBy("id").agg(F.first("status").alias("status"))
+    heads = results.groupBy("id").agg(F.max("status").alias("status"))
     return heads.agg(
         F.count("*").alias("checked"),
         F.count_if(F.col("status") == "updated").alias("updated"),

@@ -17,18 +17,24 @@ EVENT_SCHEMA = (
 )
 
 
+#: The default JSON form of a time stamp would cut it to milliseconds.
+_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_log(events: DataFrame, path: str) -> None:
     """Append events as JSON lines."""
-    events.write.mode("append").json(path)
+    events.write.mode("append").options(**_TIME).json(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**_TIME).json(path)
 
 
 def follow_log(spark: SparkSession, path: str, files_per_batch: int = 100, schema: str = EVENT_SCHEMA) -> DataFrame:
     """Full history first, then live; the query's checkpoint keeps the place."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return (
+        spark.readStream.schema(schema).options(**_TIME).option("maxFilesPerTrigger", files_per_batch).json(path)
+    )
 
 
 def deliver_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
