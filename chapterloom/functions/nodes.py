@@ -156,13 +156,17 @@ def meta(nodes: Column, names: Sequence[str]) -> Column:
     For every (name, attribute) pair only the first tag counts, even if its
     content is empty; the next pair is tried then.
     """
+    # The pairs travel as one literal; a pair's first tag is looked up by key.
+    pairs = F.split(F.lit("\n".join(f"{a}\t{n}" for n in names for a in META_ATTRS)), "\n")
+
+    def content(tags: Column, pair: Column) -> Column:
+        attr, name = F.split_part(pair, F.lit("\t"), F.lit(1)), F.split_part(pair, F.lit("\t"), F.lit(2))
+        tag = F.get(F.filter(tags, lambda t: F.coalesce(t["attrs"][attr] == name, F.lit(False))), 0)
+        return tag["attrs"]["content"]
+
     def lookup(tags: Column) -> Column:
-        values = []
-        for name in names:
-            for attr in META_ATTRS:
-                tag = F.get(F.filter(tags, Step("meta", attr=attr, equals=name).test), 0)
-                values.append(let(tag["attrs"]["content"], lambda c: F.when(c != "", strip(c))))
-        return F.coalesce(*values)
+        values = F.transform(pairs, lambda pair: content(tags, pair))
+        return strip(F.get(F.filter(values, lambda v: F.coalesce(v != "", F.lit(False))), 0))
 
     return let(F.filter(nodes, lambda x: x["tag"] == "meta"), lookup)
 

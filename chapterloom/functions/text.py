@@ -75,13 +75,20 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
 
 def ascii_fold(value: Column) -> Column:
     """ASCII part of the compatibility decomposition; other characters vanish."""
+    plain_already = ~value.rlike(r"[^\x00-\x7F]")
+    return F.when(plain_already, value).otherwise(_folded(value))
+
+
+def _folded(value: Column) -> Column:
     one, many = _decompositions()
     for raw, plain in LETTERS_MANY.items():
         value = F.replace(value, F.lit(raw), F.lit(plain))
     single = {**one, **LETTERS_ONE}
     value = F.translate(value, "".join(single), "".join(single.values()))
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in many.items()])
-    expanded = F.aggregate(pairs, value, lambda acc, x: F.replace(acc, x["c"], x["p"]))
+    # One literal that folds into a map, instead of hundreds of expressions.
+    listed = F.lit("\x01".join(f"{c}\x02{p}" for c, p in many.items()))
+    pairs = F.map_entries(F.str_to_map(listed, F.lit("\x01"), F.lit("\x02")))
+    expanded = F.aggregate(pairs, value, lambda acc, x: F.replace(acc, x["key"], x["value"]))
     # A hashed deletion tells cheaply whether any of the longer ones occurs.
     value = F.when(F.translate(value, "".join(many), "") != value, expanded).otherwise(value)
     return F.regexp_replace(value, r"[^\x00-\x7F]", "")

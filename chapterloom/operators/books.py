@@ -150,12 +150,16 @@ def title_page(title: Column, author: Column, description: Column, source_url: C
 
 
 def with_volume(chapters: DataFrame, limit: int = VOLUME_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Volume of each chapter by the text before it; ordinary books have one (0)."""
-    sized = with_running(
-        chapters, ["novel_id"], ["position"], {"_chars": F.char_length("html").cast("long")}, hot_rows
+    """Append ``position`` and ``volume``: a new volume for every ``limit`` characters.
+
+    Both come from one pass over the ordered chapters; ordinary books have the
+    single volume 0.
+    """
+    size = (F.char_length("html") + 1).cast("long")
+    placed = with_running(
+        chapters, ["novel_id"], ["chapter_index"], {"position": F.lit(1).cast("long"), "_chars": size}, hot_rows
     )
-    before = F.col("_chars") - F.char_length("html")
-    return sized.withColumn("volume", F.floor(before / limit).cast("int")).drop("_chars")
+    return placed.withColumn("volume", F.floor((F.col("_chars") - 1) / limit).cast("int")).drop("_chars")
 
 
 def append_chapters(manifest: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -25,11 +25,11 @@ def _split_by_size(
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """(rows of ordinary keys, rows of hot keys or None, number of slices for the latter)."""
     sizes = df.groupBy(*keys).count().filter(F.col("count") >= hot_rows)
-    # At most rows / hot_rows keys pass the filter, so this table stays small.
-    hot = checkpointed(sizes)
-    total = hot.agg(F.sum("count")).first()[0]
+    total = sizes.agg(F.sum("count")).first()[0]
     if not total:
         return df, None, 0
+    # At most rows / hot_rows keys pass the filter, so this table stays small.
+    hot = checkpointed(sizes)
     names = [f"_hot_{k}" for k in keys]
     hot = hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]

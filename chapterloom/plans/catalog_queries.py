@@ -9,8 +9,9 @@ from ..functions.nodes import el, path
 from ..functions.urls import host
 from ..operators import catalog as K
 from ..operators.ordering import with_ordinal
+from ..session import checkpointed
 from ..sources.html_nodes import with_nodes
-from ..sources.pages import table
+from ..sources.pages import spread, table
 from .fragments import (
     HOST_SQL, LINKS_SQL, NAV, NAV_LINKS, ORDER_CATALOG, ROOT_SQL, inject, order_catalog, page_nodes,
 )
@@ -85,7 +86,7 @@ def catalog_table(spark, d):
 def catalog_fallback(spark, d):
     kind = F.col("page_id") % 3
     html = F.when(kind == 0, _script_page(F.lit(False))).when(kind == 1, _as_table(_script_page(F.lit(True)))).otherwise(F.col("html"))
-    pages = table(spark, d, "pages").select("page_id", html.alias("html"))
+    pages = spread(table(spark, d, "pages").select("page_id", "html")).withColumn("html", html)
     df = K.list_entries_a(with_nodes(pages, drop_html=False), SITE_A)
     found = K.explode_entries(df.filter("source <> 'none'"), F.col("entries"), ["page_id", "source"], F.lit(_A))
     missing = df.filter("source = 'none'").select(
@@ -144,7 +145,8 @@ def _list_pages(spark, d):
             lambda a: F.struct(N.text_of(N.inside(F.col("nodes"), a)).alias("title"), a["attrs"]["href"].alias("url")),
         ).alias("links"),
     )
-    paged = with_ordinal(df, ["novel_id"], ["page_id"], "page")
+    # Merging reads the entries several times: tokenise once, keep the narrow result.
+    paged = with_ordinal(checkpointed(df), ["novel_id"], ["page_id"], "page")
     rows = paged.select("novel_id", "page", F.posexplode("links").alias("p", "l"))
     return rows.select("novel_id", "page", (F.col("p") + 1).alias("pos"), "l.title", "l.url")
 

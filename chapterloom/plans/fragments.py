@@ -13,7 +13,7 @@ from ..functions.nodes import el, path
 from ..functions.urls import host
 from ..operators.ordering import with_ordinal
 from ..sources.html_nodes import with_nodes
-from ..sources.pages import table
+from ..sources.pages import spread, table
 
 ARTICLE = path(el("article"))
 NAV_LINKS = path(el("nav"), el("li"), el("a", attr="href"))
@@ -27,8 +27,8 @@ def micros(ts: Column) -> Column:
 
 def page_nodes(spark: SparkSession, d: str, html: Column | None = None) -> DataFrame:
     """Pages with nodes, optionally of a changed page text."""
-    pages = table(spark, d, "pages")
-    return with_nodes(pages.select("page_id", "url", (html if html is not None else F.col("html")).alias("html")))
+    pages = spread(table(spark, d, "pages").select("page_id", "url", "html"))
+    return with_nodes(pages.withColumn("html", html) if html is not None else pages)
 
 
 def order_catalog(spark: SparkSession, d: str) -> DataFrame:

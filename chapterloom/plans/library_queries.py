@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import nodes as N
 from ..functions.urls import entry_id
 from ..operators import imports as I, library as L
-from ..session import shared_dir
+from ..session import checkpointed, shared_dir
 from ..sources import exports as X, snapshots as S
 from ..sources.pages import table
 from .fragments import LINKS_SQL, NAV_LINKS, ORDER_CATALOG, micros, order_catalog, page_nodes
@@ -379,13 +379,14 @@ def export_sniff(spark, d):
 
 
 def _import_rows(spark, d):
-    return I.build_rows(_raw_rows(spark, d))
+    """Importable rows without payload; read several times, so tokenised once."""
+    return checkpointed(I.build_rows(_raw_rows(spark, d)).drop("payload"))
 
 
-def _known(spark, d):
-    """Library rows for the links of the pages' own hosts that start with a vowel."""
-    rows = _import_rows(spark, d).filter(F.lower(F.substring("title", 1, 1)).isin("a", "e", "i"))
-    return rows.select(entry_id(F.col("source_url")).alias("id")).distinct()
+def _known(rows):
+    """Library rows for titles in a, e or i."""
+    listed = rows.filter(F.lower(F.substring("title", 1, 1)).isin("a", "e", "i"))
+    return listed.select(entry_id(F.col("source_url")).alias("id")).distinct()
 
 
 # The library knows every URL that some export lists under a title in a, e or i;
@@ -398,18 +399,20 @@ _MARKED = f"""
 
 @query(f"SELECT export_id, position, skip FROM ({_MARKED})")
 def import_skip(spark, d):
-    return I.mark_skips(_import_rows(spark, d), _known(spark, d)).select("export_id", "position", "skip")
+    rows = _import_rows(spark, d)
+    return I.mark_skips(rows, _known(rows)).select("export_id", "position", "skip")
 
 
 def _import_results(spark, d):
-    rows = _import_rows(spark, d).withColumn(
+    listed = _import_rows(spark, d)
+    rows = listed.withColumn(
         "source_url",
         F.when(F.col("export_id") % 2 == 0, F.col("source_url")).otherwise(
             F.replace("source_url", F.lit("m.therou.example.com"), F.lit("nowhere.test"))
         ),
     )
     failed = rows.filter("position = 0 and export_id % 10 = 0").select("export_id", "position")
-    return I.import_results(I.mark_skips(rows, _known(spark, d), failed), rules_table(spark, CORPUS))
+    return I.import_results(I.mark_skips(rows, _known(listed), failed), rules_table(spark, CORPUS))
 
 
 _RESULTS = f"""

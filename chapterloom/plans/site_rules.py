@@ -142,9 +142,19 @@ SITES = (SITE_A, SITE_B)
 
 
 def rules_table(spark: SparkSession, sites: tuple[Site, ...] = SITES) -> DataFrame:
-    """site_rules: one row per site, best priority first."""
-    return spark.createDataFrame(
-        [(s.name, s.label, list(s.domains), s.needs_browser, s.priority, s.url_prefix) for s in sites],
-        "site string, label string, domains array<string>, needs_browser boolean, "
-        "priority int, url_prefix string",
-    )
+    """site_rules: one row per site.
+
+    Built inside the plan from literals, so Catalyst knows that it is tiny.
+    """
+    rows = [
+        F.struct(
+            F.lit(s.name).alias("site"),
+            F.lit(s.label).alias("label"),
+            F.array(*[F.lit(d) for d in s.domains]).alias("domains"),
+            F.lit(s.needs_browser).alias("needs_browser"),
+            F.lit(s.priority).alias("priority"),
+            F.lit(s.url_prefix).cast("string").alias("url_prefix"),
+        )
+        for s in sites
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -9,7 +9,7 @@ from ..functions.nodes import el, path
 from ..functions.text import escape_markup, slugify
 from ..operators import metadata as M, routing as R
 from ..sources.html_nodes import with_nodes
-from ..sources.pages import cover_files, distinct_pages, table
+from ..sources.pages import cover_files, distinct_pages, spread, table
 from .fragments import (
     ARTICLE, ARTICLE_SQL, HOST_SQL, LINKS_SQL, NAV_LINKS, NAV_SQL, ROOT_SQL, TEXTS_SQL,
     flat_sql, page_nodes,
@@ -169,7 +169,8 @@ SLUG_SQL = r"""coalesce(nullif(rtrim(substr(lower(trim(regexp_replace(regexp_rep
 
 @query(f"SELECT doc_id, {SLUG_SQL} AS slug FROM documents")
 def slugify_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
 @query(f"""SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE {flat_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} END, ''),
@@ -255,7 +256,7 @@ _META_SQL = f"""
 @query(_META_SQL)
 def novel_metadata(spark, d):
     html, url = _novel_page()
-    pages = table(spark, d, "pages").select("page_id", url.alias("url"), html.alias("html"))
+    pages = spread(table(spark, d, "pages")).select("page_id", url.alias("url"), html.alias("html"))
     routed = R.route(pages, rules_table(spark)).drop("host")
     found = M.novel_metadata(with_nodes(routed), (SITE_A, SITE_B))
     one_line = F.btrim(F.regexp_replace("title", r"\s+", " "))

@@ -10,7 +10,9 @@ from html import escape
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import slugify
 from ..operators.books import CHAPTER_FILE, chapter_document
@@ -33,40 +35,34 @@ def _write(archive: zipfile.ZipFile, name: str, data: str | bytes, method: int =
     archive.writestr(zipfile.ZipInfo(name, _EPOCH), data, compress_type=method)
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
+def _pack(head: dict, chapters: list[dict]) -> bytes:
     """One volume; equal input gives equal bytes."""
-    head = rows.iloc[0]
-    lang = head.language or "en"
+    lang = head["language"] or "en"
+    documents = [("title", "text/title.xhtml", head["title"], head["document"])]
+    documents += [
+        (f"chapter_{c['position']:04d}", CHAPTER_FILE % c["position"], c["title"], c["document"]) for c in chapters
+    ]
+    links = "".join(f'<li><a href="{name}">{escape(title or "")}</a></li>' for _, name, title, _ in documents[1:])
+    fields = "".join(f"<dc:{p['key']}>{escape(p['value'])}</dc:{p['key']}>" for p in head["record"])
+    items = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
+    items += "".join(
+        f'<item id="{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n, _, _ in documents
+    )
+    spine = "".join(f'<itemref idref="{i}"/>' for i in ["nav", *[d[0] for d in documents]])
+    package = (
+        '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0">'
+        f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{fields}</metadata>'
+        f"<manifest>{items}</manifest><spine>{spine}</spine></package>"
+    )
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
         _write(archive, "mimetype", "application/epub+zip", zipfile.ZIP_STORED)
         _write(archive, "META-INF/container.xml", _CONTAINER)
-        documents = [("title", "text/title.xhtml", head.book_title, head.title_page)]
-        documents += [
-            (f"chapter_{r.position:04d}", CHAPTER_FILE % r.position, r.title, r.document)
-            for r in rows.itertuples()
-        ]
         for _, name, title, body in documents:
             _write(archive, f"EPUB/{name}", _PAGE.format(lang=escape(lang), title=escape(title or ""), body=body))
-        links = "".join(
-            f'<li><a href="{name}">{escape(title or "")}</a></li>' for _, name, title, _ in documents[1:]
-        )
-        _write(archive, "EPUB/nav.xhtml", _PAGE.format(lang=escape(lang), title="Contents", body=f"<nav><ol>{links}</ol></nav>"))
-        fields = "".join(
-            f"<dc:{p['key']}>{escape(p['value'])}</dc:{p['key']}>" for p in head.record
-        )
-        items = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
-        items += "".join(
-            f'<item id="{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n, _, _ in documents
-        )
-        spine = "".join(f'<itemref idref="{i}"/>' for i in ["nav", *[d[0] for d in documents]])
-        _write(
-            archive,
-            "EPUB/content.opf",
-            '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0">'
-            f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{fields}</metadata>'
-            f"<manifest>{items}</manifest><spine>{spine}</spine></package>",
-        )
+        contents = f"<nav><ol>{links}</ol></nav>"
+        _write(archive, "EPUB/nav.xhtml", _PAGE.format(lang=escape(lang), title="Contents", body=contents))
+        _write(archive, "EPUB/content.opf", package)
     return out.getvalue()
 
 
@@ -79,27 +75,43 @@ def pack_books(books: DataFrame, chapters: DataFrame) -> DataFrame:
     limited size; ordinary novels have a single volume. Novels without
     chapters give no archive.
     """
-    head = books.select("novel_id", F.col("title").alias("book_title"), "language", "title_page", "record")
+    def head_rows(keyed: DataFrame) -> DataFrame:
+        return keyed.select(
+            "novel_id", "volume", F.lit(0).cast("long").alias("position"), "title",
+            F.col("title_page").alias("document"), "language", "record",
+        )
+
     body = chapters.select(
-        "novel_id", "volume", "position", "title", chapter_document(F.col("title"), F.col("html")).alias("document")
+        "novel_id", "volume", F.col("position").cast("long").alias("position"), "title",
+        chapter_document(F.col("title"), F.col("html")).alias("document"),
+        F.lit(None).cast("string").alias("language"),
+        F.lit(None).cast(books.schema["record"].dataType).alias("record"),
+    )
+    # Heads ride along as row 0 of each volume. Volume 0 needs no lookup; the
+    # further ones exist only for books beyond the limit.
+    more = chapters.filter("volume > 0").select("novel_id", "volume").distinct()
+    rows = body.unionByName(head_rows(books.withColumn("volume", F.lit(0)))).unionByName(
+        head_rows(more.join(books, "novel_id"))
     )
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("position")
-        first = rows.iloc[0]
-        return pd.DataFrame(
-            [(first.novel_id, first.volume, len(rows), _pack(rows))],
-            columns=["novel_id", "volume", "chapter_count", "payload"],
-        )
-
-    # The head repeats per row of a group otherwise: keep it on the volume's first row only.
-    first_rows = chapters.groupBy("novel_id", "volume").agg(F.min("position").alias("position"))
-    heads = first_rows.join(head, "novel_id")
-    joined = body.join(heads, ["novel_id", "volume", "position"], "left")
     kind = chapters.schema["novel_id"].dataType.simpleString()
-    return joined.groupBy("novel_id", "volume").applyInPandas(
-        pack, f"novel_id {kind}, volume int, chapter_count long, payload binary"
-    )
+    result = f"novel_id {kind}, volume int, chapter_count long, payload binary"
+    arrow_result = to_arrow_schema(T._parse_datatype_string(result))
+
+    def pack(group: pa.Table) -> pa.Table:
+        head, *packed = sorted(group.to_pylist(), key=lambda r: r["position"])
+        volumes = []
+        if packed:
+            volumes.append(
+                {"novel_id": head["novel_id"], "volume": head["volume"], "chapter_count": len(packed),
+                 "payload": _pack(head, packed)}
+            )
+        return pa.Table.from_pylist(volumes, schema=arrow_result)
+
+    # Compression is bound by CPU, not bytes: keep the partitions that adaptive
+    # execution would merge by size.
+    parts = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "novel_id", "volume").groupBy("novel_id", "volume").applyInArrow(pack, result)
 
 
 def archive_names(archives: DataFrame, books: DataFrame) -> DataFrame:

@@ -9,6 +9,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan out over all cores when it has fewer splits than that.
+
+    A small file with one row group is one task otherwise. Large inputs have
+    more splits than cores and pass unchanged, so no big table is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def distinct_pages(pages: DataFrame, url: Column) -> DataFrame:
     """One page per URL, the first by ``page_id``.
 

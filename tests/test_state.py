@@ -138,8 +138,8 @@ def test_snapshots_switch_and_repeat(spark, tmp_path):
 
 
 def _books(spark, per_volume):
-    chapters = spark.createDataFrame([("n", i, i, f"T & {i}", f"<p>body {i}</p>") for i in range(1, 8)],
-                                     "novel_id string, chapter_index int, position long, title string, html string")
+    chapters = spark.createDataFrame([("n", i * 3, f"T & {i}", f"<p>body {i}</p>") for i in range(1, 8)],
+                                     "novel_id string, chapter_index int, title string, html string")
     heads = spark.createDataFrame([("n", "Book", "en", "<h1>Book</h1>", [("title", "Book")])],
                                   "novel_id string, title string, language string, title_page string, record array<struct<key:string,value:string>>")
     return heads, B.with_volume(chapters, per_volume)
