@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +17,10 @@ CHECKS: dict[str, str] = {}
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name; ``sql`` runs on the same tables."""
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(prepare(spark), folder)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             CHECKS[fn.__name__] = sql
         return fn

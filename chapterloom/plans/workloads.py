@@ -9,6 +9,7 @@ from ..operators import cleaning as C, routing as R
 from . import (  # noqa: F401
     book_queries, catalog_queries, cleaning_queries, event_queries, library_queries, url_queries,
 )
+from ..session import prepare
 from .fragments import ARTICLE, page_nodes
 from .registry import CHECKS, QUERIES
 from .site_rules import rules_table
@@ -25,7 +26,7 @@ def checks():
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a cleaned chapter with its site and its stable id."""
     chapters = C.chapter_contents(
-        page_nodes(spark, folder), containers=[ARTICLE], titles=[F.lit("")], base_url=F.col("url")
+        page_nodes(prepare(spark), folder), containers=[ARTICLE], titles=[F.lit("")], base_url=F.col("url")
     )
     routed = R.route(chapters, rules_table(spark, url_queries.CORPUS))
     return routed.select(

@@ -20,6 +20,19 @@ def local_session(cpus: str = "8", name: str = "chapterloom") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on; harmless to repeat.
+
+    A join of many rows per key with one row per key is left to adaptive
+    execution, which splits an oversized key among tasks. By default it gives
+    that up when an aggregation on the same key follows; here it must not.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
