@@ -9,7 +9,7 @@ from chapterloom.plans import workloads
 from chapterloom.session import local_session
 
 HEADLINE = (
-    "page_source site_route entry_id slugify_text novel_metadata html_to_text sanitize_html content_status "
+    "page_source site_route entry_id slugify novel_metadata html_to_text sanitize_html content_status "
     "catalog_links catalog_merge select_explicit cap_chapters fetch_frontier completed_prefix book_archive "
     "library_upsert update_all import_status event_seq job_state download_running skip_collapse run_due"
 ).split()

@@ -7,7 +7,7 @@ runs in the stage that tokenised the page, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,7 +78,12 @@ def is_inline_hidden(node: Column) -> Column:
     )
 
 
-def is_ad(node: Column, ads: Sequence[N.Step]) -> Column:
+Ads = Sequence[N.Step] | Callable[[Column], Column]
+
+
+def is_ad(node: Column, ads: Ads) -> Column:
+    if callable(ads):
+        return ads(node)
     hit = F.lit(False)
     for step in ads:
         hit = hit | step.test(node)
@@ -99,7 +104,7 @@ def _remove(df: DataFrame, doomed) -> DataFrame:
     return df.withColumn("nodes", kept).drop("roots")
 
 
-def strip_hidden(df: DataFrame, ads: Sequence[N.Step] = ()) -> DataFrame:
+def strip_hidden(df: DataFrame, ads: Ads = ()) -> DataFrame:
     """Page-level pass: elements hidden by the page's CSS, and the site's ads.
 
     Runs before a container is chosen, because the style sheet sits in the head.
@@ -110,7 +115,7 @@ def strip_hidden(df: DataFrame, ads: Sequence[N.Step] = ()) -> DataFrame:
     return out.drop("hidden_css")
 
 
-def strip_ads(df: DataFrame, ads: Sequence[N.Step]) -> DataFrame:
+def strip_ads(df: DataFrame, ads: Ads) -> DataFrame:
     return _remove(df, lambda x: is_ad(x, ads))
 
 
@@ -133,9 +138,13 @@ def drop_images(df: DataFrame) -> DataFrame:
     return _remove(df, lambda x: x["tag"] == "img")
 
 
-def keep_container(df: DataFrame, groups: Sequence[N.Group]) -> DataFrame:
-    """Reduce each page to its content container; ``has_container`` tells if there is one."""
-    df = _with_page(df).withColumn("container", N.first_of(F.col("nodes"), groups))
+def keep_container(df: DataFrame, groups: Sequence[N.Group] | Column) -> DataFrame:
+    """Reduce each page to its content container; ``has_container`` tells if there is one.
+
+    ``groups`` are the selectors in order, or a finished expression for the node.
+    """
+    found = groups if isinstance(groups, Column) else N.first_of(F.col("nodes"), groups)
+    df = _with_page(df).withColumn("container", found)
     inside = N.below(F.col("nodes"), F.col("container"))
     empty = F.filter("nodes", lambda x: F.lit(False))
     return (
@@ -315,9 +324,9 @@ def flat_text(nodes: Column, limit: int | None = None) -> Column:
 
 def chapter_contents(
     df: DataFrame,
-    containers: Sequence[N.Group],
+    containers: Sequence[N.Group] | Column,
     titles: Sequence[Column],
-    ads: Sequence[N.Step] = (),
+    ads: Ads = (),
     base_url: Column | None = None,
     keep_images: bool = False,
 ) -> DataFrame:

@@ -14,15 +14,15 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name; ``sql`` runs on the same tables."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own or another name; ``sql`` runs on the same tables."""
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return fn(prepare(spark), folder)
 
-        QUERIES[fn.__name__] = run
+        QUERIES[name or fn.__name__] = run
         if sql is not None:
-            CHECKS[fn.__name__] = sql
+            CHECKS[name or fn.__name__] = sql
         return fn
 
     return register

@@ -167,7 +167,7 @@ SLUG_SQL = r"""coalesce(nullif(rtrim(substr(lower(trim(regexp_replace(regexp_rep
     '[^A-Za-z0-9]+', '-', 'g'), '-')), 1, 80), '-'), ''), 'novel')"""
 
 
-@query(f"SELECT doc_id, {SLUG_SQL} AS slug FROM documents")
+@query(f"SELECT doc_id, {SLUG_SQL} AS slug FROM documents", name="slugify")
 def slugify_text(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", slugify(F.col("text")).alias("slug"))
@@ -287,7 +287,7 @@ def lang_override(spark, d):
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS digest
-          FROM pages""")
+          FROM pages""", name="escape_markup")
 def escape_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(escape_markup(F.col("html"))).alias("digest"))
 

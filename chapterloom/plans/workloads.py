@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import urls
 from ..operators import cleaning as C, routing as R
 from . import (  # noqa: F401
-    book_queries, catalog_queries, cleaning_queries, event_queries, library_queries, url_queries,
+    book_queries, catalog_queries, cleaning_queries, event_queries, library_queries, lifecycle_queries, url_queries,
 )
 from ..session import prepare
 from .fragments import ARTICLE, page_nodes

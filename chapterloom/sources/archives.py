@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
+import uuid
 import zipfile
 from collections.abc import Iterator
 from html import escape
@@ -123,6 +125,38 @@ def archive_names(archives: DataFrame, books: DataFrame) -> DataFrame:
     ).drop("title")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive (file_name, payload) into a folder that all executors share.
+
+    A file appears under its name in one step, so a repeated task leaves the
+    same result. A failed write is no failure of the book: its ``saved_path``
+    is null. The write happens when the result is evaluated.
+    """
+    kept = [f for f in archives.schema.fields if f.name != "payload"]
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            paths = []
+            for row in rows:
+                target = os.path.join(folder, row["file_name"])
+                part = f"{target}.{uuid.uuid4().hex}"
+                try:
+                    os.makedirs(folder, exist_ok=True)
+                    with open(part, "wb") as out:
+                        out.write(row["payload"])
+                    os.replace(part, target)
+                    paths.append(target)
+                except OSError:
+                    paths.append(None)
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(paths, pa.string())], [*[f.name for f in kept], "saved_path"]
+            )
+
+    return archives.mapInArrow(save, T.StructType([*kept, T.StructField("saved_path", T.StringType())]))
+
+
 def _documents(content: bytes) -> Iterator[tuple]:
     """(spine position, file name, title, html) of readable documents, navigation left out."""
     try:

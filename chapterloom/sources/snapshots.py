@@ -69,6 +69,26 @@ def library_entries(documents: DataFrame, keys: list[str], content: Column) -> D
     )
 
 
+#: Entries per document: no document grows with the library.
+DOCUMENT_ENTRIES = 1000
+
+
+def library_documents(library: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries as versioned JSON documents of at most a thousand entries each.
+
+    ``library`` has ``position`` (0-based list order) beside the entry columns;
+    ``part`` numbers the documents of a library. ``library_entries`` reads them.
+    """
+    fields = [f.name for f in ENTRY_TYPE]
+    part = F.floor(F.col("position") / DOCUMENT_ENTRIES)
+    grouped = library.groupBy(*keys, part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("e")))).alias("_rows")
+    )
+    entries = F.transform("_rows", lambda r: r["e"]).alias("entries")
+    document = F.to_json(F.struct(F.lit(1).alias("version"), entries), {"ignoreNullFields": "false"})
+    return grouped.select(*keys, "part", document.alias("content"))
+
+
 def settings_rows(documents: DataFrame, keys: list[str], content: Column) -> DataFrame:
     """One settings row per document; anything invalid falls back to all defaults."""
     s = F.from_json(F.get_json_object(content, "$.settings"), SETTINGS_TYPE)
