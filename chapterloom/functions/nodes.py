@@ -94,7 +94,8 @@ def matches(nodes: Column, group: Group) -> Column:
                         F.when(inside, F.greatest(end, x["last"])).otherwise(end).alias(slot(i, k))
                     )
         found = F.when(_any(hits), F.array_append(acc["hits"], x)).otherwise(acc["hits"])
-        return F.struct(*fields, found.alias("hits"))
+        # Most nodes are text, which no step matches.
+        return F.when(x["kind"] == "el", F.struct(*fields, found.alias("hits"))).otherwise(acc)
 
     none = F.filter(nodes, lambda x: F.lit(False))
     zero = F.struct(*[F.lit(0).alias(slot(i, k)) for i, k in slots], none.alias("hits"))
@@ -181,10 +182,8 @@ def subtree_roots(nodes: Column, doomed: Test) -> Column:
     def visit(acc: Column, x: Column) -> Column:
         hit = (x["id"] > acc["until"]) & F.coalesce(doomed(x), F.lit(False))
         root = F.struct(x["id"].alias("id"), x["last"].alias("last"))
-        return F.struct(
-            F.when(hit, x["last"]).otherwise(acc["until"]).alias("until"),
-            F.when(hit, F.array_append(acc["roots"], root)).otherwise(acc["roots"]).alias("roots"),
-        )
+        found = F.struct(x["last"].alias("until"), F.array_append(acc["roots"], root).alias("roots"))
+        return F.when(hit, found).otherwise(acc)
 
     return F.aggregate(nodes, zero, visit, lambda acc: acc["roots"])
 

@@ -53,10 +53,12 @@ def table_entries(nodes: Column, rows: N.Group) -> Column:
     zero = F.struct(F.lit(0).alias("until"), F.array().cast("array<int>").alias("ids"))
 
     def visit(acc: Column, m: Column) -> Column:
-        hit = ~m["row"] & (acc["until"] >= m["id"])
-        return F.struct(
-            F.when(m["row"], m["last"]).when(hit, F.lit(0)).otherwise(acc["until"]).alias("until"),
-            F.when(hit, F.array_append(acc["ids"], m["id"])).otherwise(acc["ids"]).alias("ids"),
+        ids = acc["ids"]
+        filled = F.struct(F.lit(0).alias("until"), F.array_append(ids, m["id"]).alias("ids"))
+        return (
+            F.when(m["row"], F.struct(m["last"].alias("until"), ids.alias("ids")))
+            .when(acc["until"] >= m["id"], filled)
+            .otherwise(acc)
         )
 
     ids = F.aggregate(marks, zero, visit, lambda acc: acc["ids"])

@@ -61,7 +61,8 @@ def css_hidden_rules(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def is_css_hidden(selectors: Column, node: Column) -> Column:
     classes = F.split(node["attrs"]["class"], r"\s+")
-    return (node["kind"] == "el") & (
+    # Most pages hide nothing this way.
+    return (F.size(selectors) > 0) & (node["kind"] == "el") & (
         F.array_contains(F.transform(selectors, F.lower), node["tag"])
         | F.coalesce(F.array_contains(selectors, F.concat(F.lit("#"), node["attrs"]["id"])), F.lit(False))
         | F.coalesce(
@@ -206,11 +207,11 @@ def _empty_blocks(nodes: Column) -> Column:
         supports = F.when(x["kind"] == "tx", ~is_blank(x["text"])).otherwise(x["tag"].isin(*KEEPS_BLOCK))
         empty = x["tag"].isin(*MAYBE_EMPTY) & (acc["next"] > x["last"])
         root = F.struct(x["id"].alias("id"), x["last"].alias("last"))
-        return F.struct(
-            F.when(supports, x["id"]).otherwise(acc["next"]).alias("next"),
-            F.when(F.coalesce(empty, F.lit(False)), F.array_append(acc["roots"], root))
-            .otherwise(acc["roots"])
-            .alias("roots"),
+        roots = acc["roots"]
+        return (
+            F.when(supports, F.struct(x["id"].alias("next"), roots.alias("roots")))
+            .when(empty, F.struct(acc["next"].alias("next"), F.array_append(roots, root).alias("roots")))
+            .otherwise(acc)
         )
 
     return F.aggregate(F.reverse(nodes), zero, visit, lambda acc: acc["roots"])
@@ -230,17 +231,14 @@ def _leading_breaks(nodes: Column) -> Column:
 
     def visit(acc: Column, x: Column) -> Column:
         is_break = F.coalesce(x["tag"] == "br", F.lit(False))
-        leading = is_break & (acc["open"] >= x["id"])
         root = F.struct(x["id"].alias("id"), x["last"].alias("last"))
-        end = (
-            F.when(is_break, acc["open"])
-            .when(x["kind"] == "el", x["last"])
-            .when(is_blank(x["text"]), acc["open"])
-            .otherwise(F.lit(0))
-        )
-        return F.struct(
-            end.alias("open"),
-            F.when(leading, F.array_append(acc["roots"], root)).otherwise(acc["roots"]).alias("roots"),
+        roots = acc["roots"]
+        leading = F.struct(acc["open"].alias("open"), F.array_append(roots, root).alias("roots"))
+        return (
+            F.when(is_break, F.when(acc["open"] >= x["id"], leading).otherwise(acc))
+            .when(x["kind"] == "el", F.struct(x["last"].alias("open"), roots.alias("roots")))
+            .when(is_blank(x["text"]), acc)
+            .otherwise(F.struct(F.lit(0).alias("open"), roots.alias("roots")))
         )
 
     return F.aggregate(nodes, zero, visit, lambda acc: acc["roots"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..sources.pages import table
 from . import lifecycle as P
 from .registry import query
@@ -60,5 +61,6 @@ def convert_books(spark, d):
         F.lit(2).alias("start"), F.lit(0).alias("end"), F.lit(None).cast("array<int>").alias("selected"),
         F.lit("").alias("language"),
     )
-    made = P.convert(site_pages(spark, d), requests, (SITE_B,), cap=12)
+    # Pages are a stored table in earnest; here they are written once, then read like one.
+    made = P.convert(checkpointed(site_pages(spark, d)), requests, (SITE_B,), cap=12)
     return made.chapters.select("request_id", "chapter_index", "failed", "title", "html")

@@ -17,6 +17,9 @@ def local_session(cpus: str = "8", name: str = "chapterloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Plans here are built from thousands of small expressions; noting the
+        # Python line of each one doubles the time to build them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
