@@ -88,14 +88,22 @@ def _folded(value: Column) -> Column:
     # One literal that folds into a map, instead of hundreds of expressions.
     listed = F.lit("\x01".join(f"{c}\x02{p}" for c, p in many.items()))
     pairs = F.map_entries(F.str_to_map(listed, F.lit("\x01"), F.lit("\x02")))
-    expanded = F.aggregate(pairs, value, lambda acc, x: F.replace(acc, x["key"], x["value"]))
-    # A hashed deletion tells cheaply whether any of the longer ones occurs.
-    value = F.when(F.translate(value, "".join(many), "") != value, expanded).otherwise(value)
-    return F.regexp_replace(value, r"[^\x00-\x7F]", "")
+
+    def expand(text: Column) -> Column:
+        longer = F.aggregate(pairs, text, lambda acc, x: F.replace(acc, x["key"], x["value"]))
+        # A hashed deletion tells cheaply whether any of the longer ones occurs.
+        return F.when(F.translate(text, "".join(many), "") != text, longer).otherwise(text)
+
+    return F.regexp_replace(let(value, expand), r"[^\x00-\x7F]", "")
+
+
+_SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def slugify(value: Column, fallback: str = "novel", max_length: int = 80) -> Column:
     """A file name safe on every system: lower-case ASCII words joined by dashes."""
-    words = F.btrim(F.regexp_replace(ascii_fold(value), "[^A-Za-z0-9]+", "-"), F.lit("-"))
+    # Single dashes come from a table; the pattern is left with the rare longer runs.
+    dashed = F.translate(ascii_fold(value), _SEPARATORS, "-" * len(_SEPARATORS))
+    words = F.btrim(F.regexp_replace(dashed, "--+", "-"), F.lit("-"))
     cut = F.rtrim(F.substring(F.lower(words), 1, max_length), F.lit("-"))
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit(fallback))
+    return F.coalesce(filled(cut), F.lit(fallback))

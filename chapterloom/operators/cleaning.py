@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import nodes as N
-from ..functions.text import collapse, is_blank, let, shorten
+from ..functions.text import collapse, is_blank, let, shorten, strip
 from ..functions.urls import resolve
 
 # ---- fixed values -------------------------------------------------------
@@ -292,7 +292,7 @@ def serialize(nodes: Column) -> Column:
 
     closable = F.filter(nodes, lambda x: (x["kind"] == "el") & ~x["tag"].isin(*VOID_OUT))
     marks = F.sort_array(F.concat(F.transform(nodes, opening), F.transform(closable, closing)))
-    return N.strip(F.array_join(F.transform(marks, lambda m: m["s"]), ""))
+    return strip(F.array_join(F.transform(marks, lambda m: m["s"]), ""))
 
 
 def sanitize_nodes(

@@ -115,15 +115,17 @@ def idle_gaps(events: DataFrame, beat: int = HEARTBEAT_SECONDS, hot_rows: int =
 
 
 def result_status(requests: DataFrame, states: DataFrame) -> DataFrame:
-    """What asking for a job's result would meet."""
-    known = states.select("job_id", "state", F.lit(True).alias("_known"))
-    error = F.col("detail_text") if "detail_text" in states.columns else F.lit(None).cast("string")
-    if "detail_text" in states.columns:
-        known = states.select("job_id", "state", "detail_text", F.lit(True).alias("_known"))
+    """What asking for a job's result would meet.
+
+    ``states`` may carry ``error_detail``, which is then shown for failed jobs.
+    """
+    if "error_detail" not in states.columns:
+        states = states.withColumn("error_detail", F.lit(None).cast("string"))
+    known = states.select("job_id", "state", "error_detail")
     return requests.join(known, "job_id", "left").withColumn(
         "result",
-        F.when(F.col("_known").isNull(), F.lit("unknown_job"))
-        .when(F.col("state") == "error", F.coalesce(F.nullif(error, F.lit("")), F.lit("job_failed")))
+        F.when(F.col("state").isNull(), F.lit("unknown_job"))
+        .when(F.col("state") == "error", F.coalesce(F.nullif("error_detail", F.lit("")), F.lit("job_failed")))
         .when(F.col("state").isin("done", "stopped"), F.lit("ready"))
         .otherwise(F.lit("job_still_running")),
-    ).drop("_known")
+    ).drop("error_detail")

@@ -134,7 +134,8 @@ def update_all(
         F.count("*").alias("_new"),
         F.min(F.when(~F.col("attempted"), F.col("chapter_index"))).alias("_stop"),
     )
-    added = tries.join(ends, "id").filter(
+    # Without outcomes nothing stopped, and the new chapters are the added ones.
+    added = tries if outcomes is None else tries.join(ends, "id").filter(
         F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop"))
     )
     totals = added.groupBy("id").agg(

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import nodes as N
 from ..functions.nodes import el, path
-from ..functions.urls import host
 from ..operators.ordering import with_ordinal
 from ..sources.html_nodes import with_nodes
 from ..sources.pages import spread, table
@@ -154,17 +152,3 @@ def inject(after: str, piece: Column, html: Column | None = None) -> Column:
     """Page text with ``piece`` put behind a marker."""
     html = F.col("html") if html is None else html
     return F.replace(html, F.lit(after), F.concat(F.lit(after), piece))
-
-
-def page_text(nodes: Column) -> Column:
-    from ..operators.cleaning import flat_text
-
-    return flat_text(nodes)
-
-
-def novel_host(df: DataFrame) -> DataFrame:
-    return df.withColumn("novel_id", host(F.col("url")))
-
-
-def link_tags(nodes: Column) -> Column:
-    return N.matches(nodes, NAV_LINKS)

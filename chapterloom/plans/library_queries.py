@@ -18,7 +18,7 @@ from ..operators import imports as I, library as L
 from ..session import checkpointed, shared_dir
 from ..sources import exports as X, snapshots as S
 from ..sources.pages import table
-from .fragments import LINKS_SQL, NAV_LINKS, ORDER_CATALOG, micros, order_catalog, page_nodes
+from .fragments import LINKS_SQL, NAV_LINKS, ORDER_CATALOG, order_catalog, page_nodes
 from .registry import query
 from .site_rules import rules_table
 from .url_queries import CORPUS
