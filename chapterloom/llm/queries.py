@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import packing, tokens, warc
-from .frames import shared_path
+from . import langid, packing, quality, tokens, warc
+from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,37 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def learning(docs: DataFrame) -> DataFrame:
+    """Rows outside the test fold."""
+    return docs.where(~held_out(F.col("doc_id")))
+
+
+@query()
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(learning(docs), F.col("lang"))
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Graded ratings: 0 low quality, 1 good but toxic, 2 good; outside the test fold."""
+    labels = learning(table(spark, folder, "labels"))
+    good, clean = F.col("quality"), 1 - F.coalesce(F.col("toxic"), F.lit(0))
+    return labels.select("doc_id", (good * (1 + clean)).cast("int").alias("grade"))
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, grades(spark, folder))
+    scored = quality.grade(docs, model, ["doc_id"], above=0)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", F.col("tail").alias("score"),
+        (F.col("tail") >= 0.5).alias("selected"),
+    )
+
+
 @query(
     f"""
     WITH p AS (
