@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import langid, packing, quality, tokens, warc
+from . import decontam, langid, packing, quality, tokens, warc
 from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query(
+    """
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    tests AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    windows AS (
+      SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+             lambda i: array_to_string(w[i:i + 9], ' '))) AS phrase
+      FROM tests WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    runs AS (
+      SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM words, sizes WHERE len(w) >= n),
+    hits AS (
+      SELECT r.doc_id, r.i, r.n, t.item_id FROM
+        (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM runs) r
+        JOIN windows t ON t.n = r.n AND t.phrase = r.phrase),
+    places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+    counts AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+    names AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN names USING (doc_id)
+    """
+)
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
