@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, langid, packing, quality, tokens, warc
+from . import decontam, jaccard, langid, packing, quality, tokens, warc
 from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,11 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, folder, "documents"))
+
+
 @query()
 def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
