@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, jaccard, langid, packing, quality, tokens, warc
+from . import decontam, jaccard, langid, neardup, packing, quality, tokens, warc
 from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query(
     f"""
     WITH p AS (
