@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, jaccard, langid, neardup, packing, quality, tokens, warc
+from . import decontam, jaccard, langid, neardup, packing, quality, tokens, toxicity, warc
 from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def learning(docs: DataFrame) -> DataFrame:
+    """Rows outside the test fold."""
+    return docs.where(~held_out(F.col("doc_id")))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, learning(table(spark, folder, "labels")))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query(
     """
     WITH words AS (
@@ -76,11 +91,6 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def learning(docs: DataFrame) -> DataFrame:
-    """Rows outside the test fold."""
-    return docs.where(~held_out(F.col("doc_id")))
-
-
 @query()
 def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
