@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, jaccard, langid, neardup, packing, quality, tokens, toxicity, warc
+from . import decontam, extract, jaccard, langid, neardup, packing, quality, tokens, toxicity, warc
 from .frames import held_out, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,24 @@ def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, folder, "documents"))
 
 
+@query(
+    r"""
+    WITH a AS (
+      SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+    t AS (
+      SELECT page_id, url, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM a),
+    d AS (
+      SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+             '&amp;?', '&', 'g') AS text FROM t)
+    SELECT page_id, url, text, length(text) AS n_chars FROM d
+    """
+)
+def op9_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    found = extract.extract(pages, extract.fit(pages), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
