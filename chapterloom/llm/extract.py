@@ -2,21 +2,21 @@
 
 Each block element of a page has features (subtree text density, attribute tokens, depth, sibling statistics and more,
 see ``dom.FEATURES``). Gradient-boosted trees give each the log odds of main text. Decoding picks the labels of
-highest joint probability, by length of own text, under one rule: below a dropped element everything is
+highest joint probability, weighted by own text, under one rule: below a dropped element everything is
 dropped. So no element contradicts its ancestors or descendants.
 
 Training needs no labels by hand: on a sample of at most ``sample`` pages (parameter) the elements of pages that mark
 their article (article, main) are labelled by it; navigation, headers, footers, asides, forms and the like
-inside or outside are the other class. Each page is also learned in altered copies, in which blocks change to
-other elements and class names, and in which comments, notices and lists stand inside the article, so that the
-trees weigh several signs and do not hang on one.
+inside or outside are the other class. From the lines of each such page ``COPIES`` pages of other structure are made, with
+other elements and class names, deeper nesting, and comments, notices and lists inside the article, so that the
+trees weigh several signs and do not hang on one template.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
 Defined results: null or empty html gives an empty text; so does a page on which nothing is main text. Broken
 markup never fails: open elements end with the page, stray end tags and lone ``<`` are ignored or text. Rows are
-extracted one by one, so repeated rows, nulls and other columns do not matter. Where no page marks its article, the elements of
-the altered copies of a built-in example are what is learned.
+extracted one by one, so repeated rows, nulls and other columns do not matter. Where no page marks its article, a built-in
+example and the pages made from it are what is learned.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .dom import AGAINST, AWAY, FOR, TOWARDS, Page
 from .frames import bounded, column
 
 SAMPLE = 400
-COPIES = 3
+COPIES = 5
 #: A page in a batch stands for its elements; this many are scored at once.
 PAGES = 500
 
@@ -64,66 +64,84 @@ def weak_labels(page: Page) -> np.ndarray:
     return label
 
 
-def altered(page: Page, label: np.ndarray, rng: random.Random) -> None:
-    """Change elements and class names of a page in place; labels stay true."""
-    con, pro = sorted(AGAINST), sorted(FOR)
-    plain = rng.random() < 0.5
-    for i in range(1, len(page.tag)):
-        top = label[i] == 0 and (label[page.parent[i]] != 0)
-        if top and page.tag[i] not in ("head", "li", "p"):
-            kind = rng.randrange(3)
-            page.tag[i] = rng.choice(sorted(AWAY - {"head", "option"})) if kind == 0 else rng.choice(["div", "section", "ul"])
-            page.attr[i] = frozenset() if kind == 0 else frozenset(rng.sample(con, rng.choice([1, 1, 2])))
-        elif page.tag[i] in TOWARDS and plain:
-            page.tag[i] = rng.choice(["div", "section"])
-            page.attr[i] = frozenset(rng.sample(pro, rng.choice([1, 1, 2])))
-
-
-def grafted(page: Page, label: np.ndarray, rng: random.Random) -> np.ndarray:
-    """Add comments, notices or lists of links inside main text; returns the longer labels."""
-    homes = [i for i in range(len(page.tag)) if page.tag[i] in TOWARDS]
-    lines = [line for i, line in page.lines if label[i] == 1]
-    if not homes or not lines:
-        return label
-    extra = []
-    for _ in range(rng.choice([1, 2])):
-        top = len(page.tag)
-        page.tag.append(rng.choice(["div", "section", "aside", "form", "footer", "header", "ul"]))
-        away = page.tag[-1] in AWAY
-        page.attr.append(frozenset() if away and rng.random() < 0.5 else frozenset(rng.sample(sorted(AGAINST), 1)))
-        page.parent.append(rng.choice(homes))
-        page.links.append(0)
-        page.marks.append(2)
-        extra.append(0)
-        for _ in range(rng.randint(1, 4)):
-            page.tag.append(rng.choice(["p", "p", "div", "li"]))
-            page.attr.append(frozenset())
-            page.parent.append(top)
-            line = rng.choice(lines)
-            line = line if rng.random() < 0.7 else line[: rng.randint(5, 60)]
-            page.links.append(len(line) if rng.random() < 0.3 else 0)
-            page.marks.append(1)
-            page.lines.append((len(page.tag) - 1, line))
-            extra.append(0)
-    return np.append(label, extra).astype(label.dtype)
+class _Builder:
+    """A made page, element by element, with its labels."""
+
+    def __init__(self, lines: list[str], rng: random.Random) -> None:
+        self.page, self.label, self.lines, self.rng = Page(""), [-1], lines, rng
+
+    def add(self, tag: str, parent: int, label: int, attr=(), line: str | None = None, linked: bool = False) -> int:
+        page, at = self.page, len(self.page.tag)
+        page.tag.append(tag)
+        page.attr.append(frozenset(attr))
+        page.parent.append(parent)
+        page.links.append(len(line) if line and linked else 0)
+        page.marks.append(1 + linked)
+        if line:
+            page.lines.append((at, line))
+        self.label.append(label)
+        return at
+
+    def wrapped(self, parent: int, label: int, most: int) -> int:
+        for _ in range(self.rng.randint(0, most)):
+            names = self.rng.sample(sorted(FOR), 1) if label == 1 and self.rng.random() < 0.4 else ()
+            parent = self.add(self.rng.choice(["div", "section"]), parent, label, names)
+        return parent
+
+    def line(self, short: float) -> str:
+        line = self.rng.choice(self.lines)
+        return line[: self.rng.randint(4, 60)] if self.rng.random() < short else line
+
+    def beside(self, parent: int) -> None:
+        """Navigation, notices, comments and the like."""
+        rng, plain = self.rng, self.rng.random() < 0.4
+        tag = rng.choice(sorted(AWAY - {"head", "option"})) if plain else rng.choice(["div", "section", "ul", "p"])
+        names = () if plain and rng.random() < 0.7 else rng.sample(sorted(AGAINST), rng.choice([1, 1, 2]))
+        linked, short = rng.choice([0.0, 0.2, 0.9]), rng.choice([0.2, 0.9])
+        top = self.add(tag, parent, 0, names, self.line(short) if tag == "p" or rng.random() < 0.3 else None)
+        if tag != "p":
+            top = self.wrapped(top, 0, 2)
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+                self.add(rng.choice(["p", "p", "li", "div"]), top, 0, (), self.line(short), rng.random() < linked)
+
+    def main(self, parent: int) -> None:
+        rng = self.rng
+        tag = rng.choice(["article", "main", "div", "div", "section"])
+        names = rng.sample(sorted(FOR), rng.choice([1, 2])) if tag not in TOWARDS or rng.random() < 0.3 else ()
+        top = self.wrapped(self.add(tag, parent, 1, names), 1, 2)
+        for k in range(rng.choice([1, 2, 5, 10])):
+            if rng.random() < 0.15:
+                self.beside(top)
+            kind = rng.choice(["h1", "h2"]) if k == 0 or rng.random() < 0.1 else rng.choice(["p"] * 8 + ["li", "blockquote", "div", "td"])
+            self.add(kind, top, 1, (), self.line(0.8 if kind[0] == "h" else 0.1), rng.random() < 0.03)
+        if rng.random() < 0.4:
+            self.beside(top)
+
+
+def made_page(lines: list[str], rng: random.Random) -> tuple[Page, np.ndarray]:
+    """A page of other structure around the same lines."""
+    made = _Builder(lines, rng)
+    body = made.wrapped(made.add("body", 0, -1), -1, 2)
+    for k in range(rng.randint(0, 3) + 1 + rng.randint(0, 3)):
+        made.main(body) if k == 2 else made.beside(body)
+    if 1 not in made.label:
+        made.main(body)
+    return made.page, np.array(made.label)
 
 
 def examples(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a page and its altered copies."""
+    """Features and labels of a page and of pages made from its lines."""
     rng = random.Random(seed)
-    xs, ys = [], []
-    for copy in range(COPIES):
-        page = Page(source)
-        label = weak_labels(page)
-        if (label < 0).all():
-            break
-        if copy:
-            label = grafted(page, label, rng)
-            altered(page, label, rng)
-        known = label >= 0
-        xs.append(page.features()[known])
-        ys.append(label[known])
-    return (np.vstack(xs), np.concatenate(ys)) if xs else (np.zeros((0, 0)), np.zeros(0))
+    page = Page(source)
+    label = weak_labels(page)
+    lines = [line for i, line in page.lines if label[i] == 1]
+    if not lines:
+        return np.zeros((0, 0)), np.zeros(0)
+    found = [(page, label), *(made_page(lines, rng) for _ in range(COPIES))]
+    return (
+        np.vstack([p.features()[y >= 0] for p, y in found]),
+        np.concatenate([y[y >= 0] for _, y in found]),
+    )
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
@@ -154,7 +172,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
 def decode(page: Page, odds: np.ndarray) -> list[bool]:
     """Kept elements: the best labels under which whatever is below a dropped element is dropped."""
     n = len(page.tag)
-    weight = np.log1p(page.own_sizes()) + 0.01
+    weight = np.log1p(page.own_sizes()) + 0.5
     odds = np.clip(odds, -8, 8)
     keep = (-np.logaddexp(0, -odds) * weight).tolist()
     drop = (-np.logaddexp(0, odds) * weight).tolist()

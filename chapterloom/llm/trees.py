@@ -7,8 +7,15 @@ import numpy as np
 BINS = 32
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, ridge: float = 1.0) -> dict:
-    """Trees of fixed depth as arrays: the feature and the limit of each inner node, the value of each leaf."""
+def fit(
+    x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.3, ridge: float = 1.0,
+    share: float = 0.4,
+) -> dict:
+    """Trees of fixed depth as arrays: the feature and the limit of each inner node, the value of each leaf.
+
+    Each tree sees a random ``share`` of the features, so that all signs of a class get a say.
+    """
+    rng = np.random.default_rng(5)
     n, m = x.shape
     limits = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(m)]
     binned = np.stack([np.searchsorted(limits[f], x[:, f], "left") for f in range(m)], 1)
@@ -18,6 +25,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
     features, cuts, leaves = [], [], []
     cell = binned + np.arange(m) * BINS
     for _ in range(rounds):
+        hidden = rng.permutation(m)[max(1, round(share * m)) :]
         p = 1 / (1 + np.exp(-score))
         gradient, weight = y - p, np.maximum(p * (1 - p), 1e-6)
         feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
@@ -31,6 +39,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
             total_g, total_h = g[:, :1, -1:], h[:, :1, -1:]
             gain = g**2 / (h + ridge) + (total_g - g) ** 2 / (total_h - h + ridge) - total_g**2 / (total_h + ridge)
             gain[:, :, -1] = 0
+            gain[:, hidden] = 0
             best = gain.reshape(width, -1).argmax(1)
             for k, at_best in enumerate(best.tolist()):
                 f, b = divmod(at_best, BINS)
