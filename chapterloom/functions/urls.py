@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import let
+from .text import let, strip
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 # RFC 3986, appendix B: scheme, authority, path, query and fragment.
@@ -19,7 +19,7 @@ def host(url: Column) -> Column:
 
 
 def is_valid(url: Column) -> Column:
-    trimmed = F.trim(url)
+    trimmed = strip(url)
     return trimmed.rlike("(?i)^https?://") & (host(trimmed) != "")
 
 

@@ -106,13 +106,16 @@ def _remove(df: DataFrame, doomed) -> DataFrame:
 
 
 def strip_hidden(df: DataFrame, ads: Ads = ()) -> DataFrame:
-    """Page-level pass: elements hidden by the page's CSS, and the site's ads.
+    """Page-level pass: the site's ads, then elements hidden by the CSS that is left.
 
-    Runs before a container is chosen, because the style sheet sits in the head.
+    Runs before a container is chosen, because the style sheet sits in the head. A style
+    sheet inside an ad goes with it and hides nothing.
     """
+    if ads:
+        df = strip_ads(df, ads)
     df = df.withColumn("hidden_css", hidden_selectors(F.col("nodes")))
     hidden = F.col("hidden_css")
-    out = _remove(df, lambda x: is_css_hidden(hidden, x) | is_ad(x, ads))
+    out = _remove(df, lambda x: is_css_hidden(hidden, x))
     return out.drop("hidden_css")
 
 

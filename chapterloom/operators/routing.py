@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import strip
 from ..functions.urls import host, is_valid
 
 
 def split_valid(df: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
     """(rows with a usable web address, trimmed; rejected rows)."""
     ok = F.coalesce(is_valid(F.col(url)), F.lit(False))
-    good = df.filter(ok).withColumn(url, F.trim(F.col(url)))
+    good = df.filter(ok).withColumn(url, strip(F.col(url)))
     return good, df.filter(~ok).withColumn("detail", F.lit("invalid_url"))
 
 

@@ -38,7 +38,12 @@ def strip_hidden(spark, d):
     css = F.when(F.col("page_id") % 2 == 0, F.lit("<style>.ad{display:none}</style>")).otherwise(
         F.lit("<style>b.q, .ad , .zz {color:red;visibility : hidden}</style>")
     )
-    return _text(C.strip_hidden(page_nodes(spark, d, inject("<head>", css))))
+    # A style sheet inside an ad says nothing about the page.
+    promo = F.lit('<article><div class="promo"><style>p{display:none}</style>buy</div>')
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(inject("<head>", css), F.lit("<article>"), promo)).otherwise(
+        inject("<head>", css)
+    )
+    return _text(C.strip_hidden(page_nodes(spark, d, html), ads=[el("div", "promo")]))
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<!--')) + len(regexp_extract_all(html, '<!DOCTYPE')) AS removed FROM pages""")

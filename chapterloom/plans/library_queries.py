@@ -344,7 +344,10 @@ def export_json(spark, d):
 
 
 def _zip_documents(spark, d):
-    """Each page's links packed as a ZIP export, folders numbered in tens."""
+    """Each page's links packed as a ZIP export, folders numbered in tens.
+
+    In every fifth the first file name is damaged; every eleventh is cut short.
+    """
     def pack(batches):
         for batch in batches:
             out = []
@@ -357,20 +360,24 @@ def _zip_documents(spark, d):
                         if i != 1:
                             archive.writestr(f"Library/{i * 10}/LibFilename", a["text"])
                         archive.writestr(f"Library/{i * 10}/LibEpub", "AAAA")
-                out.append((page_id, box.getvalue()))
+                    first = archive.getinfo("Library/0/LibFilename") if len(links) else None
+                data = bytearray(box.getvalue())
+                if page_id % 5 == 0 and first is not None and first.file_size:
+                    data[first.header_offset + 30 + len(first.filename)] ^= 1
+                out.append((page_id, bytes(data[:60] if page_id % 11 == 3 else data)))
             yield pd.DataFrame(out, columns=["export_id", "content"])
 
     return _links(spark, d).mapInPandas(pack, "export_id long, content binary")
 
 
-@query(f"""SELECT page_id AS export_id, (pos - 1) * 10 AS position, href AS url, CASE WHEN pos <> 2 THEN text END AS file_name, 'AAAA' AS payload_text
-           FROM ({LINKS_SQL})""")
+@query(f"""SELECT page_id AS export_id, (pos - 1) * 10 AS position, href AS url, CASE WHEN pos <> 2 AND NOT (pos = 1 AND page_id % 5 = 0) THEN text END AS file_name, 'AAAA' AS payload_text
+           FROM ({LINKS_SQL}) WHERE page_id % 11 <> 3""")
 def export_zip(spark, d):
     return X.parse_zip_exports(_zip_documents(spark, d))
 
 
 @query(f"""SELECT page_id AS export_id, CASE WHEN page_id % 2 = 0 THEN (pos - 1) * 10 ELSE pos - 1 END AS position, href AS url
-           FROM ({LINKS_SQL}) WHERE page_id % 2 = 0 OR page_id % 6 <> 0""")
+           FROM ({LINKS_SQL}) WHERE CASE WHEN page_id % 2 = 0 THEN page_id % 11 <> 3 ELSE page_id % 6 <> 0 END""")
 def export_sniff(spark, d):
     both = _zip_documents(spark, d).filter("export_id % 2 = 0").unionByName(
         _json_documents(spark, d).filter("export_id % 2 = 1")

@@ -125,12 +125,15 @@ def crawl(
 
 
 def chapter_bodies(pages: DataFrame, chapters: DataFrame, sites: Sequence[Site] = SITES) -> DataFrame:
-    """Cleaned bodies of chapters (site, url, title), once per URL.
+    """Cleaned bodies of chapters (site, url), once per URL.
+
+    A page without a title of its own has none here: catalogs may name one URL
+    differently, and each selection falls back to its own.
 
     A URL without a page has status ``not_fetched``; statuses other than ``ok``
     carry a reason.
     """
-    wanted = chapters.groupBy("url").agg(F.min("site").alias("site"), F.min("title").alias("catalog_title"))
+    wanted = chapters.groupBy("url").agg(F.min("site").alias("site"))
     found = wanted.join(pages.select("url", "html"), "url")
     read = with_nodes(found)
     nodes = F.col("nodes")
@@ -145,7 +148,7 @@ def chapter_bodies(pages: DataFrame, chapters: DataFrame, sites: Sequence[Site]
     clean = C.chapter_contents(
         read,
         containers=by_site(sites, lambda s: N.first_of(nodes, s.containers)),
-        titles=[by_site(sites, lambda s: s.chapter_title.value(nodes)), F.col("catalog_title")],
+        titles=[by_site(sites, lambda s: s.chapter_title.value(nodes)), F.lit(None).cast("string")],
         ads=ad,
         base_url=F.col("url"),
     ).select("url", "title", F.col("clean_html").alias("html"), "status")

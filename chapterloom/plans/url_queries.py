@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nodes as N, urls
 from ..functions.nodes import el, path
-from ..functions.text import escape_markup, slugify
+from ..functions.text import escape_markup, slugify, strip
 from ..operators import metadata as M, routing as R
 from ..sources.html_nodes import with_nodes
 from ..sources.pages import cover_files, distinct_pages, spread, table
@@ -58,21 +58,21 @@ def cover_filter(spark, d):
     return cover_files(docs).select("doc_id", "media_type", "file_name")
 
 
-@query("""SELECT page_id, trim(raw) AS url,
-                 CASE WHEN regexp_matches(trim(raw), '(?i)^https?://[^/?#:]') THEN 'ok' ELSE 'invalid_url' END AS detail
-          FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '  ' || url || ' ' WHEN 1 THEN replace(url, 'http', 'ftp')
+@query(r"""SELECT page_id, trim(raw, E' \t\r\n') AS url,
+                 CASE WHEN regexp_matches(trim(raw, E' \t\r\n'), '(?i)^https?://[^/?#:]') THEN 'ok' ELSE 'invalid_url' END AS detail
+          FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN E'\t ' || url || E' \r\n' WHEN 1 THEN replace(url, 'http', 'ftp')
                        WHEN 2 THEN replace(url, '://', ':///') ELSE upper(url) END AS raw FROM pages)""")
 def url_valid(spark, d):
     url, kind = F.col("url"), F.col("page_id") % 4
     raw = (
-        F.when(kind == 0, F.concat(F.lit("  "), url, F.lit(" ")))
+        F.when(kind == 0, F.concat(F.lit("\t "), url, F.lit(" \r\n")))
         .when(kind == 1, F.replace(url, F.lit("http"), F.lit("ftp")))
         .when(kind == 2, F.replace(url, F.lit("://"), F.lit(":///")))
         .otherwise(F.upper(url))
     )
     pages = table(spark, d, "pages").select("page_id", raw.alias("url"))
     good, bad = R.split_valid(pages)
-    return good.withColumn("detail", F.lit("ok")).unionByName(bad.withColumn("url", F.trim("url")))
+    return good.withColumn("detail", F.lit("ok")).unionByName(bad.withColumn("url", strip(F.col("url"))))
 
 
 @query(f"SELECT page_id, {HOST_SQL} AS host FROM pages")
@@ -321,7 +321,11 @@ def html_to_text(spark, d):
                   len(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '<[a-zA-Z]')) AS elements,
                   len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
 def html_nodes(spark, d):
-    nodes = page_nodes(spark, d).select("page_id", F.explode("nodes").alias("n")).select("page_id", "n.kind", "n.tag")
+    # Odd declarations, at the end of a page and cut off, are comments.
+    kind = F.col("page_id") % 7
+    tail = F.when(kind == 0, "<![odd[x]]>").when(kind == 1, "<![ x").otherwise("")
+    html = F.concat(F.when(kind == 2, "<![if !IE]>").otherwise(""), "html", tail)
+    nodes = page_nodes(spark, d, html).select("page_id", F.explode("nodes").alias("n")).select("page_id", "n.kind", "n.tag")
     return nodes.groupBy("page_id").agg(
         F.count_if(F.col("tag") == "a").alias("links"),
         F.count_if(F.col("kind") == "el").alias("elements"),

@@ -157,8 +157,12 @@ def save_archives(archives: DataFrame, folder: str) -> DataFrame:
     return archives.mapInArrow(save, T.StructType([*kept, T.StructField("saved_path", T.StringType())]))
 
 
-def _documents(content: bytes) -> Iterator[tuple]:
-    """(spine position, file name, title, html) of readable documents, navigation left out."""
+def _documents(content: bytes) -> list[tuple]:
+    """(spine position, file name, title, html) of all documents, navigation left out.
+
+    All or nothing: an archive with one unreadable document has none.
+    """
+    found: list[tuple] = []
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
         with archive:
@@ -184,9 +188,10 @@ def _documents(content: bytes) -> Iterator[tuple]:
                 at += 1
                 href = item.get("href")
                 html = archive.read(posixpath.normpath(posixpath.join(root, href))).decode("utf-8", "replace")
-                yield at, href, titles.get(href), html
-    except Exception:  # noqa: BLE001 - an unreadable archive has no documents
-        return
+                found.append((at, href, titles.get(href), html))
+    except Exception:  # noqa: BLE001 - no archive may end a job
+        return []
+    return found
 
 
 def _contents(html: str) -> dict[str, str]:
@@ -200,6 +205,13 @@ def _contents(html: str) -> dict[str, str]:
     return found
 
 
+def unreadable_archives(df: DataFrame, documents: DataFrame) -> DataFrame:
+    """Archives without documents: damaged ones, and ones that hold none."""
+    return df.select("archive_id").join(documents, "archive_id", "left_anti").withColumn(
+        "detail", F.lit("unreadable_archive")
+    )
+
+
 def explode_archives(df: DataFrame) -> DataFrame:
     """Archives (archive_id, payload) to documents in reading order.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 
@@ -30,36 +29,46 @@ def parse_json_exports(df: DataFrame) -> DataFrame:
     )
 
 
-def _archive_rows(content: bytes) -> Iterator[tuple]:
-    """(index, key values) for every numbered folder that is really there, by number."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, ValueError):
-        return
-    with archive:
-        names = set(archive.namelist())
-        folders = {int(m[1]) for n in names if (m := re.match(r"Library/(\d+)/", n))}
-        for index in sorted(folders):
-            values = []
-            for key in KEYS:
-                name = f"Library/{index}/{key}"
-                values.append(archive.read(name).decode("utf-8", "replace") if name in names else None)
-            yield (index, *values)
+MEMBERS = "export_id {id}, member string, text string, status string"
 
 
-def parse_zip_exports(df: DataFrame) -> DataFrame:
-    """ZIP documents (export_id, content BINARY) to raw rows, one archive at a time."""
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def zip_members(df: DataFrame) -> DataFrame:
+    """Every member of ZIP documents (export_id, content BINARY), with a status.
+
+    ``ok``; ``unreadable`` for a member that is damaged, encrypted or packed in an unknown way; a document that is no
+    archive is one row without a member, ``no_archive``.
+    """
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for export_id, content in zip(batch["export_id"], batch["content"]):
-                rows = [(export_id, *r) for r in _archive_rows(bytes(content))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
+                        for info in archive.infolist():
+                            try:
+                                rows.append((export_id, info.filename, archive.read(info).decode("utf-8", "replace"), "ok"))
+                            except Exception:  # noqa: BLE001 - no member may end a job
+                                rows.append((export_id, info.filename, None, "unreadable"))
+                except Exception:  # noqa: BLE001 - nor may an archive
+                    rows = [(export_id, None, None, "no_archive")]
+                yield pd.DataFrame(rows, columns=["export_id", "member", "text", "status"])
 
     kind = df.schema["export_id"].dataType.simpleString()
-    return df.select("export_id", "content").mapInPandas(
-        explode,
-        f"export_id {kind}, position int, url string, file_name string, payload_text string",
+    return df.select("export_id", "content").mapInPandas(listed, MEMBERS.format(id=kind))
+
+
+def parse_zip_exports(df: DataFrame) -> DataFrame:
+    """ZIP documents to raw rows: the number and the key come from a member's path, keys become columns.
+
+    A folder counts as soon as one member lies in it; unreadable values are null.
+    """
+    place = F.regexp_extract("member", r"^Library/(\d+)/(.*)", 1)
+    key = F.regexp_extract("member", r"^Library/(\d+)/(.*)", 2)
+    named = zip_members(df).filter("member is not null").select(
+        "export_id", place.try_cast("int").alias("position"), key.alias("key"), "text"
+    )
+    return named.filter("position is not null").groupBy("export_id", "position").agg(
+        *[F.max(F.when(F.col("key") == k, F.col("text"))).alias(n) for k, n in zip(KEYS, RAW_COLUMNS[2:])]
     )
 
 

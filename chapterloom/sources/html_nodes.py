@@ -7,6 +7,7 @@ exploded rows, and a group is never larger than one page.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -94,10 +95,18 @@ class _Nodes(HTMLParser):
         return self.rows
 
 
+# Declarations that the standard parser refuses; HTML reads them as comments.
+_ODD_DECLARATION = re.compile(r"<!\[(?!CDATA\[)([^>]*)>?")
+
+
 def parse_nodes(html: str | None) -> list[list]:
-    parser = _Nodes()
-    parser.feed(html or "")
-    return parser.finish()
+    """Nodes of one page. Whatever a page holds, it never fails: what cannot be parsed has no nodes."""
+    try:
+        parser = _Nodes()
+        parser.feed(_ODD_DECLARATION.sub(r"<!--\1-->", html or ""))
+        return parser.finish()
+    except (AssertionError, ValueError, RecursionError):
+        return []
 
 
 def _node_array(pages: list[list[list]]) -> pa.Array:
