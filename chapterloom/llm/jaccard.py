@@ -10,13 +10,13 @@ Answers are derived along set relations:
 
 1. Equal sets are one class; its representative answers for all.
 2. In each list every set is verified against one member of it. The links give first components:
-   sets in one need no more comparing, its leader's answers stand for them.
-3. Where a list still joins several components, their leaders are compared, and a pair of members is
-   verified only if the leaders' overlap plus the elements by which each member differs from
-   its leader could reach the threshold. All other pairs follow from the leaders' answer.
+   sets in one need no more comparing, its answers are taken over.
+3. Lists that still hold several components unite them to families. Sets of one family but of different
+   components are compared in blocks; a block gives only what it links, so a dense family, such as
+   thousands of near copies, is compared in full without a row for each of its pairs.
 
-Lists are folded inside each batch before they are shuffled, so a list that a third of all documents
-share arrives as one row a batch. Components are found without gathering them.
+Lists are folded inside each part of a scan before they are shuffled, so a list that a third of all documents
+share arrives as one row a part. Components are found without gathering them.
 
 Defined results: a null or wordless text has an empty set (size 0) and is linked with nothing; fewer than
 ``size`` words are one shingle; rows with equal doc_id are one document if their texts agree, else
@@ -39,19 +39,30 @@ from .graph import components
 
 SIZE, NUM, DEN = 3, 90, 100
 SALTS = 16
+#: Bytes of text whose lists are folded before they are dealt out.
+ENTERED = 4 << 20
+#: Sets and elements in one block of a family, and elements that are counted at once.
+BLOCK, BLOCK_ITEMS, COLUMNS = 1024, 500_000, 4096
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def size_classes(num: int, den: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends of the size classes, and the number of blocks for pairs of a class and the next."""
+def size_classes(num: int, den: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper ends of the size classes, blocks for pairs of a class and the next, and spare blocks among them.
+
+    With ``spare`` blocks beyond h + 1, two similar sets share spare + 1 blocks at least; so a set with
+    no more than ``spare`` empty blocks need not be listed under those.
+    """
     upper = []
     low = 1
     while low < limit:
         upper.append(low * den // num)
         low = upper[-1] + 1
     ends = np.array(upper, np.int64)
-    differ = (ends[:-1] + ends[1:]) * (den - num) // (den + num)
-    return ends[:-1], differ + 1
+    least = (ends[:-1] + ends[1:]) * (den - num) // (den + num) + 1
+    low = np.concatenate([[1], ends[:-2] + 1])
+    spare = np.ceil(1.5 * least * np.exp(-low / least)).astype(np.int64) + 1
+    spare[least == 1] = 0
+    return ends[:-1], least + spare, spare
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -73,7 +84,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
-def blocks(elements: np.ndarray, level: int, counts: np.ndarray) -> np.ndarray:
+def blocks(elements: np.ndarray, level: int, counts: np.ndarray, spare: np.ndarray) -> np.ndarray:
     """Keys of the blocks of one sorted set, under the block numbers of its class and the one below."""
     sums = np.zeros(len(elements) + 1, np.uint64)
     np.cumsum(B.mixed(elements ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
@@ -84,36 +95,42 @@ def blocks(elements: np.ndarray, level: int, counts: np.ndarray) -> np.ndarray:
         edges = (np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m)
         at = np.searchsorted(high, edges)
         at[-1] = len(elements)
-        body = sums[at[1:]] - sums[at[:-1]]
-        place = np.arange(m, dtype=np.uint64) + np.uint64((group + 1) << 40)
-        keys.append(B.mixed(B.mixed(body + np.diff(at).astype(np.uint64)) + place))
+        size = np.diff(at)
+        key = B.mixed(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64))
+        key = B.mixed(key + np.arange(m, dtype=np.uint64) + np.uint64((group + 1) << 40))
+        full = size > 0
+        keys.append(key[full] if m - full.sum() <= spare[group] else key)
     return np.concatenate(keys)
 
 
-def signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, cid, check, keys): set size, two fingerprints of the set, block keys; stored."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
+
+
+def _prints(sets: list[np.ndarray], turn: int) -> np.ndarray:
+    """One 64-bit fingerprint of each set."""
+    with np.errstate(over="ignore"):
+        found = [int(B.mixed(s * _MULT[turn]).sum(dtype=np.uint64)) for s in sets]
+    return np.array(found, np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, cid, check): set size and two fingerprints of the set; stored."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, counts = size_classes(num, den)
         for rows, raw, offsets in B.slices(batches, "text"):
             sets = shingle_sets(raw, offsets, size)
-            n = np.array([len(s) for s in sets], np.int64)
-            level = np.searchsorted(ends, n)
-            with np.errstate(over="ignore"):
-                cid = [int(B.mixed(s).sum(dtype=np.uint64)) for s in sets]
-                check = [int(B.mixed(s * _MULT[1]).sum(dtype=np.uint64)) for s in sets]
-            keys = [blocks(s, int(k), counts).tobytes() if len(s) else b"" for s, k in zip(sets, level, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), pa.array(n), pa.array(np.array(cid, np.uint64).view(np.int64)),
-                    pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(keys, pa.binary()),
+                    rows.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)),
+                    pa.array(_prints(sets, 0)), pa.array(_prints(sets, 1)),
                 ],
-                ["doc_id", "n", "cid", "check", "keys"],
+                ["doc_id", "n", "cid", "check"],
             )
 
-    texts = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
+    texts = _texts(docs)
     id_type = dict(texts.dtypes)["doc_id"]
-    return stored(texts.mapInArrow(signed, f"doc_id {id_type}, n long, cid long, check long, keys binary"), "set-signatures")
+    return stored(texts.mapInArrow(signed, f"doc_id {id_type}, n long, cid long, check long"), "set-signatures")
 
 
 def _heads(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,15 +150,19 @@ def _entries(key, cid, other, deal) -> pa.RecordBatch:
     )
 
 
-def index_lists(classes: DataFrame) -> DataFrame:
+def index_lists(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Lists of two sets or more, (key, cid, other): ``other`` is a member to verify against; stored."""
 
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids = batch.column("cid").to_numpy()
-            parts = batch.column("keys").to_pylist()
-            key = np.frombuffer(b"".join(parts), np.int64)
-            cid = np.repeat(cids, [len(p) // 8 for p in parts])
+        ends, counts, spare = size_classes(num, den)
+        for _, raw, offsets in B.slices(batches, "text", ENTERED):
+            sets = [s for s in shingle_sets(raw, offsets, size) if len(s)]
+            if not sets:
+                continue
+            cids, at = np.unique(_prints(sets, 0), return_index=True)  # equal sets enter once
+            keys = [blocks(sets[i], int(np.searchsorted(ends, len(sets[i]))), counts, spare) for i in at.tolist()]
+            key = np.concatenate(keys).view(np.int64)
+            cid = np.repeat(cids, [len(k) for k in keys])
             order, head, length = _heads(key, cid)
             key, cid = key[order], cid[order]
             folded = head != np.arange(len(head))
@@ -176,7 +197,7 @@ def index_lists(classes: DataFrame) -> DataFrame:
                 yield _entries(key[pick], cid[pick], pa.array(cid[head][pick], mask=first[pick]), key[pick])
             held = (key[last : last + 1], cid[last : last + 1], given)
 
-    raw = classes.mapInArrow(entered, "deal long, key long, cid long, other long")
+    raw = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(entered, "deal long, key long, cid long, other long")
     dealt = raw.repartition("deal").sortWithinPartitions("key", "cid")
     return stored(dealt.mapInArrow(met, "deal long, key long, cid long, other long").drop("deal"), "index-lists")
 
@@ -187,15 +208,13 @@ def elements_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in B.slices(batches, "text"):
             sets = shingle_sets(raw, offsets, size)
-            with np.errstate(over="ignore"):
-                cid = np.array([int(B.mixed(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
+            cid = _prints(sets, 0)
             ends = np.cumsum([0, *map(len, sets)])
             items = B.list_array(np.concatenate(sets).view(np.int64), ends, pa.int64())
             batch = pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.diff(ends)), items], ["cid", "n", "items"])
             yield batch.filter(pa.array(cid == rows.column("cid").to_numpy()))
 
-    texts = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
-    found = texts.join(wanted, "doc_id").mapInArrow(listed, "cid long, n long, items array<bigint>")
+    found = _texts(docs).join(wanted, "doc_id").mapInArrow(listed, "cid long, n long, items array<bigint>")
     return stored(found.dropDuplicates(["cid"]), "set-elements")
 
 
@@ -210,13 +229,82 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of one family (family, leader, cid, n, items), block by block.
+
+    A task holds two blocks of a family and counts the common elements of all their sets as a product of
+    matrices. It gives the trees of what is linked, never the pairs.
+    """
+    sizes = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("parts")
+    )
+    cut = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    rest = ["leader", "cid", "n", "items"]
+    one = cut.select("family", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.lit(0).alias("side"), *rest)
+    two = cut.where("part > 0").select("family", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"), *rest)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("family", "p", "q")])
+            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            for low, high in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
+                group = tuple(key[:, low].tolist())
+                if held and group != last:
+                    yield _trees(held, num, den)
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = group
+        if held:
+            yield _trees(held, num, den)
+
+    dealt = one.union(two).repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
+    return dealt.mapInArrow(compared, "a long, b long").where("a <> b")
+
+
+def _trees(parts: list[pa.RecordBatch], num: int, den: int) -> pa.RecordBatch:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    cid, n, leader, side = (table.column(c).to_numpy() for c in ("cid", "n", "leader", "side"))
+    items = table.column("items").chunk(0).flatten().to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    _, code, count = np.unique(items, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1  # an element of one set alone is common to none
+    shared = count[code] > 1
+    row, code = row[shared], rank[code[shared]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    width = int(rank[-1]) + 1 if len(rank) else 0
+    # Sets of one side only are compared where the block meets itself.
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(code, (low, low + COLUMNS))
+        matrix = np.zeros((len(n), min(COLUMNS, width - low)), np.float32)
+        matrix[row[a:b], code[a:b] - low] = 1
+        common += matrix[left] @ matrix[right].T
+    near = common.astype(np.int64) * (num + den) >= num * (n[left][:, None] + n[right][None, :])
+    near &= leader[left][:, None] != leader[right][None, :]
+    label = np.arange(len(n))
+    while True:  # the smallest row that links reach
+        down = np.where(near, label[right][None, :], len(n)).min(1, initial=len(n))
+        up = np.where(near, label[left][:, None], len(n)).min(0, initial=len(n))
+        new = label.copy()
+        np.minimum.at(new, left, down)
+        np.minimum.at(new, right, up)
+        if (new == label).all():
+            break
+        label = new
+    return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(cid[label])], ["a", "b"])
+
+
 def similar_sets(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
-    signs = signatures(docs, size, num, den)
+    signs = signatures(docs, size)
     named = signs.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    keyed = named.groupBy("cid", "check", "n").agg(F.first("keys").alias("keys"))
-    lists = index_lists(keyed.select("cid", "keys"))
+    lists = index_lists(docs, size, num, den)
     wanted = classes.join(lists.select("cid").distinct(), "cid").select("cid", F.col("rep").alias("doc_id"))
     sets = elements_of(docs, wanted, size)
 
@@ -231,7 +319,7 @@ def similar_sets(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = D
     links = stored(linked(overlaps(first, sets)), "first-links")
     groups = components(links)
 
-    # Lists whose members are not all in one component.
+    # Lists whose members are not all in one component, united to families.
     placed = lists.select("key", "cid").distinct().join(groups.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "cid", F.coalesce("component", "cid").alias("leader")
     )
@@ -239,33 +327,16 @@ def similar_sets(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = D
         placed.groupBy("key")
         .agg(F.min("leader").alias("low"), F.max("leader").alias("high"), F.count(F.lit(1)).alias("held"))
         .where("low < high AND held > 2")  # the two of a list of two were verified
-        .select("key")
+        .select("key", "low")
     )
     open_ = stored(placed.join(mixed, "key"), "open-lists")
-    x, y = (open_.select("key", F.col("leader").alias(c)).distinct() for c in ("a", "b"))
-    leaders = overlaps(x.join(y, "key").where("a < b").select("a", "b").distinct(), sets).select(
-        F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), F.col("common").alias("between")
-    )
-    members = open_.where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
-    apart = overlaps(members, sets).select(F.col("a").alias("cid"), (F.col("na") - F.col("common")).alias("apart"))
-    sized = (
-        open_.join(apart, "cid", "left")
-        .join(sets.select("cid", "n"), "cid")
-        .select("key", "cid", "leader", "n", F.coalesce("apart", F.lit(0)).alias("apart"))
-    )
-    side = lambda c: sized.select(
-        "key", F.col("cid").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("leader", "n", "apart"))
-    )
-    reach = F.col("between") + F.col("apart_a") + F.col("apart_b")
-    rest = (
-        side("a").join(side("b"), "key")
-        .where("leader_a < leader_b")
-        .where(F.col("n_a") * den >= F.col("n_b") * num).where(F.col("n_b") * den >= F.col("n_a") * num)
-        .join(leaders, ["leader_a", "leader_b"])
-        .where(reach * (num + den) >= F.lit(num) * (F.col("n_a") + F.col("n_b")))
-        .select("a", "b")
+    families = components(open_.select(F.col("leader").alias("a"), F.col("low").alias("b")))
+    members = (
+        open_.select("cid", "leader").distinct()
+        .join(families.select(F.col("node").alias("leader"), F.col("component").alias("family")), "leader")
+        .join(sets, "cid")
     )
-    more = linked(overlaps(ordered(rest), sets))
+    more = family_links(members, num, den)
     joined = components(links.union(more))
     named_groups = (
         classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left")
