@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import escape_markup
 from ..functions.urls import entry_id
-from .ordering import HOT_ROWS, with_ordinal, with_running
+from .ordering import with_ordinal, with_running
 
 # ---- fixed values -------------------------------------------------------
 CHAPTER_FILE = "text/chapter_%04d.xhtml"
@@ -76,9 +76,9 @@ def stop_warnings(chapters: DataFrame, key: str = "novel_id") -> DataFrame:
     )
 
 
-def with_position(chapters: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_position(chapters: DataFrame) -> DataFrame:
     """1-based place in the book, whatever the catalog numbers are."""
-    return with_ordinal(chapters, ["novel_id"], ["chapter_index"], "position", hot_rows)
+    return with_ordinal(chapters, ["novel_id"], ["chapter_index"], "position")
 
 
 def book_manifest(books: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def title_page(title: Column, author: Column, description: Column, source_url: C
     )
 
 
-def with_volume(chapters: DataFrame, limit: int = VOLUME_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_volume(chapters: DataFrame, limit: int = VOLUME_CHARS) -> DataFrame:
     """Append ``position`` and ``volume``: a new volume for every ``limit`` characters.
 
     Both come from one pass over the ordered chapters; ordinary books have the
@@ -157,7 +157,7 @@ def with_volume(chapters: DataFrame, limit: int = VOLUME_CHARS, hot_rows: int =
     """
     size = (F.char_length("html") + 1).cast("long")
     placed = with_running(
-        chapters, ["novel_id"], ["chapter_index"], {"position": F.lit(1).cast("long"), "_chars": size}, hot_rows
+        chapters, ["novel_id"], ["chapter_index"], {"position": F.lit(1).cast("long"), "_chars": size}
     )
     return placed.withColumn("volume", F.floor((F.col("_chars") - 1) / limit).cast("int")).drop("_chars")
 

@@ -8,7 +8,7 @@ from ..functions import nodes as N
 from ..functions.text import let, strip
 from ..functions.urls import host, resolve
 from ..plans.site_rules import CHAPTER_LINK, MAX_LIST_PAGES, Site
-from .ordering import HOT_ROWS, top_k, with_ordinal
+from .ordering import top_k, with_ordinal
 
 # Fixed value: the chapter list embedded in a script.
 CHAPTERS_SCRIPT = r"(?s)window\.chapters\s*=\s*(\[.*?\])\s*;"
@@ -171,9 +171,9 @@ def found_running(entries: DataFrame, max_pages: int = MAX_LIST_PAGES) -> DataFr
     return fresh_pages(entries, max_pages)[1].select("novel_id", "page", "size", "found")
 
 
-def number_catalog(df: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_catalog(df: DataFrame, order: list[str]) -> DataFrame:
     """Number rows (novel_id, title, url, ...) within their novel."""
-    return with_ordinal(df, ["novel_id"], order, "chapter_index", hot_rows)
+    return with_ordinal(df, ["novel_id"], order, "chapter_index")
 
 
 def select_chapters(catalog: DataFrame, requests: DataFrame) -> DataFrame:
@@ -247,14 +247,14 @@ def selected_count(catalog: DataFrame, cap: int) -> DataFrame:
 
 
 def fetch_frontier(
-    catalog: DataFrame, held: DataFrame, delay: float = 0.75, hot_rows: int = HOT_ROWS
+    catalog: DataFrame, held: DataFrame, delay: float = 0.75
 ) -> DataFrame:
     """URLs still to be fetched, each once, with their earliest second per host."""
     missing = catalog.join(held.select("url"), "url", "left_anti")
     once = missing.groupBy("url").agg(
         F.min(F.struct("novel_id", "chapter_index")).alias("_f")
     ).select("url", host(F.col("url")).alias("host"), "_f.*")
-    queued = with_ordinal(once, ["host"], ["novel_id", "chapter_index", "url"], "place", hot_rows)
+    queued = with_ordinal(once, ["host"], ["novel_id", "chapter_index", "url"], "place")
     return queued.withColumn("wait_seconds", (F.col("place") - 1) * F.lit(delay))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import HOT_ROWS, with_ordinal, with_previous, with_running
+from .ordering import with_ordinal, with_previous, with_running
 
 # ---- fixed values -------------------------------------------------------
 TERMINAL = ("done", "error")
@@ -13,9 +13,9 @@ HEARTBEAT_SECONDS = 15
 # -------------------------------------------------------------------------
 
 
-def with_sequence(events: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_sequence(events: DataFrame, order: list[str]) -> DataFrame:
     """Number each job's events from 1 in arrival order."""
-    return with_ordinal(events, ["job_id"], order, "seq", hot_rows)
+    return with_ordinal(events, ["job_id"], order, "seq")
 
 
 def replay(events: DataFrame, start: int | Column) -> DataFrame:
@@ -90,7 +90,7 @@ def job_progress(events: DataFrame) -> DataFrame:
     return last.select("job_id", "p.value", F.greatest("p.total", F.lit(1)).alias("total"))
 
 
-def download_running(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def download_running(events: DataFrame) -> DataFrame:
     """Chapters delivered and failed so far, on each download event.
 
     A failed chapter is delivered as a placeholder, so it counts in both.
@@ -101,13 +101,12 @@ def download_running(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         ["job_id"],
         ["seq"],
         {"delivered": F.lit(1).cast("long"), "failures": F.col("failed").cast("long")},
-        hot_rows,
     )
 
 
-def idle_gaps(events: DataFrame, beat: int = HEARTBEAT_SECONDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def idle_gaps(events: DataFrame, beat: int = HEARTBEAT_SECONDS) -> DataFrame:
     """Silent intervals of ``beat`` seconds before each event of a job."""
-    prior = with_previous(events, ["job_id"], ["seq"], {"_before": "ts"}, hot_rows)
+    prior = with_previous(events, ["job_id"], ["seq"], {"_before": "ts"})
     gap = F.unix_micros("ts") - F.unix_micros("_before")
     return prior.withColumn(
         "beats", F.coalesce(F.floor(gap / (beat * 1_000_000)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import HOT_ROWS, top_k, with_ordinal
+from .ordering import top_k, with_ordinal
 
 #: Fixed value: the plain name and the suffixes -2 .. -999.
 LIMIT = 999
@@ -45,7 +45,7 @@ def _linked_roots(slugs: DataFrame) -> DataFrame:
     return roots.join(shared, "root", "left_semi")
 
 
-def free_names(arrivals: DataFrame, existing: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def free_names(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
     """Give each arrival (slug, arrival) the first free name, in arrival order.
 
     ``existing`` has ``stem`` (names in use, without extension). Output adds
@@ -65,7 +65,7 @@ def free_names(arrivals: DataFrame, existing: DataFrame, hot_rows: int = HOT_ROW
     used = taken.join(slugs, "slug", "left_semi").groupBy("slug").agg(F.collect_set("k").alias("used"))
     linked = _linked_roots(slugs)
 
-    ranked = with_ordinal(arrivals, ["slug"], ["arrival"], "_rank", hot_rows).join(used, "slug", "left")
+    ranked = with_ordinal(arrivals, ["slug"], ["arrival"], "_rank").join(used, "slug", "left")
     free = F.array_except(
         F.sequence(F.lit(1), F.lit(LIMIT)), F.coalesce("used", F.array().cast("array<int>"))
     )

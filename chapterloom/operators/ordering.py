@@ -1,47 +1,36 @@
 """Ordered windows that survive a key holding a third of all rows.
 
-``Window.partitionBy(key)`` puts a whole key into one task. The helpers here
-look at the key sizes first (a map-side combined count of one narrow column).
-Keys below ``hot_rows`` take the ordinary window. The few keys above it are
-range-partitioned by (key, order), so that one key spans many slices; each
-slice gets its own window, and a carry per slice, computed from slice totals,
-joins the pieces. Results are the same, row for row.
+``Window.partitionBy(key)`` puts a whole key into one task. Here every key is cut into slices by a
+coarse form of its order column, a plain expression such as the day or the number divided by
+a span; each slice has its own window, and a carry per slice, from slice totals, joins the
+pieces. Totals are combined before they are shuffled, from the key, order and amount columns alone. There is one path
+whatever the sizes, nothing is counted beforehand, and no job starts while a plan is built. Results equal an ordinary
+window's, row for row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import checkpointed
+#: Width of a slice in units of a numeric order column; microseconds take ``DAY_US``.
+SPAN = 100_000
+DAY_US = 86_400_000_000
 
-#: A window partition up to this many rows sorts comfortably in one task.
-HOT_ROWS = 4_000_000
 
-
-def _split_by_size(
-    df: DataFrame, keys: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of hot keys or None, number of slices for the latter)."""
-    sizes = df.groupBy(*keys).count().filter(F.col("count") >= hot_rows)
-    total = sizes.agg(F.sum("count")).first()[0]
-    if not total:
-        return df, None, 0
-    # At most rows / hot_rows keys pass the filter, so this table stays small.
-    hot = checkpointed(sizes)
-    names = [f"_hot_{k}" for k in keys]
-    hot = hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    cold_rows = df.join(hot, same, "left_anti")
-    hot_rows_df = df.join(hot, same, "left_semi")
-    return cold_rows, hot_rows_df, max(2, 2 * -(-total // hot_rows))
-
-
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    """Range slices with their number pinned, so that both readers agree on it."""
-    ranged = df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
-    return checkpointed(ranged)
+def coarse(df: DataFrame, name: str, span: int) -> Column:
+    """A coarse value of an order column that never falls where the column rises; null stays null."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(name)
+    if isinstance(kind, T.DateType):
+        return F.year(name)
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(name) / span)
+    if isinstance(kind, T.StringType):
+        return F.substring(name, 1, 4)
+    return F.lit(0)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,75 +42,49 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def with_running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    amounts: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], amounts: dict[str, Column], span: int = SPAN
 ) -> DataFrame:
     """Running sums per key, the current row included.
 
     ``order`` names ascending columns that order each key totally; ``amounts``
     maps output names to the value each row adds (never null).
     """
-    def window(partition: Sequence[str]):
-        return W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-
-    cold, hot, slices = _split_by_size(df, keys, hot_rows)
-    running = {n: F.sum(a).over(window(keys)) for n, a in amounts.items()}
-    result = cold.withColumns(running)
-    if hot is None:
-        return result
-    hot = _sliced(hot, keys, order, slices)
     by_slice = [*keys, "_slice"]
-    totals = hot.groupBy(*by_slice).agg(*[F.sum(a).alias(f"_c_{n}") for n, a in amounts.items()])
-    # One row per slice of a key: this window is bounded by the slice count.
+    cut = df.withColumn("_slice", coarse(df, order[0], span))
+    totals = cut.groupBy(*by_slice).agg(*[F.sum(a).alias(f"_c_{n}") for n, a in amounts.items()])
+    # One row per slice of a key.
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
         *by_slice,
         *[F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in amounts],
     )
-    local = hot.withColumns({n: F.sum(a).over(window(by_slice)) for n, a in amounts.items()})
-    pieced = _joined(local, carry, by_slice).withColumns(
-        {n: F.col(n) + F.col(f"_c_{n}") for n in amounts}
-    )
-    return result.unionByName(pieced.select(*result.columns))
+    w = W.partitionBy(*by_slice).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumns({n: F.sum(a).over(w) for n, a in amounts.items()})
+    pieced = _joined(local, carry, by_slice).withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in amounts})
+    return pieced.select(*[c for c in df.columns if c not in amounts], *amounts)
 
 
 def with_ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "seq",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq", span: int = SPAN
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    return with_running(df, keys, order, {out: F.lit(1).cast("long")}, hot_rows)
+    return with_running(df, keys, order, {out: F.lit(1).cast("long")}, span)
 
 
 def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: dict[str, str],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], span: int = SPAN
 ) -> DataFrame:
     """Values of the row just before within the key; null on the first row."""
-    cold, hot, slices = _split_by_size(df, keys, hot_rows)
-    w = W.partitionBy(*keys).orderBy(*order)
-    result = cold.withColumns({n: F.lag(c).over(w) for n, c in columns.items()})
-    if hot is None:
-        return result
-    hot = _sliced(hot, keys, order, slices)
     by_slice = [*keys, "_slice"]
-    last = hot.groupBy(*by_slice).agg(
+    cut = df.withColumn("_slice", coarse(df, order[0], span))
+    last = cut.groupBy(*by_slice).agg(
         *[F.max_by(F.struct(c), F.struct(*order)).alias(f"_c_{n}") for n, c in columns.items()]
     )
     back = W.partitionBy(*keys).orderBy("_slice")
     carry = last.select(*by_slice, *[F.lag(f"_c_{n}").over(back).alias(f"_c_{n}") for n in columns])
     local = W.partitionBy(*by_slice).orderBy(*order)
     pieced = _joined(
-        hot.withColumns({n: F.lag(c).over(local) for n, c in columns.items()}).withColumn(
+        cut.withColumns({n: F.lag(c).over(local) for n, c in columns.items()}).withColumn(
             "_at", F.row_number().over(local)
         ),
         carry,
@@ -132,7 +95,7 @@ def with_previous(
             for n, c in columns.items()
         }
     )
-    return result.unionByName(pieced.select(*result.columns))
+    return pieced.select(*[c for c in df.columns if c not in columns], *columns)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import HOT_ROWS, top_k, with_running
+from .ordering import top_k, with_running
 
 # ---- fixed values -------------------------------------------------------
 MAX_RUNS = 20
@@ -60,10 +60,10 @@ def baselines(settings: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def collapse_skips(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def collapse_skips(runs: DataFrame) -> DataFrame:
     """Keep one skip per postponement: the first one after each real run."""
     island = with_running(
-        runs, ["library_id"], ["seq"], {"_island": (F.col("status") != "skipped").cast("long")}, hot_rows
+        runs, ["library_id"], ["seq"], {"_island": (F.col("status") != "skipped").cast("long")}
     )
     # Only skips can repeat within an island, and their first one is a combined aggregate.
     first = (

@@ -22,7 +22,7 @@ def test_running_and_ordinal(spark):
     cols = ["k", "t", "id", "v", "n", "s"]
     amounts = {"n": F.lit(1).cast("long"), "s": F.col("v").cast("long")}
     plain = O.with_running(df, ["k"], ["t", "id"], amounts).select(cols).collect()
-    sliced = O.with_running(df, ["k"], ["t", "id"], amounts, hot_rows=50).select(cols).collect()
+    sliced = O.with_running(df, ["k"], ["t", "id"], amounts, span=7).select(cols).collect()
     assert sorted(map(str, plain)) == sorted(map(str, sliced)) and len(plain) == 1000
     model = {}
     for k, t, i, v in sorted(_rows(), key=lambda r: (str(r[0]), r[1], r[2])):
@@ -36,11 +36,32 @@ def test_previous(spark):
     df = _frame(spark)
     cols = ["k", "t", "id", "before"]
     plain = O.with_previous(df, ["k"], ["t", "id"], {"before": "v"}).select(cols).collect()
-    sliced = O.with_previous(df, ["k"], ["t", "id"], {"before": "v"}, hot_rows=50).select(cols).collect()
+    sliced = O.with_previous(df, ["k"], ["t", "id"], {"before": "v"}, span=7).select(cols).collect()
     assert sorted(map(str, plain)) == sorted(map(str, sliced))
     assert sum(r.before is None for r in sliced) == 42
 
 
+def test_building_a_window_starts_no_job_and_totals_are_combined_first(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ordering", "build")
+    out = O.with_ordinal(_frame(spark), ["k"], ["t", "id"])
+    assert not tracker.getJobIdsForGroup("ordering")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert "partial_sum" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_follow_every_kind_of_order(spark):
+    rows = [(1, None), (1, "a"), (1, "abcde"), (1, "abcdf"), (1, "b"), (1, "é")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    for kind in ("string", "binary"):
+        got = O.with_ordinal(df.withColumn("t", F.col("t").cast(kind)), ["k"], ["t"]).orderBy("seq").collect()
+        assert [r.seq for r in got] == [1, 2, 3, 4, 5, 6] and got[0].t is None
+    times = spark.sql("SELECT 1 AS k, timestamp_seconds(id * 40000) AS t, id FROM range(20)")
+    for column in ("t", "date(t)"):
+        got = O.with_running(times.withColumn("u", F.expr(column)), ["k"], ["u", "id"], {"s": F.col("id")}).collect()
+        assert all(r.s == r.id * (r.id + 1) // 2 for r in got)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     top = O.top_k(_frame(spark), ["k"], [F.desc("id")], 3)
     plan = top._jdf.queryExecution().executedPlan().toString()

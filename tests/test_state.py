@@ -28,9 +28,8 @@ def test_free_names_against_a_loop(spark):
     existing = ["x-3", "y", "y-2", "z-5-2", "many-7", "other"]
     a = spark.createDataFrame(arrivals, "slug string, arrival long").repartition(3)
     e = spark.createDataFrame([(s,) for s in existing], "stem string")
-    for hot in (10**9, 100):
-        got = {r.arrival: r.stem for r in naming.free_names(a, e, hot_rows=hot).collect()}
-        assert got == name_model(arrivals, existing)
+    got = {r.arrival: r.stem for r in naming.free_names(a, e).collect()}
+    assert got == name_model(arrivals, existing)
 
 
 def test_skips_collapse_like_a_loop(spark):
@@ -48,8 +47,7 @@ def test_skips_collapse_like_a_loop(spark):
                 recorded = True
                 want.add((lib, seq))
     df = spark.createDataFrame(rows, "library_id int, seq int, status string")
-    for hot in (10**9, 12):
-        assert {(r.library_id, r.seq) for r in S.collapse_skips(df, hot).collect()} == want
+    assert {(r.library_id, r.seq) for r in S.collapse_skips(df).collect()} == want
 
 
 def test_update_keeps_quirks(spark):
