@@ -8,7 +8,7 @@ from ..functions import nodes as N
 from ..functions.text import let, strip
 from ..functions.urls import host, resolve
 from ..plans.site_rules import CHAPTER_LINK, MAX_LIST_PAGES, Site
-from .ordering import top_k, with_ordinal
+from .ordering import top_k, with_ordinal, with_running
 
 # Fixed value: the chapter list embedded in a script.
 CHAPTERS_SCRIPT = r"(?s)window\.chapters\s*=\s*(\[.*?\])\s*;"
@@ -129,28 +129,38 @@ def toc_pages(nodes: Column, options: N.Group, most: int = MAX_LIST_PAGES) -> Co
     return F.least(F.greatest(F.size(N.matches(nodes, options)), F.lit(1)), F.lit(most))
 
 
-def fresh_pages(entries: DataFrame, max_pages: int = MAX_LIST_PAGES) -> tuple[DataFrame, DataFrame]:
+def _within(entries: DataFrame, max_pages: int | None) -> DataFrame:
+    return entries if max_pages is None else entries.filter(F.col("page") <= max_pages)
+
+
+def truncated_lists(entries: DataFrame, max_pages: int) -> DataFrame:
+    """A warning (novel_id, pages, warning) for each novel with list pages beyond ``max_pages``."""
+    last = entries.groupBy("novel_id").agg(F.max("page").alias("pages")).filter(F.col("pages") > max_pages)
+    return last.withColumn(
+        "warning", F.concat(F.lit(f"list_truncated: {max_pages} of "), F.col("pages").cast("string"), F.lit(" list pages"))
+    )
+
+
+def fresh_pages(entries: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries first seen on their page, kept pages with the count before them).
 
     A page counts while every page from the first on brought something new;
-    the first stale, empty or missing page ends the list. Pages per novel are
-    bounded by ``max_pages``, so the page window below is small for any novel.
+    the first stale, empty or missing page ends the list. All pages are read unless
+    ``max_pages`` says otherwise; see ``truncated_lists`` for what that leaves out.
     """
-    e = entries.filter(F.col("page") <= max_pages)
+    e = _within(entries, max_pages)
     first = e.groupBy("novel_id", "url").agg(F.min("page").alias("page"))
     fresh = e.join(first, ["novel_id", "url", "page"], "left_semi")
     sizes = fresh.groupBy("novel_id", "page").agg(F.count("*").alias("size"))
-    w = W.partitionBy("novel_id").orderBy("page")
     kept = (
-        sizes.withColumn("_rank", F.row_number().over(w))
-        .withColumn("found", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        with_running(sizes, ["novel_id"], ["page"], {"_rank": F.lit(1).cast("long"), "found": F.col("size")})
         .filter(F.col("_rank") == F.col("page"))
         .drop("_rank")
     )
     return fresh, kept
 
 
-def merge_pages(entries: DataFrame, max_pages: int = MAX_LIST_PAGES, start: int = 1) -> DataFrame:
+def merge_pages(entries: DataFrame, max_pages: int | None = None, start: int = 1) -> DataFrame:
     """List pages (novel_id, page, pos, title, url) to one numbered catalog."""
     fresh, kept = fresh_pages(entries, max_pages)
     at = F.row_number().over(W.partitionBy("novel_id", "page").orderBy("pos"))
@@ -166,7 +176,7 @@ def merge_pages(entries: DataFrame, max_pages: int = MAX_LIST_PAGES, start: int
     )
 
 
-def found_running(entries: DataFrame, max_pages: int = MAX_LIST_PAGES) -> DataFrame:
+def found_running(entries: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Chapters found so far, one row per list page that brought any."""
     return fresh_pages(entries, max_pages)[1].select("novel_id", "page", "size", "found")
 

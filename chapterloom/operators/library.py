@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.urls import entry_id
 
-#: New chapters per warning text; longer updates get further detail rows.
-DETAIL_CHAPTERS = 1000
-
 
 def upsert(library: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
     """Merge ``changes`` (library columns plus ``order``) by id.
@@ -124,9 +121,8 @@ def update_all(
     ``catalog`` has id, chapter_index, title, url. ``outcomes`` (id,
     chapter_index, failed, reason) lists attempted downloads, ``errors`` (id,
     detail) the entries whose site failed. Result: id, title, status,
-    added_chapters, chapter_count, last_chapter_url, detail_part, detail.
-    One row per entry, plus further detail rows (``detail_part`` > 0) where
-    the warnings cover more than a thousand new chapters.
+    added_chapters, chapter_count, last_chapter_url, detail: one row per entry.
+    ``update_warnings`` has the warnings of ``detail`` as rows.
     """
     entries = library.filter("has_file")
     tries = _attempts(entries, catalog, outcomes)
@@ -164,53 +160,48 @@ def update_all(
     changed = F.col("status").isin("stopped", "updated") & (n_added > 0)
     state = state.withColumn("status", status).withColumn("_changed", changed)
 
-    failed = added.filter("failed").join(library.select("id", "chapter_count"), "id")
-    texts = failed.select(
-        "id",
-        F.floor((F.col("chapter_index") - F.col("chapter_count") - 1) / DETAIL_CHAPTERS).alias("_part"),
-        "chapter_index",
-        F.concat(
-            F.lit("#"), F.col("chapter_index").cast("string"), F.lit(" "), F.col("title"), F.lit(": "), F.col("reason")
-        ).alias("w"),
-    )
-    # A part covers a thousand chapter numbers, so no group grows with the novel.
-    parts = texts.groupBy("id", "_part").agg(
+    warned = _warnings(added).groupBy("id").agg(
         F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("chapter_index", "w"))), lambda x: x["w"]), "; "
+            F.transform(F.sort_array(F.collect_list(F.struct("chapter_index", "warning"))), lambda x: x["warning"]), "; "
         ).alias("_warned")
     )
-    numbered = state.join(parts, "id", "left")
-    part = F.coalesce("_part", F.lit(0)).cast("int")
     shift = F.when(F.col("_shifted"), F.lit("chapter_list_shifted"))
-    # The shift note leads the first part of an entry, whichever that is.
-    first = parts.groupBy("id").agg(F.min("_part").alias("_first"))
-    numbered = numbered.join(first, "id", "left")
-    leads = F.coalesce(F.col("_part") == F.col("_first"), F.lit(True))
-    joined = F.nullif(F.concat_ws("; ", F.when(leads, shift), "_warned"), F.lit(""))
+    joined = F.nullif(F.concat_ws("; ", shift, "_warned"), F.lit(""))
     detail = (
         F.when(F.col("status") == "no_file", F.lit("no_epub_on_disk"))
         .when(F.col("status") == "error", F.col("_error"))
         .when(F.col("_changed"), joined)
     )
-    one_row = F.col("_changed") | F.col("_part").isNull() | leads
-    return numbered.filter(one_row).select(
+    return state.join(warned, "id", "left").select(
         "id",
         "title",
         "status",
         F.when(F.col("_changed"), n_added).otherwise(F.lit(0)).alias("added_chapters"),
         F.when(F.col("_changed"), F.col("_last")).otherwise(F.col("chapter_count")).cast("long").alias("chapter_count"),
         F.when(F.col("_changed"), F.col("_last_url")).otherwise(F.col("last_chapter_url")).alias("last_chapter_url"),
-        F.when(F.col("_changed"), part).otherwise(F.lit(0)).alias("detail_part"),
         detail.alias("detail"),
     )
 
 
+def _warnings(added: DataFrame) -> DataFrame:
+    """(id, chapter_index, warning) of failed chapters among the added ones."""
+    text = F.concat(F.lit("#"), F.col("chapter_index").cast("string"), F.lit(" "), F.col("title"), F.lit(": "), F.col("reason"))
+    return added.filter("failed").select("id", "chapter_index", text.alias("warning"))
+
+
+def update_warnings(library: DataFrame, catalog: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Failed chapters of an update, a row each, up to the chapter at which an entry stopped."""
+    tries = _attempts(library.filter("has_file"), catalog, outcomes)
+    stops = tries.filter("NOT attempted").groupBy("id").agg(F.min("chapter_index").alias("_stop"))
+    added = tries.join(stops, "id", "left").filter(F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop")))
+    return _warnings(added)
+
+
 def apply_updates(library: DataFrame, results: DataFrame, at) -> DataFrame:
     """Library after an update: changed entries get count, last URL and time ``at``."""
-    # Long updates have several detail rows with the same numbers.
-    one = results.filter("added_chapters > 0").groupBy("id").agg(
-        F.max("chapter_count").alias("_count"), F.max("last_chapter_url").alias("_url")
-    ).withColumn("_hit", F.lit(True))
+    one = results.filter("added_chapters > 0").select(
+        "id", F.col("chapter_count").alias("_count"), F.col("last_chapter_url").alias("_url"), F.lit(True).alias("_hit")
+    )
     return library.join(one, "id", "left").withColumns(
         {
             "chapter_count": F.coalesce(F.col("_count"), F.col("chapter_count").cast("long")),
@@ -222,8 +213,7 @@ def apply_updates(library: DataFrame, results: DataFrame, at) -> DataFrame:
 
 def update_counts(results: DataFrame) -> DataFrame:
     """Totals of a bulk update; only real errors count as failed."""
-    heads = results.groupBy("id").agg(F.max("status").alias("status"))
-    return heads.agg(
+    return results.agg(
         F.count("*").alias("checked"),
         F.count_if(F.col("status") == "updated").alias("updated"),
         F.count_if(F.col("status") == "error").alias("failed"),

@@ -154,7 +154,7 @@ def _list_pages(spark, d):
 _ENTRIES_SQL = f"""
     SELECT host AS novel_id, page, pos, text AS title, href AS url
     FROM (SELECT page_id AS pid, {HOST_SQL} AS host, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) AS page FROM pages) h
-    JOIN ({LINKS_SQL}) l ON h.pid = l.page_id WHERE page <= 400
+    JOIN ({LINKS_SQL}) l ON h.pid = l.page_id
 """
 _FRESH_SQL = f"""
     SELECT * FROM (SELECT *, min(page) OVER (PARTITION BY novel_id, url) AS first_page FROM ({_ENTRIES_SQL})) WHERE page = first_page

@@ -180,7 +180,7 @@ _UPDATE = f"""
             FROM l LEFT JOIN ends ON l.id = ends.id LEFT JOIN sums ON l.id = sums.id LEFT JOIN shift s ON l.id = s.id)
     SELECT id, title, status, CASE WHEN changed THEN n_added ELSE 0 END AS added_chapters,
            CASE WHEN changed THEN last ELSE chapter_count END AS chapter_count,
-           CASE WHEN changed THEN last_url ELSE last_chapter_url END AS last_chapter_url, 0 AS detail_part,
+           CASE WHEN changed THEN last_url ELSE last_chapter_url END AS last_chapter_url,
            CASE status WHEN 'no_file' THEN 'no_epub_on_disk' WHEN 'error' THEN 'parser_error: no list for ' || id
                 ELSE CASE WHEN changed THEN nullif(concat_ws('; ', CASE WHEN shifted THEN 'chapter_list_shifted' END, w), '') END END AS detail
     FROM (SELECT *, status IN ('stopped', 'updated') AND n_added > 0 AS changed FROM res)
@@ -192,6 +192,16 @@ def update_all(spark, d):
     return _results(spark, d)
 
 
+@query(f"""
+    WITH l AS ({_LIB}), c AS ({_CAT}),
+    fresh AS (SELECT c.*, o_orderkey % 12 <> 0 AS tried FROM c JOIN l ON c.id = l.id WHERE c.chapter_index > l.chapter_count AND has_file),
+    ends AS (SELECT id, min(CASE WHEN NOT tried THEN chapter_index END) AS stop FROM fresh GROUP BY id)
+    SELECT f.id, chapter_index, '#' || chapter_index || ' ' || title || ': lost ' || o_orderkey AS warning
+    FROM fresh f JOIN ends e ON f.id = e.id WHERE (stop IS NULL OR chapter_index < stop) AND o_orderpriority = '1-URGENT'""")
+def update_warnings(spark, d):
+    return L.update_warnings(_library(spark, d), _catalog(spark, d), _outcomes(spark, d))
+
+
 @query(f"""SELECT id, chapter_count, last_chapter_url, CASE WHEN added_chapters > 0 THEN {CUTOFF} ELSE 0 END AS updated_at FROM ({_UPDATE})""")
 def update_apply(spark, d):
     library = _library(spark, d).withColumn("updated_at", F.lit(0).cast("long"))

@@ -21,7 +21,7 @@ from ..session import checkpointed
 from ..sources.archives import explode_archives, pack_books
 from ..sources.exports import parse_exports
 from ..sources.html_nodes import with_nodes
-from .site_rules import MAX_LIST_PAGES, Site, SITES, rules_table
+from .site_rules import Site, SITES, rules_table
 
 
 def by_site(sites: Sequence[Site], value: Callable[[Site], Column], site: str = "site") -> Column:
@@ -75,7 +75,7 @@ def route_novels(df: DataFrame, sites: Sequence[Site] = SITES, url: str = "url")
 
 
 def crawl(
-    pages: DataFrame, novels: DataFrame, sites: Sequence[Site] = SITES, max_pages: int = MAX_LIST_PAGES
+    pages: DataFrame, novels: DataFrame, sites: Sequence[Site] = SITES, max_pages: int | None = None
 ) -> Crawl:
     """Metadata and catalogs of ``novels`` (novel_id, source_url, site), one row per novel."""
     texts = pages.select(F.col("url").alias("page_url"), "html")
@@ -96,7 +96,7 @@ def crawl(
     first = front.withColumn("page", F.lit(1)).withColumn("base", base)
     further = front.filter("list_pages > 1 and size(entries) > 0").select(
         "novel_id", "source_url", "site",
-        F.explode(F.sequence(F.lit(2), F.least("list_pages", F.lit(max_pages)))).alias("page"),
+        F.explode(F.sequence(F.lit(2), F.least("list_pages", F.lit(max_pages).cast("int")))).alias("page"),
     )
     address = F.concat("source_url", F.lit("?page="), F.col("page").cast("string"))
     found = further.withColumn("_u", address).join(texts, F.col("_u") == F.col("page_url"))

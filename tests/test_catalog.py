@@ -113,6 +113,18 @@ def test_site_b(spark):
         "https://freewebnovel.com/novel/b", "https://freewebnovel.com/c.jpg", "")
 
 
+def test_long_lists_are_whole_unless_a_cut_is_asked_for(spark):
+    entries = spark.range(450 * 3).select(
+        F.lit("n").alias("novel_id"), (F.floor(F.col("id") / 3) + 1).cast("int").alias("page"),
+        (F.col("id") % 3 + 1).cast("int").alias("pos"), F.lit("t").alias("title"), F.col("id").cast("string").alias("url"),
+    )
+    got = {r.chapter_index: r.url for r in K.merge_pages(entries).collect()}
+    assert got == {i + 1: str(i) for i in range(1350)}
+    assert K.merge_pages(entries, 400).count() == 1200 and K.truncated_lists(entries, 450).count() == 0
+    assert [(r.pages, r.warning) for r in K.truncated_lists(entries, 400).collect()] == [
+        (450, "list_truncated: 400 of 450 list pages")]
+
+
 def test_selection(spark):
     cat = spark.createDataFrame([("n", i, f"t{i}", f"u{i}") for i in range(1, 11)],
                                 "novel_id string, chapter_index int, title string, url string")

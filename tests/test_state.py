@@ -69,16 +69,17 @@ def test_update_keeps_quirks(spark):
     }
 
 
-def test_long_updates_split_their_detail(spark):
+def test_long_updates_are_one_row(spark):
     lib = spark.createDataFrame([("a", "A", True, 5, "moved")],
                                 "id string, title string, has_file boolean, chapter_count int, last_chapter_url string")
     cat = spark.range(1, 2506).select(F.lit("a").alias("id"), F.col("id").alias("chapter_index"), F.lit("t").alias("title"),
                                       F.concat(F.lit("u"), "id").alias("url"))
     outcomes = cat.select("id", "chapter_index", (F.col("chapter_index") > 2000).alias("failed"), F.lit("x").alias("reason"))
-    rows = sorted(L.update_all(lib, cat, outcomes).collect(), key=lambda r: r.detail_part)
-    assert [(r.detail_part, r.added_chapters, len(r.detail.split("; "))) for r in rows] == [(1, 2500, 6), (2, 2500, 500)]
-    whole = "; ".join(r.detail for r in rows)
-    assert whole == "; ".join(["chapter_list_shifted"] + [f"#{i} t: x" for i in range(2001, 2506)])
+    (row,) = L.update_all(lib, cat, outcomes).collect()
+    assert row.added_chapters == 2500
+    noted = L.update_warnings(lib, cat, outcomes).orderBy("chapter_index").collect()
+    assert [r.warning for r in noted] == [f"#{i} t: x" for i in range(2001, 2506)]
+    assert row.detail == "; ".join(["chapter_list_shifted"] + [f"#{i} t: x" for i in range(2001, 2506)])
     one = L.apply_updates(lib.withColumn("updated_at", F.lit("old")), L.update_all(lib, cat, outcomes), F.lit("new")).collect()
     assert [(r.chapter_count, r.last_chapter_url, r.updated_at) for r in one] == [(2505, "u2505", "new")]
 
