@@ -214,8 +214,8 @@ def convert(
     )
 
 
-def archives_of(result: Conversion, limit: int = B.VOLUME_CHARS) -> DataFrame:
-    """The archives of a conversion, keyed by ``novel_id`` = request."""
+def archives_of(result: Conversion, per_volume: int | None = None) -> DataFrame:
+    """The archives of a conversion, keyed by ``novel_id`` = request; one a book unless volumes are asked for."""
     meta = result.metadata.drop("novel_id").withColumnRenamed("request_id", "novel_id")
     pairs = F.array(F.struct("pos", "key", "value"))
     record = B.book_record(meta).groupBy("novel_id").agg(F.flatten(F.sort_array(F.collect_list(pairs))).alias("_p"))
@@ -226,7 +226,7 @@ def archives_of(result: Conversion, limit: int = B.VOLUME_CHARS) -> DataFrame:
     page = B.title_page(F.col("title"), F.col("author"), F.col("description"), F.col("source_url"))
     heads = meta.withColumn("title_page", page).join(record, "novel_id")
     chapters = result.chapters.withColumnRenamed("request_id", "novel_id")
-    return pack_books(heads, B.with_volume(chapters, limit))
+    return pack_books(heads, B.with_volume(chapters, per_volume))
 
 
 def library_of(result: Conversion, files: DataFrame, at: Column) -> DataFrame:

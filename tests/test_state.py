@@ -145,16 +145,16 @@ def _books(spark, per_volume):
 
 
 def test_archives_round_trip(spark):
-    heads, chapters = _books(spark, 10**6)
+    heads, chapters = _books(spark, None)
     packed = A.pack_books(heads, chapters)
     again = A.pack_books(heads, chapters.repartition(3))
     assert bytes(packed.first().payload) == bytes(again.first().payload)
     docs = A.explode_archives(packed.select(F.col("novel_id").alias("archive_id"), "payload")).orderBy("spine").collect()
     assert [d.file_name for d in docs] == ["text/title.xhtml"] + [f"text/chapter_{i:04d}.xhtml" for i in range(1, 8)]
     assert docs[1].toc_title == "T & 1" and '<h2 class="chapter-title">T &amp; 1</h2>\n<p>body 1</p>' in docs[1].html
-    heads, chapters = _books(spark, 30)
+    heads, chapters = _books(spark, 3)
     volumes = A.archive_names(A.pack_books(heads, chapters), heads.select("novel_id", "title")).orderBy("volume").collect()
-    assert sum(v.chapter_count for v in volumes) == 7 and len(volumes) > 1
+    assert [(v.volume, v.chapter_count) for v in volumes] == [(0, 3), (1, 3), (2, 1)]
     assert [v.file_name for v in volumes][:2] == ["book.epub", "book.vol2.epub"]
 
 
