@@ -43,6 +43,19 @@ def route(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("host", host(F.col(url))).join(best, "host", "left")
 
 
+def site_of(url: Column, sites) -> Column:
+    """Name of the site that covers a URL's host, null without one: a projection over literal rules."""
+    name = host(url)
+    covered = F.lit(None).cast("string")
+    # The site of highest priority is asked first, ties in order of name.
+    for site in sorted(sites, key=lambda s: (-s.priority, s.name), reverse=True):
+        hit = name.isin(*site.domains)
+        for domain in site.domains:
+            hit = hit | name.endswith("." + domain)
+        covered = F.when(hit, F.lit(site.name)).otherwise(covered)
+    return covered
+
+
 def list_sites(rules: DataFrame) -> DataFrame:
     return rules.orderBy(F.desc("priority"), "site")
 

@@ -257,7 +257,8 @@ _META_SQL = f"""
 def novel_metadata(spark, d):
     html, url = _novel_page()
     pages = spread(table(spark, d, "pages")).select("page_id", url.alias("url"), html.alias("html"))
-    routed = R.route(pages, rules_table(spark)).drop("host")
+    # Pages of other sites never reach the tokeniser, and no page text is shuffled.
+    routed = pages.withColumn("site", R.site_of(F.col("url"), (SITE_A, SITE_B))).filter("site is not null")
     found = M.novel_metadata(with_nodes(routed), (SITE_A, SITE_B))
     one_line = F.btrim(F.regexp_replace("title", r"\s+", " "))
     return found.select(

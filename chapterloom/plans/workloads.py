@@ -12,7 +12,6 @@ from . import (  # noqa: F401
 from ..session import prepare
 from .fragments import ARTICLE, page_nodes
 from .registry import CHECKS, QUERIES
-from .site_rules import rules_table
 
 
 def queries():
@@ -28,12 +27,11 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     chapters = C.chapter_contents(
         page_nodes(prepare(spark), folder), containers=[ARTICLE], titles=[F.lit("")], base_url=F.col("url")
     )
-    routed = R.route(chapters, rules_table(spark, url_queries.CORPUS))
-    return routed.select(
+    return chapters.select(
         "page_id",
         urls.entry_id(F.col("url")).alias("id"),
-        "host",
-        F.coalesce("site", F.lit("unsupported")).alias("site"),
+        urls.host(F.col("url")).alias("host"),
+        F.coalesce(R.site_of(F.col("url"), url_queries.CORPUS), F.lit("unsupported")).alias("site"),
         "status",
         "clean_text",
     )
