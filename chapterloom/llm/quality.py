@@ -105,6 +105,19 @@ def refine(weights, memory, thresholds, docs: list[tuple[np.ndarray, int, int]],
             thresholds[:] = np.maximum.accumulate(thresholds + 1e-6 * levels)
 
 
+def _trainer(weights, memory, thresholds, seed: int, place: dict[int, int]):
+    """Refines a copy of the model on the examples of one share."""
+    def trained(part):
+        columns = (part.column(c).to_pylist() for c in ("doc_id", "grade", "buckets", "words"))
+        held = [(np.frombuffer(b, "<i4"), n, place[g]) for _, g, b, n in sorted(zip(*columns, strict=True))]
+        w, m, t = weights.copy(), memory.copy(), thresholds.copy()
+        refine(w, m, t, held, seed)
+        model = np.concatenate([t, w, m]).astype("<f4").tobytes()
+        return pa.table({"n": pa.array([len(held)], pa.int64()), "model": pa.array([model])})
+
+    return trained
+
+
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     """Model from ``ratings`` (doc_id, grade): ``grades``, ``weights``, ``thresholds``."""
     rated = ratings.select(
@@ -135,23 +148,13 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     thresholds = np.linspace(-1.0, 1.0, len(grades) - 1)
 
     for round_ in range(ROUNDS):
-        def trained(batches: Iterator[pa.RecordBatch], w=weights, m=memory, t=thresholds, r=round_):
-            rows = sorted(
-                (i, g, b, n)
-                for batch in batches
-                for i, g, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            )
-            held = [(np.frombuffer(b, "<i4"), n, place[g]) for _, g, b, n in rows]
-            w, m, t = w.copy(), m.copy(), t.copy()
-            if held:
-                refine(w, m, t, held, r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(held)], pa.int64()), pa.array([np.concatenate([t, w, m]).tobytes()])], ["n", "model"]
-                )
-
-        shares = examples.repartition(SHARES, "doc_id").mapInArrow(trained, "n long, model binary").collect()
+        # One model a share, so what comes back has a fixed size.
+        shares = examples.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).applyInArrow(
+            _trainer(weights, memory, thresholds, round_, place), "n long, model binary"
+        ).collect()
         total = sum(s.n for s in shares)
-        mean = sum(np.frombuffer(s.model) * (s.n / total) for s in sorted(shares, key=lambda s: (s.n, s.model[:64])))
+        models = sorted((s.n, bytes(s.model)) for s in shares)
+        mean = sum(np.frombuffer(model, "<f4").astype(float) * (n / total) for n, model in models)
         k = len(thresholds)
         thresholds, weights, memory = mean[:k], mean[k : k + BUCKETS], mean[k + BUCKETS :]
     return {"grades": grades, "weights": weights.astype(np.float32), "thresholds": thresholds}
