@@ -174,6 +174,30 @@ def sanitize_html(spark, d):
     return df.select("page_id", "status", "clean_html")
 
 
+@query("""SELECT page_id, 'ok' AS status, '<h2 id="k">Turn ' || page_id || '</h2><p>A &lt;b&gt; &amp; ' || replace(url, '&', '&amp;') || '</p>'
+                 || CASE WHEN page_id % 2 = 1 THEN '<p>shown</p>' ELSE '' END
+                 || '<p>user <em>says</em> so</p><a href="https://e.example/c/' || page_id || '" title="t">link</a>'
+                 || CASE WHEN page_id % 3 = 0 THEN '' ELSE '<blockquote><b>deep</b> <i>er</i></blockquote>' END
+                 || '<ul><li>1</li><li>2</li></ul>' AS clean_html FROM pages""")
+def sanitize_template(spark, d):
+    """Every cleaning rule on one page, down to the exact markup."""
+    number, kind = F.col("page_id").cast("string"), F.col("page_id")
+    html = F.concat(
+        F.lit("<html><head>"), F.when(kind % 2 == 0, "<style>.gone{display:none}</style>").otherwise(""),
+        F.lit('</head><body><nav>menu</nav><article><br><h2 onclick="x()" id="k">Turn '), number,
+        F.lit('</h2><!-- c --><p style="color:red" class="z">A &lt;b&gt; &amp; '), F.replace("url", F.lit("&"), F.lit("&amp;")),
+        F.lit('</p><p class="gone">shown</p><p style="display: none">never</p><script>bad()</script><form>f</form>'),
+        F.lit("<section><p>user <em>says</em> <font color=red>so</font></p></section><p> </p><div><b></b></div>"),
+        F.lit('<img src="/i.png"><a href="/c/'), number, F.lit('" target=_blank title="t">link</a><div class="ad">buy</div>'),
+        F.when(kind % 3 == 0, "<svg><g>no</g></svg>").otherwise("<blockquote><center><b>deep</b> <i>er</i></center></blockquote>"),
+        F.lit("<ul><li>1</li><li>2</li></ul></article></body></html>"),
+    )
+    df = C.chapter_contents(
+        page_nodes(spark, d, html), containers=[ARTICLE], titles=[F.lit("")], ads=[AD_STEP], base_url=F.lit("https://e.example/a/")
+    )
+    return df.select("page_id", "status", "clean_html")
+
+
 @query(f"SELECT page_id, {flat_sql(ARTICLE_SQL)} AS text FROM pages")
 def sanitized_text(spark, d):
     """The cleaned fragment, read again, still says what the page said."""

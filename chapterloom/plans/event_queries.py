@@ -235,6 +235,24 @@ def run_decision(spark, d):
     return S.decisions(S.due_libraries(settings, runs, now), active).select("library_id", "decision")
 
 
+@query(f"SELECT job_id, seq, type, 1 AS times FROM ({_LIVE})")
+def stream_dedup(spark, d):
+    """A log in which every third event is written again, followed as a stream: each is delivered once."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = _live(spark, d).select("job_id", "seq", "ts", "type", "state", "failed", "index", "total", "new_chapters")
+    P.write_log(events.repartition(3), f"{root}/log")
+    P.write_log(events.filter("seq % 3 = 0").repartition(2), f"{root}/log")
+    once = P.deliver_once(P.follow_log(spark, f"{root}/log", files_per_batch=2), late="3650 days")
+    run = (
+        once.select("job_id", "seq", "type").writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema("job_id string, seq long, type string").parquet(f"{root}/out").groupBy("job_id", "seq", "type").agg(
+        F.count("*").alias("times")
+    )
+
+
 @query(f"SELECT job_id, state, events FROM ({_STATES})")
 def stream_job_state(spark, d):
     """The log followed as a stream gives the states of the batch fold."""
