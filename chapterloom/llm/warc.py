@@ -3,8 +3,8 @@
 Writing: each page becomes one record, its payload the HTML in UTF-8. Of captures
 with equal payloads of at least ``SAME`` bytes the one with the smallest page_id is a
 ``response``, the others are ``revisit`` records without the payload. A record is text, and it
-ends in CRLF CRLF, so Spark's text writer with that line separator writes plain WARC
-files to any file system, and a lost task is written anew.
+ends in CRLF CRLF, so Spark's text writer with that line separator writes WARC
+files (gzip, one member a file) to any file system, and a lost task is written anew.
 
 Reading: a task parses whole archive files by their Content-Length fields and gives a
 sorted run of captures for each. The runs are stored; then ranges of (URL key,
@@ -23,6 +23,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -117,7 +118,7 @@ def records(pages: DataFrame, captured_at: str | None = None) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, captured_at: str | None = None) -> None:
     """WARC files, one for each task, of any size the input splits have."""
-    records(pages, captured_at).write.option("lineSep", END).text(path)
+    records(pages, captured_at).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -138,8 +139,8 @@ def _fields(header: bytes) -> dict[str, str]:
 
 
 def parse(content: memoryview, file: str) -> Iterator[tuple]:
-    """Captures of one archive, in its order."""
-    data, at = bytes(content), 0
+    """Captures of one archive, in its order; positions count unpacked bytes."""
+    data, at = gzip.decompress(content), 0
     while at < len(data):
         close = data.index(b"\r\n\r\n", at) + 4
         head = _fields(data[at : close - 4])
