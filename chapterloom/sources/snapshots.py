@@ -132,16 +132,23 @@ def _filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where, jvm
 
 
+class StaleSnapshot(RuntimeError):
+    """Another writer has replaced the snapshot that this one was made from."""
+
+
 class Snapshots:
     """A keyed table as immutable snapshot folders and a pointer file.
 
     A write goes to a new folder; the pointer is then replaced by a rename, so
     readers see the old snapshot or the new one, and a lost job leaves only an
-    unreferenced folder behind. The path being read is never overwritten.
+    unreferenced folder behind. The path being read is never overwritten. A write
+    compares the pointer with the one that was last read or written here; if it is another one, the
+    write is refused and the new folder stays unreferenced.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.known: list[str | None] = []
 
     def current(self) -> str | None:
         fs, where, jvm = _filesystem(self.spark, f"{self.root}/CURRENT")
@@ -155,6 +162,7 @@ class Snapshots:
 
     def read(self, schema: T.StructType) -> DataFrame:
         name = self.current()
+        self.known = [name]
         if name is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -174,5 +182,8 @@ class Snapshots:
         overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = overwrite
+        if self.known and self.current() not in (*self.known, name):
+            raise StaleSnapshot(f"{self.root}: {self.known[0]} has been replaced by {self.current()}")
         context.rename(fresh, target, options)
+        self.known = [name]
         return name

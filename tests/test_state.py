@@ -4,6 +4,7 @@ import json
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from chapterloom.operators import books as B, events as E, imports as I, library as L, naming, schedule as S
@@ -134,6 +135,11 @@ def test_snapshots_switch_and_repeat(spark, tmp_path):
     # The new version is made from the one being read.
     store.write(store.read(df.schema).unionByName(spark.createDataFrame([("b", 2)], df.schema)))
     assert sorted(r.id for r in store.read(df.schema).collect()) == ["a", "b"]
+    other = N.Snapshots(spark, str(tmp_path / "lib"))
+    other.write(other.read(df.schema).limit(1))
+    with pytest.raises(N.StaleSnapshot):
+        store.write(df)
+    assert other.read(df.schema).count() == 1
 
 
 def _books(spark, per_volume):
