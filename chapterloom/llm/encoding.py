@@ -22,7 +22,7 @@ import pyarrow as pa
 from . import textbytes as B
 
 #: Distinct chunks that a worker remembers; beyond, it starts anew.
-KNOWN = 800_000
+KNOWN = 600_000
 #: Bytes of text to encode at once: the larger, the fewer distinct chunks are looked up.
 SLICE = 4 << 20
 

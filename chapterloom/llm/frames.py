@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import prepare, shared_dir
+
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 2_000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Session settings for operators on whole texts: small batches keep workers and executors small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return prepare(spark)
 
 
 def shared_path(df: DataFrame, name: str) -> str:

@@ -40,7 +40,7 @@ from .graph import components
 SIZE, NUM, DEN = 3, 90, 100
 SALTS = 16
 #: Bytes of text whose lists are folded before they are dealt out.
-ENTERED = 4 << 20
+ENTERED = 2 << 20
 #: Sets and elements in one block of a family, and elements that are counted at once.
 BLOCK, BLOCK_ITEMS, COLUMNS = 1024, 500_000, 4096
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
 from . import decontam, extract, jaccard, langid, neardup, packing, quality, tokens, toxicity, warc
-from .frames import held_out, shared_path
+from .frames import held_out, ready, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +19,7 @@ CHECKS: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = lambda spark, folder: fn(prepare(spark), folder)
+        QUERIES[fn.__name__] = lambda spark, folder: fn(ready(spark), folder)
         if sql is not None:
             CHECKS[fn.__name__] = sql
         return fn

@@ -7,6 +7,7 @@ a few nanoseconds a byte. Slices hold ``SLICE`` bytes of text or a single row.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +58,25 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(
     batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of each batch with the bytes and offsets of one text column."""
-    for batch in batches:
-        _, at = flat(batch.column(name))
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
-            part = batch.slice(low, high - low)
-            raw, offsets = flat(part.column(name))
-            yield part, raw, offsets
-            low = high
+    """Parts of each batch with the bytes and offsets of one text column.
+
+    At the end a worker gives back what it has freed, since it stays for other tasks.
+    """
+    try:
+        for batch in batches:
+            _, at = flat(batch.column(name))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
+                part = batch.slice(low, high - low)
+                raw, offsets = flat(part.column(name))
+                yield part, raw, offsets
+                low = high
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def _tables(length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chapterloom.llm import decontam, jaccard, langid, packing, quality
-from chapterloom.llm.frames import column, stored
+from chapterloom.llm.frames import column, ready, stored
 from chapterloom.llm.queries import grades, learning, table
-from chapterloom.session import prepare
 
 #: A document stays if this share of its letters is of one language, and if good quality is at least this likely.
 LANGUAGE_SHARE = 0.5
@@ -39,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no document has a language to learn from, all are rejected.
     """
-    prepare(spark)
+    ready(spark)
     model = langid.fit(learning(docs), column(docs, "lang"))
     aside, held = _aside(docs)
     found = langid.identify(aside, model, held)
@@ -48,7 +47,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose grade is more likely the lowest; learned from ``labels``."""
-    prepare(spark)
+    ready(spark)
     model = quality.fit(docs, grades(spark, sf_dir))
     aside, held = _aside(docs)
     return _back(quality.grade(aside, model, held, above=0).where(F.col("tail") >= QUALITY_CHANCE), docs)
@@ -60,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows equal in doc_id and text one stays; rows with a null doc_id stay; rows of one doc_id with different
     texts go if one of them belongs to a group with a smaller id.
     """
-    prepare(spark)
+    ready(spark)
     groups = jaccard.similar_sets(docs, SHINGLE, SIMILAR, 100)
     copies = stored(groups.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(copies, "doc_id", "left_anti")
@@ -74,7 +73,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
-    prepare(spark)
+    ready(spark)
     found, _ = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     hits = stored(
         found.where("n_hit > 0").select(F.col("doc_id").alias("__hit"), F.col("text_key").alias("__key")).distinct(), "leaks"
@@ -85,6 +84,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, see ``packing.PIECES``."""
+    ready(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
