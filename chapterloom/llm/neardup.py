@@ -1,12 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by projection passes.
 
-Each pass draws ``BITS`` random hyperplanes; a vector's signs, concatenated, are its key. Vectors are
-ordered by (label, dimension, key), so similar ones come near each other, and each is compared with the next
-``WINDOW`` ones; pairs of cosine >= ``threshold`` are links. Passes are independent; their links are united.
+Each pass draws ``BITS`` random hyperplanes; a vector's signs, concatenated, are its key. Vectors of one (label,
+dimension) that share the first ``depth`` signs stand in one bucket, and all pairs of a bucket are compared, however
+crowded it is: large buckets in pairs of blocks that are dealt out. Pairs of cosine >= ``threshold`` are links; of each
+pair of blocks only a tree for each group of linked vectors is kept. Passes are independent; their links are united.
 
-The number of passes follows from the size of the largest label, so that a pair right at the threshold is
-missed with a probability of at most ``MISS``: in one pass the pair stands within the window if it agrees on the
-first ``log2(size / window)`` signs, each with probability ``1 - angle / pi``.
+A pair right at the threshold shares a bucket in one pass with probability ``(1 - angle / pi) ** depth``. The planes do not
+depend on the vectors, so this holds wherever the pair stands, also inside a dense cluster; the number of passes follows
+from it for a miss of at most ``MISS``. The depth only sets the cost: Spark counts how many rows share each prefix, and the
+depth with the least work over all passes is taken (at depth 0 one pass compares all pairs of a label).
 
 Inside a component found this way every vector is compared with every other, block by block, and only
 counts and direct links to the component's blocks are kept, never the pairs: so the link counts of a dense group
@@ -34,17 +36,20 @@ from .frames import column, stored
 from .graph import components
 
 THRESHOLD = 0.98
-BITS, WINDOW, MISS = 62, 64, 0.005
-#: Vectors of one component that are compared at once.
+BITS, MISS = 62, 0.005
+#: Depths to choose from, and the number of comparisons that handling a row once costs as much as.
+DEPTHS, ROW = range(0, BITS, 3), 1000
+#: Vectors of one component, and of one bucket, that are compared at once; rows of a product of bucket blocks held at once.
 BLOCK = 1024
+BUCKET, STRIP = 2048, 256
 SALTS = 16
 
 
-def passes_needed(largest: int, threshold: float, window: int, miss: float) -> int:
-    agree = 1 - math.acos(threshold) / math.pi
-    depth = max(1.0, math.log2(max(2, largest) / (window / 2)))
-    chance = agree**depth
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(chance, 0.999))))
+def passes_needed(depth: int, threshold: float, miss: float) -> int:
+    chance = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
+    if chance >= 1 - miss:
+        return 1
+    return math.ceil(math.log(miss) / math.log1p(-chance)) if chance > 1e-12 else 1 << 40
 
 
 def planes(number: int, dim: int) -> np.ndarray:
@@ -69,8 +74,8 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield dim, batch.filter(pa.array(dims == dim))
 
 
-def _sorted_links(classes: DataFrame, number: int, threshold: float, window: int) -> DataFrame:
-    """Links (a, b) of one pass."""
+def _keyed(classes: DataFrame, number: int) -> DataFrame:
+    """(kin, cid, dim, vector, order): the signs of each vector in one pass; kin stands for label and dimension."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -78,49 +83,91 @@ def _sorted_links(classes: DataFrame, number: int, threshold: float, window: int
             for dim, rows in _by_dim(batch):
                 signs = _unit(_matrix(rows.column("vector"), dim)) @ planes(number, dim) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("label", "dim", "cid", "vector")), pa.array(signs @ weights)],
-                    ["label", "dim", "cid", "vector", "order"],
+                    [*(rows.column(c) for c in ("kin", "cid", "dim", "vector")), pa.array(signs @ weights)],
+                    ["kin", "cid", "dim", "vector", "order"],
                 )
 
+    rows = classes.select(F.xxhash64("label", "dim").alias("kin"), "cid", "dim", "vector")
+    return rows.mapInArrow(keyed, "kin long, cid long, dim int, vector array<double>, order long")
+
+
+def best_depth(classes: DataFrame, threshold: float, miss: float) -> int:
+    """The depth of least work: passes times rows and pairs of rows that share a prefix, as counted in one pass."""
+    shift = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("order", BITS - d).alias("prefix")) for d in DEPTHS)))
+    prefixes = _keyed(classes, 0).select("kin", shift.alias("at")).groupBy("kin", "at").count()
+    pairs = prefixes.groupBy("at.depth").agg(F.sum(F.col("count").cast("double") ** 2).alias("pairs"), F.sum("count").alias("n"))
+    work = {r.depth: passes_needed(r.depth, threshold, miss) * (r.pairs / 2 + ROW * r.n) for r in pairs.collect()}
+    return min(work, key=lambda d: (work[d], d), default=0)
+
+
+def _joined(top: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``top``, each node's smallest linked one, with the links (i, j) added."""
+    while len(i):
+        low = np.minimum(top[i], top[j])
+        np.minimum.at(top, top[i], low)
+        np.minimum.at(top, top[j], low)
+        while (top[top] != top).any():
+            top = top[top]
+        open_ = top[i] != top[j]
+        i, j = i[open_], j[open_]
+    return top
+
+
+def _bucket_links(classes: DataFrame, number: int, depth: int, threshold: float) -> DataFrame:
+    """Links (a, b) of one pass, a tree for each linked group of a pair of blocks."""
+    rows = _keyed(classes, number).select(
+        "kin", "cid", "dim", "vector", F.xxhash64(F.lit(number), "kin", F.shiftright("order", BITS - depth)).alias("bucket")
+    )
+    # Crowded buckets are few: one in ``BUCKET`` rows at most.
+    crowded = rows.groupBy("kin", "bucket").count().where(F.col("count") > BUCKET).select(
+        "kin", "bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")
+    )
+    cut = rows.join(crowded, ["kin", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    each = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = each.select(
+        "kin", "bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
+        (F.col("part") > F.col("other")).alias("second"), "cid", "dim", "vector",
+    )
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for group, cids, x in _runs(batch):
-                if held and held[0] == group:
-                    cids, x = np.append(held[1], cids), np.vstack([held[2], x])
-                    fresh = len(held[1])
-                else:
-                    fresh = 0
-                a, b = [], []
-                for low in range(max(0, fresh - window), len(cids), BLOCK):
-                    high = min(len(cids), low + BLOCK)
-                    reach = min(len(cids), high + window)
-                    near = x[low:high] @ x[low:reach].T >= threshold
-                    i, j = np.nonzero(near)
-                    i, j = i + low, j + low
-                    ok = (j > i) & (j - i <= window) & (j >= fresh)
-                    a.append(cids[i[ok]])
-                    b.append(cids[j[ok]])
-                one, two = np.concatenate(a), np.concatenate(b)
-                if len(one):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"]
-                    )
-                held = [group, cids[-window:], x[-window:]]
-
-    def _runs(batch: pa.RecordBatch):
-        label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])]))
-        for low, high in zip(new.tolist(), [*new[1:].tolist(), len(label)], strict=True):
-            part = batch.slice(low, high - low)
-            yield (label[low], dim[low]), part.column("cid").to_numpy(), _unit(_matrix(part.column("vector"), int(dim[low])))
-
-    types = {f.name: f.dataType.simpleString() for f in classes.schema}
-    schema = f"label {types['label']}, dim int, cid long, vector array<double>, order long"
-    keys = classes.select("label", "dim", "cid", "vector").mapInArrow(keyed, schema)
-    # A range may cut a window; another pass cuts elsewhere.
-    ordered = keys.repartitionByRange("label", "dim", "order").sortWithinPartitions("label", "dim", "order", "cid")
-    return ordered.mapInArrow(compared, "a long, b long").where("a <> b").distinct()
+            key = np.stack([batch.column(c).to_numpy() for c in ("kin", "bucket", "p", "q")])
+            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            for low, high in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
+                group = tuple(key[:, low].tolist())
+                if held and group != last:
+                    yield from _trees(held, last)
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = group
+        if held:
+            yield from _trees(held, last)
+
+    def _trees(parts: list[pa.RecordBatch], group: tuple) -> Iterator[pa.RecordBatch]:
+        if sum(p.num_rows for p in parts) < 2:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        cid, second = table.column("cid").to_numpy(), table.column("second").to_numpy()
+        x = _unit(_matrix(table.column("vector").chunk(0), table.column("dim")[0].as_py()))
+        same = group[2] == group[3]
+        mine, other = (np.arange(len(cid)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+        top = np.arange(len(cid))
+        for low in range(0, len(mine), STRIP):
+            at = mine[low : low + STRIP]
+            against = other[low:] if same else other
+            i, j = np.nonzero(x[at] @ x[against].T >= threshold)
+            i, j = at[i], against[j]
+            top = _joined(top, i[i != j], j[i != j])
+        ends = np.flatnonzero(top != np.arange(len(cid)))
+        if len(ends):
+            yield pa.RecordBatch.from_arrays([pa.array(cid[ends]), pa.array(cid[top[ends]])], ["a", "b"])
+
+    keys = ["kin", "bucket", "p", "q"]
+    paired = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return paired.mapInArrow(compared, "a long, b long").where("a <> b").distinct()
 
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -162,7 +209,7 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS
+    vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``."""
     vector = F.transform(column(vectors, "embedding"), lambda v: v.cast("double"))
@@ -192,10 +239,10 @@ def near_duplicates(
         .withColumn("dim", F.size("vector")),
         "vector-classes",
     )
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    depth = best_depth(classes, threshold, miss)
     links = None
-    for number in range(passes_needed(largest, threshold, window, miss)):
-        found = _sorted_links(classes, number, threshold, window)
+    for number in range(passes_needed(depth, threshold, miss)):
+        found = _bucket_links(classes, number, depth, threshold)
         links = found if links is None else links.union(found)
     groups = components(stored(links.distinct(), "vector-links"))
     members = classes.join(groups.withColumnRenamed("node", "cid"), "cid")

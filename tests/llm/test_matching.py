@@ -182,6 +182,23 @@ def test_vector_links_reach_the_recall_of_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vector_links_inside_a_dense_cluster_are_found(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, pairs, dim = 16_000, 300, 64
+    center = unit(rng.standard_normal(dim))
+    dense = unit(np.sqrt(0.9) * center + np.sqrt(0.1) * unit(rng.standard_normal((n, dim))))
+    first = dense[:pairs]
+    aside = rng.standard_normal((pairs, dim))
+    aside = unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    second = 0.982 * first + np.sqrt(1 - 0.982**2) * aside
+    x = np.vstack([dense, second, unit(rng.standard_normal((n // 4, dim)))])
+    rows = [(i, v, 0, "c", "p") for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[n + i] == got[i] for i in range(pairs)) >= 0.98 * pairs
+
+
 def test_boosted_trees_learn_a_rule():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 5))
