@@ -7,11 +7,14 @@ import re
 
 import numpy as np
 
-#: Elements without content, elements whose content is not markup, elements that break lines.
+#: Elements without content, elements whose content is no text of the page, those of them that run to the end of the
+#: page if nothing closes them, elements that may stand outside of the body, elements that break lines.
 VOID = frozenset(
     ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 )
-RAW = frozenset(["script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object"])
+RAW = frozenset(["script", "style", "iframe", "textarea", "title"])
+TO_END = RAW - {"iframe"}
+OUTSIDE = frozenset(["html", "head", "body", "base", "link", "meta", "noscript", "script", "style", "template", "title"])
 BLOCK = frozenset(
     [
         "html", "head", "body", "address", "article", "aside", "blockquote", "button", "caption", "center", "dd", "details",
@@ -64,7 +67,10 @@ FEATURES = (
 
 
 class Page:
-    """Block elements in document order: tag, attr (tokens), parent, and lines (own texts in order)."""
+    """Block elements in document order: tag, attr (tokens), parent, and lines (own texts in order).
+
+    What stands outside of head and body is in the body, which is implied where the page does not open one.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.attr, self.parent = ["html"], [frozenset()], [-1]
@@ -75,7 +81,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         open_: list[tuple[str, int]] = [("html", 0)]  # name, block element
-        anchor = 0
+        anchor = body = 0
         text: list[str] = []
         size = len(source)
         at = 0
@@ -97,6 +103,24 @@ class Page:
                     del open_[k:]
                     return
 
+        def add(name: str, tokens: frozenset) -> int:
+            self.tag.append(name)
+            self.attr.append(tokens)
+            self.parent.append(open_[-1][1])
+            self.links.append(0)
+            self.marks.append(0)
+            return len(self.tag) - 1
+
+        def enter(name: str) -> None:
+            """Open the body, again or unseen, if text (an empty name) or an element stands outside of it."""
+            nonlocal body
+            if self.tag[open_[-1][1]] == "head" and (not name or name in BLOCK and name != "head"):
+                close("head")
+            if open_[-1][1] == 0 and name not in OUTSIDE:
+                flush()
+                body = body or add("body", frozenset())
+                open_.append(("body", body))
+
         while at < size:
             found = _TOKEN.search(source, at)
             if found is None:
@@ -106,12 +130,16 @@ class Page:
                 piece = source[at : found.start()]
                 at = found.end()
             if piece:
+                if not piece.isspace():
+                    enter("")
                 text.append(piece)
                 if anchor:
                     self.links[open_[-1][1]] += len(piece)
             if found is None or found[2] is None:
                 continue
             name = found[2].lower()
+            if not found[1]:
+                enter(name)
             self.marks[open_[-1][1]] += 1
             if found[1]:
                 close(name)
@@ -134,19 +162,21 @@ class Page:
                 flush()
             if name in RAW and not found[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*+[^>]*+(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else size
+                at = end.end() if end else size if name in TO_END else at
                 continue
             if name in BLOCK and name not in VOID:
                 tokens = frozenset(
                     w.lower() for m in _ATTR.finditer(found[3]) for w in _WORDS.findall(m[2])
                 ) if found[3] else frozenset()
-                self.tag.append(name)
-                self.attr.append(tokens)
-                self.parent.append(open_[-1][1])
-                self.links.append(0)
-                self.marks.append(0)
+                if name == "body" and body:  # one that was implied before
+                    self.attr[body] |= tokens
+                    open_.append((name, body))
+                    continue
+                new = add(name, tokens)
+                if name == "body":
+                    body = new
                 if not found[3].endswith("/"):
-                    open_.append((name, len(self.tag) - 1))
+                    open_.append((name, new))
             elif name not in VOID and not found[3].endswith("/"):
                 open_.append((name, open_[-1][1]))
                 anchor += name == "a"

@@ -8,13 +8,14 @@ dropped. So no element contradicts its ancestors or descendants.
 Training needs no labels by hand: on a sample of at most ``sample`` pages (parameter) the elements of pages that mark
 their article (article, main) are labelled by it; navigation, headers, footers, asides, forms and the like
 inside or outside are the other class. From the lines of each such page ``COPIES`` pages of other structure are made, with
-other elements and class names, deeper nesting, and comments, notices and lists inside the article, so that the
-trees weigh several signs and do not hang on one template.
+other elements and class names, deeper nesting, and comments, notices and lists inside the article, and one whose main text
+stands in the body itself, so that the trees weigh several signs and do not hang on one template.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
 Defined results: null or empty html gives an empty text; so does a page on which nothing is main text. Broken
-markup never fails: open elements end with the page, stray end tags and lone ``<`` are ignored or text. Rows are
+markup never fails: open elements end with the page, stray end tags and lone ``<`` are ignored or text. Text outside
+of head and body is text of the body, which need not be opened. Only script, style, title, textarea and iframe are no text. Rows are
 extracted one by one, so repeated rows, nulls and other columns do not matter. Where no page marks its article, a built-in
 example and the pages made from it are what is learned.
 """
@@ -129,6 +130,20 @@ def made_page(lines: list[str], rng: random.Random) -> tuple[Page, np.ndarray]:
     return made.page, np.array(made.label)
 
 
+def bare_page(lines: list[str], rng: random.Random) -> tuple[Page, np.ndarray]:
+    """A page whose main text stands in the body itself, alone or between other things."""
+    made = _Builder(lines, rng)
+    body = made.add("body", 0, 1)
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        made.beside(body)
+    for _ in range(rng.choice([1, 1, 2, 5, 10])):
+        made.page.lines.append((body, made.line(0.1)))
+        made.page.marks[body] += rng.choice([0, 1, 3])
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        made.beside(body)
+    return made.page, np.array(made.label)
+
+
 def examples(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a page and of pages made from its lines."""
     rng = random.Random(seed)
@@ -137,7 +152,7 @@ def examples(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
     lines = [line for i, line in page.lines if label[i] == 1]
     if not lines:
         return np.zeros((0, 0)), np.zeros(0)
-    found = [(page, label), *(made_page(lines, rng) for _ in range(COPIES))]
+    found = [(page, label), *(made_page(lines, rng) for _ in range(COPIES)), bare_page(lines, rng)]
     return (
         np.vstack([p.features()[y >= 0] for p, y in found]),
         np.concatenate([y[y >= 0] for _, y in found]),
@@ -201,7 +216,7 @@ def extract(pages: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 for page, table in zip(read, tables, strict=True):
                     kept = decode(page, odds[at : at + len(table)])
                     at += len(table)
-                    found.append(" ".join(line for i, line in page.lines if i and kept[i]))
+                    found.append(" ".join(line for i, line in page.lines if kept[i]))
                     kept_n.append(sum(kept))
                 yield pa.RecordBatch.from_arrays(
                     [

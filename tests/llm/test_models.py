@@ -157,6 +157,24 @@ def test_page_texts(spark):
     assert extract.extract(spark.createDataFrame(rows, PAGES), bare, ["page_id"]).count() == len(rows)
 
 
+def test_text_outside_of_blocks_is_kept(spark):
+    model = extract.fit(queries.table(spark, SMALL, "pages"))
+    lines = [f"{prose('en', 40, i).capitalize()}, and so on." for i in range(4)]
+    plain, body = " ".join(lines), "".join(f"<p>{line}</p>" for line in lines)
+    odd = "<p>So <math><mi>x</mi></math> is, <object>by a name</object>, <svg><text>a label</text></svg>, <noscript>plain</noscript>, <template>made</template>.</p>"
+    rows = [
+        (1, plain, plain), (2, f"{plain} <b>Bold, at the end.</b>", f"{plain} Bold, at the end."),
+        (3, f"<html><head><title>t</title></head>{plain}", plain), (4, f"<head><title>t</title>{body}", plain),
+        (5, f"<body><article>{body}</article></body>{plain}", f"{plain} {plain}"),
+        (6, f"<article>{body}{odd}</article>", f"{plain} So x is, by a name, a label, plain, made."),
+        (7, f"<article><p>Seen, <svg> and no end.</p>{body}</article>", f"Seen, and no end. {plain}"),
+        (8, f"<article>{body}</article><script>var a = '{body}'", plain),
+    ]
+    pages = spark.createDataFrame([(i, html) for i, html, _ in rows], "page_id long, html string")
+    got = {r.page_id: r.text for r in extract.extract(pages, model, ["page_id"]).collect()}
+    assert got == {i: " ".join(text.split()) for i, _, text in rows}
+
+
 def test_kept_elements_never_hang_below_dropped_ones():
     rng = np.random.default_rng(1)
     page = Page("<div><p>a<div><p>b<div>c</div></div></div><section><p>d</p><ul><li>e<li>f</ul></section>")
