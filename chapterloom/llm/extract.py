@@ -5,8 +5,8 @@ see ``dom.FEATURES``). Gradient-boosted trees give each the log odds of main tex
 highest joint probability, weighted by own text, under one rule: below a dropped element everything is
 dropped. So no element contradicts its ancestors or descendants.
 
-Training needs no labels by hand: on a sample of at most ``sample`` pages (parameter) the elements of pages that mark
-their article (article, main) are labelled by it; navigation, headers, footers, asides, forms and the like
+Training needs no labels by hand: the elements of at most ``sample`` pages (parameter) that mark
+their article (article, main), drawn from all such pages, are labelled by it; navigation, headers, footers, asides, forms and the like
 inside or outside are the other class. From the lines of each such page ``COPIES`` pages of other structure are made, with
 other elements and class names, deeper nesting, and comments, notices and lists inside the article, and one whose main text
 stands in the body itself, so that the trees weigh several signs and do not hang on one template.
@@ -36,6 +36,8 @@ from .frames import bounded, column
 
 SAMPLE = 400
 COPIES = 5
+#: Pages that hold a tag of ``dom.TOWARDS``.
+MARKED = r"(?i)<(article|main)[\s/>]"
 #: A page in a batch stands for its elements; this many are scored at once.
 PAGES = 500
 
@@ -162,7 +164,9 @@ def examples(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
     """Trees learned from at most ``sample`` pages; features are made by Spark, the fit has a fixed size."""
     html = column(pages, "html").cast("string")
-    known = pages.select(html.alias("html"), F.xxhash64(column(pages, "page_id")).alias("key")).where("html IS NOT NULL")
+    known = pages.select(html.alias("html"), F.xxhash64(column(pages, "page_id")).alias("key"))
+    # Only these can teach anything; the sample is drawn from them, however few they are.
+    marked = known.where(html.rlike(MARKED))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +178,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
                         ["key", "x", "y"],
                     )
 
-    rows = bounded(known, F.col("key"), sample).mapInArrow(made, "key long, x array<double>, y int").collect()
+    rows = bounded(marked, F.col("key"), sample).mapInArrow(made, "key long, x array<double>, y int").collect()
     if rows:
         x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
         order = np.lexsort((y, *x.T))

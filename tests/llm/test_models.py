@@ -11,6 +11,7 @@ import corpus_pipeline
 from chapterloom.llm import extract, langid, quality, queries, toxicity, warc
 from chapterloom.llm.dom import Page
 from chapterloom.llm.frames import held_out
+from chapterloom.llm.trees import log_odds
 
 from .helpers import DOCS, no_docs, odd_docs, odd_rows, prose
 
@@ -175,6 +176,17 @@ def test_text_outside_of_blocks_is_kept(spark):
     assert got == {i: " ".join(text.split()) for i, _, text in rows}
 
 
+def test_few_marked_pages_among_many_are_what_is_learned(spark):
+    body = "".join(f"<p>{prose('en', 40, i).capitalize()}, and so on.</p>" for i in range(4))
+    marked = [(i, f"<body><nav>Home</nav><{tag}>{body}</{tag}></body>") for i, tag in enumerate(["article", "MAIN", "article class='x'"])]
+    other = [(100 + i, f"<body><nav>Home</nav><div>{body}</div></body>") for i in range(600)]
+    few, all_ = (spark.createDataFrame(rows, "page_id long, html string") for rows in (marked, marked + other))
+    got, want = ([r.text for r in extract.extract(few, extract.fit(t, 10), ["page_id"]).orderBy("page_id").collect()] for t in (all_, few))
+    model, alike = extract.fit(all_, 10), extract.fit(few, 10)
+    rows = np.vstack([Page(html).features() for _, html in marked + other[:3]])
+    assert got == want and np.array_equal(log_odds(model, rows), log_odds(alike, rows))
+
+
 def test_kept_elements_never_hang_below_dropped_ones():
     rng = np.random.default_rng(1)
     page = Page("<div><p>a<div><p>b<div>c</div></div></div><section><p>d</p><ul><li>e<li>f</ul></section>")
