@@ -52,3 +52,22 @@ def bounded(df: DataFrame, key: Column, limit: int) -> DataFrame:
         return df
     cut = int(limit / total * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < cut)
+
+
+def balanced(df: DataFrame, group: str, key: Column, limit: int) -> DataFrame:
+    """About ``limit`` rows at most, as many of each value of ``group`` as it has up to one bound; all rows if there are no more.
+
+    The bound follows from counts by value; which rows of a value are taken depends on the key alone.
+    """
+    sizes = {r[group]: r["count"] for r in df.groupBy(group).count().collect()}
+    if sum(sizes.values()) <= limit:
+        return df
+    left, most = limit, 1.0
+    for k, size in enumerate(sorted(sizes.values())):
+        most = max(1.0, left / (len(sizes) - k))
+        if size > most:
+            break
+        left -= size
+    cuts = {name: int(min(1.0, most / size) * (1 << 30)) for name, size in sizes.items()}
+    cut = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))[F.col(group)]
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < cut)

@@ -2,7 +2,8 @@
 
 Model: for each language the log probability of byte trigrams inside words (a blank on either
 side), hashed to ``BUCKETS``, and for each script the languages that write at least ``SHARE`` of their
-letters in it. It is fitted on at most ``sample`` labelled documents; the counts are added up by Spark.
+letters in it. It is fitted on about ``sample`` labelled documents at most, dealt out evenly over the languages: rare ones
+give all they have. The counts are added up by Spark.
 
 Labelling: a word's script narrows its candidate languages; its trigrams score each. The best
 sequence of labels pays ``SWITCH`` for each change of language. For most documents one language
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .frames import bounded, column
+from .frames import balanced, column
 
 SAMPLE = 12_000
 BUCKETS = 1 << 16
@@ -68,7 +69,7 @@ def fit(docs: DataFrame, lang: Column, sample: int = SAMPLE) -> dict:
         column(docs, "text").cast("string").alias("text"), lang.cast("string").alias("lang"),
         F.xxhash64(column(docs, "doc_id")).alias("key"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = bounded(labelled, F.col("key"), sample)
+    chosen = balanced(labelled, "lang", F.col("key"), sample)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chapterloom.llm import extract, langid, quality, queries, toxicity, warc
+from chapterloom.llm import extract, frames, langid, quality, queries, toxicity, warc
 from chapterloom.llm.dom import Page
 from chapterloom.llm.frames import held_out
 from chapterloom.llm.trees import log_odds
@@ -39,6 +39,16 @@ def test_language_spans_of_mixed_text(spark):
     assert {r.lang_pred for r in langid.identify(odd_docs(spark), none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_language_is_learned_from_a_large_table(spark):
+    rows = [(i, prose("en", 20, i), "en") for i in range(4000)] + [(5000 + i, prose("fr", 20, i), "fr") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("lang"), 40)
+    assert model["names"] == ["en", "fr"]
+    fresh = spark.createDataFrame([(1, prose("fr", 40, 77)), (2, prose("en", 40, 78))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(fresh, model, ["doc_id"]).collect()} == {1: "fr", 2: "en"}
+    assert 10 < frames.balanced(docs, "lang", F.col("doc_id"), 40).count() < 80
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(4)
     model = {"names": ["a", "b", "c"], "allowed": np.ones((3, langid.SCRIPTS), bool), "switch": 3.0}
