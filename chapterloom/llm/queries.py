@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, jaccard, langid, neardup, packing, quality, tokens, toxicity, warc
+from . import classlm, decontam, divergence, extract, jaccard, langid, neardup, packing, phrases, quality, tokens, toxicity, warc
 from .frames import held_out, ready, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,85 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(docs, "token-ids")
     tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return tokens.digests(tokens.read_tokens(spark, path))
+
+
+@query()
+def op11_classlm(spark: SparkSession, folder: str) -> DataFrame:
+    return classlm.scores(table(spark, folder, "documents"))
+
+
+@query(
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (
+      SELECT lang, g, unnest(list_transform(range(1, len(w) - g + 2), lambda i: array_to_string(w[i:i + g - 1], ' '))) AS phrase
+      FROM words, (VALUES (1), (2), (3)) AS sizes(g) WHERE len(w) >= g),
+    f AS (SELECT lang, g, phrase, count(*) AS a FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE g = 1 GROUP BY lang),
+    candidates AS (SELECT lang, g, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE g > 1 AND a >= 10),
+    cuts AS (
+      SELECT lang, g, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+      FROM candidates, (VALUES (1), (2)) AS ks(k) WHERE k < g),
+    valued AS (
+      SELECT c.lang, c.g, c.phrase, c.a, k, x.a AS l, y.a AS r,
+             (1000000 * c.a::HUGEINT * c.a::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+      FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest),
+    scored AS (
+      SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    held AS (
+      SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS held_a
+      FROM candidates, (VALUES (1), (2)) AS starts(i) WHERE g = 3 GROUP BY ALL),
+    kept AS (
+      SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase AND s.g = 2
+      WHERE h.held_a IS NULL OR 100 * h.held_a < 50 * s.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+           score::BIGINT AS score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """
+)
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+    ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+    lt AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(gn.n, 0) + 5 * size.v) AS p
+      FROM groups g JOIN kept k USING (lang) JOIN size USING (lang)
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+      LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+    q AS (
+      SELECT lang, term, 1 + (1000000000::HUGEINT * (lt.n + 5)) // (ln.n + 5 * size.v) AS q
+      FROM lt JOIN ln USING (lang) JOIN size USING (lang)),
+    pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    every AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM every QUALIFY part = 'pair' OR rank <= 50
+    """
+)
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
