@@ -11,9 +11,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import events as E, schedule as S
-from ..session import shared_dir
+from ..session import checkpointed, shared_dir
+from ..sources.commits import Buckets
 from ..sources.pages import table
 from ..streaming import progress as P
+from ..streaming.joblog import JobLog
 from .fragments import JOB_EVENTS, job_events, micros
 from .registry import query
 
@@ -253,21 +255,91 @@ def stream_dedup(spark, d):
     )
 
 
+_EVENT_COLUMNS = ["job_id", "seq", "ts", "type", "state", "failed", "index", "total", "new_chapters"]
+
+
 @query(f"SELECT job_id, state, events FROM ({_STATES})")
 def stream_job_state(spark, d):
-    """The log followed as a stream gives the states of the batch fold."""
+    """The log followed as a stream into bucketed state gives the states of the batch fold."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = _live(spark, d).select("job_id", "seq", "ts", "type", "state", "failed", "index", "total", "new_chapters")
-    P.write_log(events.repartition(4), f"{root}/log")
-    states = P.streaming_job_states(P.follow_log(spark, f"{root}/log", files_per_batch=2)).select("job_id", "state", "events")
+    P.write_log(_live(spark, d).select(_EVENT_COLUMNS).repartition(4), f"{root}/log")
+    table = Buckets(spark, f"{root}/state", P.FOLD_SCHEMA, "job_id")
+    followed = P.follow_log(spark, f"{root}/log", files_per_batch=2)
+    run = followed.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(
+        P.fold_into(table, ttl=None)
+    ).start()
+    run.awaitTermination()
+    return P.job_folds(table, ttl=None).select("job_id", "state", "events")
+
+
+_TTL, _LATE = 3 * 86_400, 86_400
+_ENDS = f"SELECT job_id, min(us) AS finished_us FROM ({_LIVE}) WHERE type IN ('done', 'error') GROUP BY job_id"
+_CLOCK = f"(SELECT max(us) // 1000 - {_LATE * 1000} FROM ({_LIVE}) WHERE type IN ('done', 'error'))"
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/{batch_id:09d}")
 
-    # Complete mode: each batch holds every job's present state; the last one counts.
-    run = states.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(
+@query(f"""WITH e AS (SELECT job_id, finished_us, false AS late FROM ({_ENDS})
+                      UNION ALL SELECT 'late-' || job_id, min(us), true FROM ({_LIVE}) WHERE type IN ('done', 'error') GROUP BY job_id
+                      HAVING min(us) // 1000 < {_CLOCK})
+           SELECT job_id, 'finished' AS phase, finished_us, late FROM e
+           UNION ALL SELECT job_id, 'expired', finished_us, false FROM e WHERE finished_us // 1000 + {_TTL * 1000} <= {_CLOCK}""")
+def stream_expire(spark, d):
+    """Retention as a stream: all ends, then ends of other jobs that come a batch after the clock has passed them."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = checkpointed(_live(spark, d).select(_EVENT_COLUMNS))
+    P.write_log(events.coalesce(4), f"{root}/log")
+    ends = events.filter(F.col("type").isin("done", "error"))
+    newest = ends.agg(F.unix_millis(F.max("ts"))).first()[0] or 0
+    first = ends.groupBy("job_id").agg(F.min_by(F.struct(*_EVENT_COLUMNS[1:]), "ts").alias("e")).select("job_id", "e.*")
+    behind = first.filter(F.unix_millis("ts") < newest - _LATE * 1000)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+
+    def follow():
+        phases = P.expiring_jobs(P.follow_log(spark, f"{root}/log"), _TTL, f"{_LATE} seconds")
+        with P.with_rocksdb(spark):
+            run = phases.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            run.awaitTermination()
+
+    follow()
+    P.write_log(behind.select(F.concat(F.lit("late-"), "job_id").alias("job_id"), *_EVENT_COLUMNS[1:]).coalesce(1), f"{root}/log")
+    follow()
+    return spark.read.schema(P.EXPIRY_SCHEMA).parquet(out)
+
+
+@query(f"""SELECT job_id, before AS from_us, us AS until_us, (us - before) // {3600 * 1_000_000} AS beats FROM (
+             SELECT job_id, us, lag(us) OVER (PARTITION BY job_id ORDER BY us) AS before FROM ({_LIVE})) WHERE us - before >= {3600 * 1_000_000}""")
+def stream_idle(spark, d):
+    """Silences of an hour and more from session windows over the followed log; a last event moves the clock past all others."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = checkpointed(_live(spark, d).select(_EVENT_COLUMNS))
+    P.write_log(events.coalesce(4), f"{root}/log")
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("clock").alias("job_id"))
+    columns = [F.col(c) if c in ("ts", "job_id") else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in _EVENT_COLUMNS]
+    P.write_log(last.select(columns), f"{root}/log")
+    spans = P.active_spans(P.follow_log(spark, f"{root}/log"), 3600, "1 day")
+    run = spans.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(
         availableNow=True
-    ).foreachBatch(keep).start()
+    ).start()
     run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress)
-    return spark.read.parquet(f"{root}/out/{last:09d}")
+    found = P.silences(spark.read.schema(spans.schema).parquet(f"{root}/out").filter("job_id <> 'clock'"), 3600)
+    return found.select("job_id", F.unix_micros("from").alias("from_us"), F.unix_micros("until").alias("until_us"), "beats")
+
+
+@query(f"SELECT job_id, seq, type FROM ({_LIVE}) WHERE seq > CASE WHEN job_id = '7' THEN 3 ELSE 10 END")
+def stream_replay(spark, d):
+    """The log followed from index 10, one job from 3: half of it as history, then, after a restart, the rest."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = checkpointed(_live(spark, d).select(_EVENT_COLUMNS))
+    log = JobLog(spark, f"{root}/log")
+
+    def follow():
+        run = log.follow(10, {"7": 3}).select("job_id", "seq", "type").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint"
+        ).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    log.append(events.filter("seq % 2 = 0"))
+    follow()
+    log.append(events.filter("seq % 4 = 1"))
+    log.append(events.filter("seq % 4 = 3"))
+    follow()
+    return spark.read.schema("job_id string, seq long, type string").parquet(f"{root}/out")

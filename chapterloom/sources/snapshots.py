@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .commits import CommitLog
+
 ENTRY_TYPE = T.StructType(
     [
         T.StructField(name, T.IntegerType() if name == "chapter_count" else T.StringType())
@@ -126,64 +128,44 @@ def run_rows(documents: DataFrame, keys: list[str], content: Column) -> DataFram
     )
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where, jvm
-
-
-class StaleSnapshot(RuntimeError):
-    """Another writer has replaced the snapshot that this one was made from."""
-
-
 class Snapshots:
-    """A keyed table as immutable snapshot folders and a pointer file.
+    """A keyed table as immutable snapshot folders and a log of commits that name them.
 
-    A write goes to a new folder; the pointer is then replaced by a rename, so
-    readers see the old snapshot or the new one, and a lost job leaves only an
-    unreferenced folder behind. The path being read is never overwritten. A write
-    compares the pointer with the one that was last read or written here; if it is another one, the
+    A write goes to a new folder, which is then committed under the next number; readers see the old snapshot or the new one, and
+    a lost job leaves only an unreferenced folder behind. The path being read is never overwritten. A write belongs to the
+    snapshot that was last read or written here; if another one has been committed since, the
     write is refused and the new folder stays unreferenced.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.known: list[str | None] = []
+        self.log = CommitLog(spark, f"{self.root}/_log")
+        self.known: int | None = None
 
     def current(self) -> str | None:
-        fs, where, jvm = _filesystem(self.spark, f"{self.root}/CURRENT")
-        if not fs.exists(where):
-            return None
-        stream = fs.open(where)
-        try:
-            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        return self.log.latest()[1].get("name")
 
-    def read(self, schema: T.StructType) -> DataFrame:
-        name = self.current()
-        self.known = [name]
+    def _rows(self, name: str | None, schema: T.StructType) -> DataFrame:
         if name is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def read(self, schema: T.StructType) -> DataFrame:
+        self.known, content = self.log.latest()
+        return self._rows(content.get("name"), schema)
+
+    def at(self, version: int, schema: T.StructType) -> DataFrame:
+        """The table as one of the commits has it."""
+        return self._rows(self.log.content(version)["name"], schema)
+
     def write(self, df: DataFrame, name: str | None = None) -> str:
-        """Write a snapshot and make it current; a ``name`` makes a repeated write idempotent."""
+        """Write a snapshot and make it current; a ``name`` that is current already is not written again."""
+        version, content = self.log.latest()
+        if name is not None and content.get("name") == name:
+            return name
         name = name or f"snapshot-{uuid.uuid4().hex}"
-        df.write.mode("overwrite" if name != self.current() else "error").parquet(f"{self.root}/{name}")
-        fs, target, jvm = _filesystem(self.spark, f"{self.root}/CURRENT")
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{name}")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            target.toUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        if self.known and self.current() not in (*self.known, name):
-            raise StaleSnapshot(f"{self.root}: {self.known[0]} has been replaced by {self.current()}")
-        context.rename(fresh, target, options)
-        self.known = [name]
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        version = version if self.known is None else self.known
+        self.log.publish(version + 1, {"name": name})
+        self.known = version + 1
         return name

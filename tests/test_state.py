@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chapterloom.operators import books as B, events as E, imports as I, library as L, naming, schedule as S
+from chapterloom.sources.commits import StaleSnapshot
 from chapterloom.sources import archives as A, exports as X, snapshots as N
 
 
@@ -137,9 +138,10 @@ def test_snapshots_switch_and_repeat(spark, tmp_path):
     assert sorted(r.id for r in store.read(df.schema).collect()) == ["a", "b"]
     other = N.Snapshots(spark, str(tmp_path / "lib"))
     other.write(other.read(df.schema).limit(1))
-    with pytest.raises(N.StaleSnapshot):
+    with pytest.raises(StaleSnapshot):
         store.write(df)
     assert other.read(df.schema).count() == 1
+    assert [other.at(v, df.schema).count() for v in other.log.versions()] == [1, 2, 1]
 
 
 def _books(spark, per_volume):
