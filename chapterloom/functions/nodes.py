@@ -143,8 +143,34 @@ def text_of(nodes: Column, sep: str = " ") -> Column:
     return F.array_join(text_parts(nodes), sep)
 
 
-def first_text(nodes: Column, groups: Sequence[Group]) -> Column:
-    """Text of the first group whose first match has any; null when none has."""
+def steps_of(*groups: Group) -> list[Step]:
+    """All steps of some selectors, each once."""
+    return list(dict.fromkeys(step for group in groups for p in group for step in p))
+
+
+def candidates(nodes: Column, steps: Sequence[Step]) -> Column:
+    """Nodes that any of the steps tests true: what selectors made of these steps find among them is what they find in the page.
+
+    One pass over the page, however many selectors follow: ancestry is told by id ranges, which need no other nodes.
+    """
+    by_tag: dict[str | None, list[Step]] = {}
+    for step in steps:
+        by_tag.setdefault(step.tag, []).append(step)
+
+    def wanted(x: Column) -> Column:
+        named = [(x["tag"] == tag) & _any([s.test(x) for s in own]) for tag, own in by_tag.items() if tag]
+        return (x["kind"] == "el") & _any([*named, *(s.test(x) for s in by_tag.get(None, []))])
+
+    return F.filter(nodes, wanted)
+
+
+def first_text(nodes: Column, groups: Sequence[Group], among: Column | None = None) -> Column:
+    """Text of the first group whose first match has any; null when none has.
+
+    With ``among``, the selectors' candidates of an untouched page, only those are searched.
+    """
+    if among is not None:
+        return F.coalesce(*[filled(text_of(inside(nodes, first(among, g)))) for g in groups])
     return F.coalesce(*[filled(text_of(below(nodes, first(nodes, g)))) for g in groups])
 
 

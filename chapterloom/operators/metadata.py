@@ -20,48 +20,57 @@ def split_tags(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), strip), lambda t: t != "")
 
 
-def _tags(site: Site, nodes: Column) -> Column:
+def _tags(site: Site, nodes: Column, among: Column) -> Column:
     texts = F.array().cast("array<string>")
     if site.tags:
-        hits = N.matches(nodes, site.tags)
+        hits = N.matches(among, site.tags)
         # Tag texts join their pieces without a blank.
         each = F.transform(hits, lambda t: N.text_of(N.inside(nodes, t), ""))
         texts = F.filter(each, lambda t: t != "")
     if not site.tags_meta:
         return texts
     return let(
-        N.meta(nodes, site.tags_meta),
+        N.meta(among, site.tags_meta),
         lambda listed: F.when(listed != "", split_tags(listed)).otherwise(texts),
     )
 
 
-def _cover(site: Site, nodes: Column, page_url: Column) -> Column:
-    image = N.first(nodes, site.cover)["attrs"]["src"] if site.cover else F.lit(None).cast("string")
-    source = F.coalesce(filled(image), filled(N.meta(nodes, site.cover_meta)))
+def _cover(site: Site, among: Column, page_url: Column) -> Column:
+    image = N.first(among, site.cover)["attrs"]["src"] if site.cover else F.lit(None).cast("string")
+    source = F.coalesce(filled(image), filled(N.meta(among, site.cover_meta)))
     usable = (lambda s: ~s.contains(site.cover_reject)) if site.cover_reject else (lambda s: s.isNotNull())
     return let(source, lambda s: F.when(usable(s), resolve(page_url, s)))
 
 
-def _description(site: Site, nodes: Column) -> Column:
-    listed = F.coalesce(N.meta(nodes, site.description_meta), F.lit(""))
+def _description(site: Site, nodes: Column, among: Column) -> Column:
+    listed = F.coalesce(N.meta(among, site.description_meta), F.lit(""))
     if not site.description:
         return listed
     # The text is null only when the element is missing: an empty one counts.
-    whole = let(N.below(nodes, N.first(nodes, site.description)), lambda part: flat_text(part, DESCRIPTION_LIMIT))
+    whole = let(N.inside(nodes, N.first(among, site.description)), lambda part: flat_text(part, DESCRIPTION_LIMIT))
     return F.coalesce(whole, listed)
 
 
 def novel_fields(site: Site, nodes: Column, source_url: Column) -> Column:
-    """All metadata of one novel page as a struct."""
-    return F.struct(
-        site.title.value(nodes).alias("title"),
-        site.author.value(nodes).alias("author"),
-        _description(site, nodes).alias("description"),
-        F.lit(site.language).alias("language"),
-        _cover(site, nodes, source_url).alias("cover_url"),
-        source_url.alias("source_url"),
-        _tags(site, nodes).alias("tags"),
-        F.lit(site.publisher).cast("string").alias("publisher"),
+    """All metadata of one novel page as a struct.
+
+    A page is passed over once: whatever a selector of the site could use is put aside, a few nodes, and
+    all fields are looked up there.
+    """
+    groups = [*site.title.groups(), *site.author.groups(), site.description, site.cover, site.tags]
+    steps = N.steps_of(*groups, N.path(N.el("meta")))
+    return let(
+        N.candidates(nodes, steps),
+        lambda among: F.struct(
+            site.title.value(nodes, among).alias("title"),
+            site.author.value(nodes, among).alias("author"),
+            _description(site, nodes, among).alias("description"),
+            F.lit(site.language).alias("language"),
+            _cover(site, among, source_url).alias("cover_url"),
+            source_url.alias("source_url"),
+            _tags(site, nodes, among).alias("tags"),
+            F.lit(site.publisher).cast("string").alias("publisher"),
+        ),
     )
 
 

@@ -22,9 +22,10 @@ class FieldRule:
     sources: tuple[tuple[str, tuple], ...]
     default: str | None = None
 
-    def value(self, nodes: Column) -> Column:
+    def value(self, nodes: Column, among: Column | None = None) -> Column:
+        """The field of a page; ``among`` has the candidates of its selectors and the meta tags, see ``nodes.candidates``."""
         found = [
-            N.first_text(nodes, args) if kind == "text" else N.meta(nodes, args)
+            N.first_text(nodes, args, among) if kind == "text" else N.meta(nodes if among is None else among, args)
             for kind, args in self.sources
         ]
         found = [filled(v) for v in found]
@@ -33,6 +34,10 @@ class FieldRule:
         return F.coalesce(*found)
 
 
+    def groups(self) -> list[Group]:
+        return [g for kind, args in self.sources if kind == "text" for g in args]
+
+
 def text(*groups: Group) -> tuple[str, tuple]:
     return ("text", groups)
 
