@@ -157,27 +157,31 @@ def with_volume(chapters: DataFrame, per_volume: int | None = None) -> DataFrame
     return placed.withColumn("volume", F.floor((F.col("position") - 1) / per_volume).cast("int"))
 
 
-def append_chapters(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Existing documents followed by new ones; numbering continues from the highest.
-
-    ``manifest`` has (novel_id, spine, file_name, title), ``fresh`` has
-    (novel_id, position, title) with positions counted from 1 per novel. Only
-    novels with new chapters are returned, since only they are rewritten.
-    """
+def append_names(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` with the ``spine`` and ``file_name`` of each chapter behind the existing documents."""
     number = F.regexp_extract("file_name", CHAPTER_NUMBER, 1)
     ends = manifest.groupBy("novel_id").agg(
         F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0)).alias("_number"),
         F.max("spine").alias("_spine"),
     )
-    added = fresh.join(ends, "novel_id").select(
-        "novel_id",
+    return fresh.join(ends, "novel_id").select(
+        *fresh.columns,
         (F.col("_spine") + F.col("position")).alias("spine"),
         F.format_string(CHAPTER_FILE, F.col("_number") + F.col("position")).alias("file_name"),
-        "title",
-        F.lit(True).alias("added"),
     )
+
+
+def append_chapters(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Existing documents followed by new ones; numbering continues from the highest.
+
+    ``manifest`` has (novel_id, spine, file_name, title), ``fresh`` has
+    (novel_id, position, title) with positions counted from 1 per novel. Only
+    novels with new chapters are returned, since only they are rewritten.
+    """
+    columns = ["novel_id", "spine", "file_name", "title"]
+    added = append_names(manifest, fresh).select(*columns, F.lit(True).alias("added"))
     old = manifest.join(fresh.select("novel_id").distinct(), "novel_id", "left_semi")
-    return old.select("novel_id", "spine", "file_name", "title").withColumn("added", F.lit(False)).unionByName(added)
+    return old.select(columns).withColumn("added", F.lit(False)).unionByName(added)
 
 
 def repair_titles(documents: DataFrame, contents_list: DataFrame) -> DataFrame:

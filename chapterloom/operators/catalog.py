@@ -124,9 +124,9 @@ def list_entries_b(df: DataFrame, site: Site) -> DataFrame:
     return df.withColumn("entries", link_entries(F.col("nodes"), site.toc_containers, links))
 
 
-def toc_pages(nodes: Column, options: N.Group, most: int = MAX_LIST_PAGES) -> Column:
-    """Announced number of list pages: at least one, at most ``most``."""
-    return F.least(F.greatest(F.size(N.matches(nodes, options)), F.lit(1)), F.lit(most))
+def toc_pages(nodes: Column, options: N.Group, most: int | None = MAX_LIST_PAGES) -> Column:
+    """Announced number of list pages: at least one, at most ``most`` if that is not None."""
+    return F.least(F.greatest(F.size(N.matches(nodes, options)), F.lit(1)), F.lit(most).cast("int"))
 
 
 def _within(entries: DataFrame, max_pages: int | None) -> DataFrame:
@@ -135,8 +135,12 @@ def _within(entries: DataFrame, max_pages: int | None) -> DataFrame:
 
 def truncated_lists(entries: DataFrame, max_pages: int) -> DataFrame:
     """A warning (novel_id, pages, warning) for each novel with list pages beyond ``max_pages``."""
-    last = entries.groupBy("novel_id").agg(F.max("page").alias("pages")).filter(F.col("pages") > max_pages)
-    return last.withColumn(
+    return unread_pages(entries.groupBy("novel_id").agg(F.max("page").alias("pages")), max_pages)
+
+
+def unread_pages(announced: DataFrame, max_pages: int) -> DataFrame:
+    """The same from numbers of list pages (novel_id, pages)."""
+    return announced.filter(F.col("pages") > max_pages).withColumn(
         "warning", F.concat(F.lit(f"list_truncated: {max_pages} of "), F.col("pages").cast("string"), F.lit(" list pages"))
     )
 

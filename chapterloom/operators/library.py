@@ -44,6 +44,15 @@ def delete_entries(library: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     return library.join(gone, "id", "left_anti"), library.join(gone, "id", "left_semi")
 
 
+def unreferenced_files(listing: DataFrame, live: DataFrame, under: str) -> DataFrame:
+    """Files of ``listing`` (file_path) below the folder ``under`` that no live entry (file_path) names, each once.
+
+    A file that several entries share stays until the last of them is gone; ``live`` may unite several snapshots.
+    """
+    inside = listing.select("file_path").filter(F.col("file_path").startswith(under.rstrip("/") + "/")).distinct()
+    return inside.join(live.select("file_path").filter("file_path is not null"), "file_path", "left_anti")
+
+
 def record_conversions(metadata: DataFrame, chapters: DataFrame, files: DataFrame) -> DataFrame:
     """Library rows from finished conversions.
 
@@ -197,6 +206,22 @@ def update_warnings(library: DataFrame, catalog: DataFrame, outcomes: DataFrame)
     return _warnings(added)
 
 
+def with_rewrites(results: DataFrame, rewritten: DataFrame, library: DataFrame) -> DataFrame:
+    """Results of an update in which an archive that could not be rewritten (id, payload, detail) is an error and keeps its count."""
+    lost = rewritten.filter("payload is null").select("id", F.col("detail").alias("_lost"))
+    stored = library.select("id", F.col("chapter_count").alias("_count"), F.col("last_chapter_url").alias("_url"))
+    failed = F.col("_lost").isNotNull()
+    return results.join(lost, "id", "left").join(stored, "id").select(
+        "id",
+        "title",
+        F.when(failed, F.lit("error")).otherwise(F.col("status")).alias("status"),
+        F.when(failed, F.lit(0)).otherwise(F.col("added_chapters")).alias("added_chapters"),
+        F.when(failed, F.col("_count").cast("long")).otherwise(F.col("chapter_count")).alias("chapter_count"),
+        F.when(failed, F.col("_url")).otherwise(F.col("last_chapter_url")).alias("last_chapter_url"),
+        F.coalesce("_lost", "detail").alias("detail"),
+    )
+
+
 def apply_updates(library: DataFrame, results: DataFrame, at) -> DataFrame:
     """Library after an update: changed entries get count, last URL and time ``at``."""
     one = results.filter("added_chapters > 0").select(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_markup, slugify
+from ..functions.urls import entry_id
 from ..operators import books as B, naming
-from ..sources import archives as A
-from ..sources.pages import table
+from ..session import checkpointed, shared_dir
+from ..sources import archives as A, sink, splicing
+from ..sources.pages import book_covers, stored_images, table
+from ..sources.snapshots import ENTRY_TYPE, Snapshots
+from . import lifecycle
 from .fragments import CONVERSATIONS, conversation_chapters
 from .registry import query
 
@@ -210,6 +216,69 @@ def append_chapters(spark, d):
     return B.append_chapters(old.drop("chapter_index"), fresh)
 
 
+def _stored_and_fresh(spark, d):
+    """Archives of each novel's first turns, with gaps in their numbers, and the further turns."""
+    c = conversation_chapters(spark, d).withColumn("html", F.concat(F.lit("<p>"), escape_markup(F.col("text")), F.lit("</p>")))
+    first = c.filter("chapter_index <= 3").select(
+        "novel_id", (F.col("chapter_index") * 2).alias("position"), F.lit(0).alias("volume"), "title", "html"
+    )
+    page = B.title_page(F.col("title"), F.col("author"), F.col("description"), F.col("source_url"))
+    heads = _metadata(spark, d).withColumn("title_page", page).withColumn(
+        "record", F.array(F.struct(F.lit("language").alias("key"), F.lit("pl").alias("value")))
+    )
+    archives = A.pack_books(heads, first).select(F.col("novel_id").alias("archive_id"), "payload")
+    fresh = c.filter("chapter_index > 3").select(
+        F.col("novel_id").alias("archive_id"), (F.col("chapter_index") - 3).alias("position"), "title", "html"
+    )
+    return archives, fresh
+
+
+@query(f"""WITH c AS ({CONVERSATIONS}), t AS (SELECT novel_id, count(*) - 3 AS added FROM c GROUP BY novel_id HAVING max(chapter_index) > 3)
+           SELECT c.novel_id, chapter_index + 1 AS spine, title AS toc_title, added, true AS whole, true AS kept,
+             'text/chapter_' || lpad((CASE WHEN chapter_index <= 3 THEN chapter_index * 2 ELSE chapter_index + 3 END)::VARCHAR, 4, '0') || '.xhtml' AS file_name
+           FROM c JOIN t ON c.novel_id = t.novel_id
+           UNION ALL SELECT novel_id, 1, NULL, added, false, true, 'text/title.xhtml' FROM t""")
+def update_archives(spark, d):
+    """Stored archives get their new chapters: read back, all documents are there and the old members' bytes are untouched."""
+    archives, fresh = _stored_and_fresh(spark, d)
+    archives = checkpointed(archives)
+    made = checkpointed(splicing.append_to_archives(archives, fresh))
+    old = splicing.list_members(archives.join(made.select("archive_id"), "archive_id", "left_semi"))
+    new = splicing.list_members(made).withColumn("_there", F.lit(True))
+    lost = (
+        old.filter(~F.col("member").isin("EPUB/nav.xhtml", "EPUB/content.opf"))
+        .join(new, ["archive_id", "member", "method", "size", "packed_sha256"], "left").groupBy("archive_id")
+        .agg(F.count_if(F.col("_there").isNull()).alias("_lost"))
+    )
+    c = conversation_chapters(spark, d)
+    number = F.when(F.col("chapter_index") <= 3, F.col("chapter_index") * 2).otherwise(F.col("chapter_index") + 3)
+    body = c.select(F.col("novel_id").alias("archive_id"), F.format_string(B.CHAPTER_FILE, number).alias("file_name"), escape_markup(F.col("text")).alias("_body"))
+    docs = A.explode_archives(made).join(made.select("archive_id", "added"), "archive_id").join(lost, "archive_id")
+    return docs.join(body, ["archive_id", "file_name"], "left").select(
+        F.col("archive_id").alias("novel_id"), "spine", "toc_title", F.col("added").cast("long").alias("added"),
+        F.coalesce(F.contains("html", "_body"), F.lit(False)).alias("whole"), (F.col("_lost") == 0).alias("kept"), "file_name",
+    )
+
+
+@query(f"""SELECT novel_id, CASE WHEN novel_id % 9 > 0 THEN 'talk-' || novel_id || '.epub' END AS file_name, novel_id % 9 > 0 AS there, count(*) AS chapters
+           FROM ({_PREFIX_SQL}) GROUP BY novel_id""")
+def book_sink(spark, d):
+    """Archives saved as files by one job, then found by listing the folder and read back; every ninth has a name that no file can have."""
+    folder = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    packed = checkpointed(A.archive_names(_archives(spark, d), _metadata(spark, d)))
+    wanted = packed.withColumn("file_name", F.when(F.col("novel_id") % 9 == 0, F.concat(F.lit("no/"), "file_name")).otherwise(F.col("file_name")))
+    saved = sink.save_archives(wanted.select("novel_id", "chapter_count", "file_name", "payload"), folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(folder).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest")
+    )
+    both = saved.withColumn("name", F.element_at(F.split("saved_path", "/"), -1)).join(found, "name", "full")
+    told = packed.select("novel_id", F.sha2("payload", 256).alias("packed"))
+    return both.join(told, "novel_id", "left").select(
+        "novel_id", F.col("name").alias("file_name"), F.coalesce(F.col("digest") == F.col("packed"), F.lit(False)).alias("there"),
+        F.col("chapter_count").alias("chapters"),
+    )
+
+
 @query(f"""SELECT novel_id, chapter_index, CASE WHEN chapter_index % 3 = 0 THEN title WHEN chapter_index % 3 = 1 THEN 'TOC ' || title
                   ELSE 'c' || chapter_index || '.xhtml' END AS title FROM ({CONVERSATIONS})""")
 def title_repair(spark, d):
@@ -233,6 +302,95 @@ def book_summary(spark, d):
     return B.book_summary(c, c.filter("warning is not null"), files)
 
 
+_KIND = "CASE novel_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' END"
+_MAGIC = "CASE novel_id % 5 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '474946383961' WHEN 3 THEN '524946460000000057454250' ELSE '25504446' END"
+
+
+@query(f"""SELECT p.novel_id, 'EPUB/cover.' || {_KIND.replace('novel_id', 'p.novel_id')} AS member, sha256(unhex({_MAGIC.replace('novel_id', 'p.novel_id')}) || encode(m.description)) AS digest
+           FROM (SELECT DISTINCT novel_id FROM ({_PREFIX_SQL})) p JOIN (SELECT novel_id, min_by(text, chapter_index) AS description FROM ({CONVERSATIONS}) GROUP BY novel_id) m
+             ON p.novel_id = m.novel_id WHERE p.novel_id % 5 < 4""")
+def book_cover(spark, d):
+    """Covers stored as files, found by reading them, told by their first bytes and read back out of the archives; a fifth are no images."""
+    meta = _metadata(spark, d)
+    text = conversation_chapters(spark, d).groupBy("novel_id").agg(F.min_by("text", "chapter_index").alias("text"))
+    content = F.expr(f"concat(unhex({_MAGIC}), encode(text, 'UTF-8'))")
+    folder = f"{shared_dir(spark)}/covers-{uuid.uuid4().hex}"
+    sink.save_archives(text.select(F.concat(F.lit("cover-"), F.col("novel_id").cast("string")).alias("file_name"), content.alias("payload")), folder)
+    images = stored_images(spark, folder).withColumn("url", F.concat(F.lit("https://talk.example.org/"), "file")).filter("file like 'cover-%'")
+    heads = meta.select(
+        "novel_id", "title", "language", F.lit("<h1>x</h1>").alias("title_page"),
+        F.array(F.struct(F.lit("title").alias("key"), F.col("title").alias("value"))).alias("record"),
+        F.concat(F.lit("https://talk.example.org/cover-"), F.col("novel_id").cast("string")).alias("cover_url"),
+    )
+    packed = A.pack_books(heads, B.with_volume(B.completed_prefix(_chapters(spark, d))), book_covers(heads, images))
+    members = splicing.list_members(packed.select(F.col("novel_id").alias("archive_id"), "payload"))
+    return members.filter(F.col("member").startswith("EPUB/cover.") & (F.col("method") == 0)).select(
+        F.col("archive_id").alias("novel_id"), "member", F.col("packed_sha256").alias("digest")
+    )
+
+
+@query("""SELECT s_suppkey % 40 AS number, 'book-' || (s_suppkey % 40) || '.epub' AS file_name, bool_and(s_nationkey < 12) AS removed
+          FROM supplier GROUP BY s_suppkey % 40""")
+def library_vacuum(spark, d):
+    """Suppliers share forty files; those of some nations are deleted, and a file goes when its last supplier does."""
+    folder = f"{shared_dir(spark)}/vacuum-{uuid.uuid4().hex}"
+    number = F.col("s_suppkey") % 40
+    entries = checkpointed(table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), "s_nationkey", number.alias("number"),
+        F.concat(F.lit(f"{folder}/book-"), number.cast("string"), F.lit(".epub")).alias("file_path"),
+    ))
+    files = entries.select("number", F.element_at(F.split("file_path", "/"), -1).alias("file_name")).distinct()
+    saved = checkpointed(sink.save_archives(files.withColumn("payload", F.encode("file_name", "UTF-8")), folder))
+    library = entries.select("id", "file_path")
+    store = Snapshots(spark, f"{folder}/library")
+    store.write(library)
+    removed = lifecycle.delete_from_library(store, entries.filter("s_nationkey < 12").select("id"), folder, library.schema)
+    left = sink.listed_files(spark, folder).select("file_path", F.lit(True).alias("there"))
+    told = saved.withColumnRenamed("saved_path", "file_path").join(removed, "file_path", "left").join(left, "file_path", "left")
+    return told.select("number", "file_name", (F.coalesce("removed", F.lit(False)) & F.col("there").isNull()).alias("removed"))
+
+
+NOVELS, EXPORT = 150, 20
+
+
+@query(f"""WITH a AS (SELECT novel_id, count(*) AS n FROM ({_PREFIX_SQL}) GROUP BY novel_id),
+                r AS (SELECT novel_id, novel_id // {EXPORT} AS export_id, novel_id % {NOVELS} AS novel, n,
+                             row_number() OVER (PARTITION BY novel_id // {EXPORT} ORDER BY novel_id) - 1 AS position FROM a),
+                s AS (SELECT *, novel % 11 > 0 AND row_number() OVER (PARTITION BY novel ORDER BY novel_id) = 1 AS fresh FROM r),
+                f AS (SELECT *, 'novel-' || chr(97 + (novel_id % 5)::INT) AS slug,
+                             row_number() OVER (PARTITION BY novel_id % 5, fresh ORDER BY novel_id) AS k FROM s)
+           SELECT export_id, position, CASE WHEN fresh THEN 'imported' ELSE 'skipped' END AS status, CASE WHEN fresh THEN n ELSE 0 END AS chapter_count,
+                  CASE WHEN fresh THEN slug || CASE WHEN k + (slug = 'novel-c')::INT > 1 THEN '-' || (k + (slug = 'novel-c')::INT) ELSE '' END || '.epub' END AS file_name,
+                  fresh AS entered FROM f
+           UNION ALL SELECT -1, 0, 'import_error', 0, NULL, false""")
+def import_library(spark, d):
+    """Exports of archives into a library that knows every eleventh novel and has a file of one of the names."""
+    archives = checkpointed(_archives(spark, d).select("novel_id", "payload"))
+    novel = F.col("novel_id") % NOVELS
+    address = F.concat(F.lit("https://freewebnovel.com/novel/n-"), novel.cast("string"))
+    title = F.concat(F.lit("Novel "), F.char(F.lit(97) + (F.col("novel_id") % 5)))
+    rows = archives.select(
+        "novel_id", F.floor(F.col("novel_id") / EXPORT).alias("export_id"),
+        F.struct(address.alias("LibStoryURL"), title.alias("LibFilename"), F.base64("payload").alias("LibEpub")).alias("novel"),
+    )
+    # An export holds twenty novels at most.
+    listed = rows.groupBy("export_id").agg(F.sort_array(F.collect_list(F.struct("novel_id", "novel"))).alias("rows"))
+    library_json = F.to_json(F.struct(F.transform("rows", lambda r: r["novel"]).alias("Library")))
+    exports = listed.select("export_id", F.encode(library_json, "UTF-8").alias("content")).union(
+        spark.range(1).select(F.lit(-1).cast("long"), F.encode(F.lit('{"Library": ["no novel"]}'), "UTF-8"))
+    )
+    known = archives.select(novel.alias("n")).distinct().filter("n % 11 = 0").select(
+        entry_id(F.concat(F.lit("https://freewebnovel.com/novel/n-"), F.col("n").cast("string"))).alias("id"), F.lit("/books/novel-c.epub").alias("file_path")
+    )
+    library = known.select(*[F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ENTRY_TYPE])
+    done = lifecycle.import_library(exports, library, f"{shared_dir(spark)}/imported-{uuid.uuid4().hex}", F.lit("2025-01-01T00:00:00Z"))
+    entered = done.library.filter("created_at is not null").select("id", "file_path", F.lit(True).alias("entered"))
+    return done.results.join(entered, ["id", "file_path"], "left").select(
+        "export_id", F.col("position").cast("long").alias("position"), "status", F.col("chapter_count").cast("long").alias("chapter_count"),
+        F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.coalesce("entered", F.lit(False)).alias("entered"),
+    ).union(done.errors.select("export_id", F.lit(0), "detail", F.lit(0), F.lit(None).cast("string"), F.lit(False)))
+
+
 # Suffixes in use by segment: suppliers own files named after segments, as "-k".
 @query("""WITH a AS (SELECT c_custkey, lower(c_mktsegment) AS slug, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer),
                used AS (SELECT DISTINCT slug, s_suppkey + 1 AS k FROM supplier, (SELECT DISTINCT slug FROM a) WHERE s_suppkey % 5 = length(slug) % 5),

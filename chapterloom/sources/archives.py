@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import io
-import os
 import posixpath
-import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 from xml.etree import ElementTree
 
@@ -20,7 +19,7 @@ from ..functions.text import slugify
 from ..operators.books import CHAPTER_FILE, chapter_document
 from .html_nodes import parse_nodes
 
-_PAGE = (
+PAGE = (
     '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="{lang}">'
     "<head><title>{title}</title></head><body>\n{body}\n</body></html>"
 )
@@ -37,6 +36,12 @@ def _write(archive: zipfile.ZipFile, name: str, data: str | bytes, method: int =
     archive.writestr(zipfile.ZipInfo(name, _EPOCH), data, compress_type=method)
 
 
+def contents_page(lang: str, listed: list[tuple[str, str]]) -> str:
+    """The navigation document over (file name, title)."""
+    links = "".join(f'<li><a href="{escape(name)}">{escape(title)}</a></li>' for name, title in listed)
+    return PAGE.format(lang=escape(lang), title="Contents", body=f"<nav><ol>{links}</ol></nav>")
+
+
 def _pack(head: dict, chapters: list[dict]) -> bytes:
     """One volume; equal input gives equal bytes."""
     lang = head["language"] or "en"
@@ -44,12 +49,13 @@ def _pack(head: dict, chapters: list[dict]) -> bytes:
     documents += [
         (f"chapter_{c['position']:04d}", CHAPTER_FILE % c["position"], c["title"], c["document"]) for c in chapters
     ]
-    links = "".join(f'<li><a href="{name}">{escape(title or "")}</a></li>' for _, name, title, _ in documents[1:])
     fields = "".join(f"<dc:{p['key']}>{escape(p['value'])}</dc:{p['key']}>" for p in head["record"])
     items = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
     items += "".join(
         f'<item id="{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n, _, _ in documents
     )
+    if head["cover"] is not None:
+        items += f'<item id="cover" href="{head["cover_file"]}" media-type="{escape(head["media_type"])}" properties="cover-image"/>'
     spine = "".join(f'<itemref idref="{i}"/>' for i in ["nav", *[d[0] for d in documents]])
     package = (
         '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0">'
@@ -61,26 +67,35 @@ def _pack(head: dict, chapters: list[dict]) -> bytes:
         _write(archive, "mimetype", "application/epub+zip", zipfile.ZIP_STORED)
         _write(archive, "META-INF/container.xml", _CONTAINER)
         for _, name, title, body in documents:
-            _write(archive, f"EPUB/{name}", _PAGE.format(lang=escape(lang), title=escape(title or ""), body=body))
-        contents = f"<nav><ol>{links}</ol></nav>"
-        _write(archive, "EPUB/nav.xhtml", _PAGE.format(lang=escape(lang), title="Contents", body=contents))
+            _write(archive, f"EPUB/{name}", PAGE.format(lang=escape(lang), title=escape(title or ""), body=body))
+        contents = contents_page(lang, [(name, title or "") for _, name, title, _ in documents[1:]])
+        _write(archive, "EPUB/nav.xhtml", contents)
         _write(archive, "EPUB/content.opf", package)
+        if head["cover"] is not None:
+            _write(archive, f"EPUB/{head['cover_file']}", head["cover"], zipfile.ZIP_STORED)
     return out.getvalue()
 
 
-def pack_books(books: DataFrame, chapters: DataFrame) -> DataFrame:
+_COVER = {"cover": "binary", "media_type": "string", "cover_file": "string"}
+
+
+def pack_books(books: DataFrame, chapters: DataFrame, covers: DataFrame | None = None) -> DataFrame:
     """Archives from book heads and chapters, one row per (novel_id, volume).
 
     ``books`` has novel_id, title, language, title_page and record (the key /
     value pairs); ``chapters`` has novel_id, position, volume, title, html. The
     volume bounds a group, so a novel of any length is packed in pieces of
     limited size; ordinary novels have a single volume. Novels without
-    chapters give no archive.
+    chapters give no archive. ``covers`` (novel_id, cover, media_type,
+    cover_file) meets the heads alone; a book without one is complete all the same.
     """
+    blank = [F.lit(None).cast(kind).alias(name) for name, kind in _COVER.items()]
+    plain = books.select("*", *blank) if covers is None else books.join(covers, "novel_id", "left")
+
     def head_rows(keyed: DataFrame) -> DataFrame:
         return keyed.select(
             "novel_id", "volume", F.lit(0).cast("long").alias("position"), "title",
-            F.col("title_page").alias("document"), "language", "record",
+            F.col("title_page").alias("document"), "language", "record", *_COVER,
         )
 
     body = chapters.select(
@@ -88,12 +103,13 @@ def pack_books(books: DataFrame, chapters: DataFrame) -> DataFrame:
         chapter_document(F.col("title"), F.col("html")).alias("document"),
         F.lit(None).cast("string").alias("language"),
         F.lit(None).cast(books.schema["record"].dataType).alias("record"),
+        *blank,
     )
     # Heads ride along as row 0 of each volume. Volume 0 needs no lookup; the
     # further ones exist only for books beyond the limit.
     more = chapters.filter("volume > 0").select("novel_id", "volume").distinct()
-    rows = body.unionByName(head_rows(books.withColumn("volume", F.lit(0)))).unionByName(
-        head_rows(more.join(books, "novel_id"))
+    rows = body.unionByName(head_rows(plain.withColumn("volume", F.lit(0)))).unionByName(
+        head_rows(more.join(plain, "novel_id"))
     )
 
     kind = chapters.schema["novel_id"].dataType.simpleString()
@@ -125,36 +141,48 @@ def archive_names(archives: DataFrame, books: DataFrame) -> DataFrame:
     ).drop("title")
 
 
-def save_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Write each archive (file_name, payload) into a folder that all executors share.
-
-    A file appears under its name in one step, so a repeated task leaves the
-    same result. A failed write is no failure of the book: its ``saved_path``
-    is null. The write happens when the result is evaluated.
-    """
-    kept = [f for f in archives.schema.fields if f.name != "payload"]
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            paths = []
-            for row in rows:
-                target = os.path.join(folder, row["file_name"])
-                part = f"{target}.{uuid.uuid4().hex}"
-                try:
-                    os.makedirs(folder, exist_ok=True)
-                    with open(part, "wb") as out:
-                        out.write(row["payload"])
-                    os.replace(part, target)
-                    paths.append(target)
-                except OSError:
-                    paths.append(None)
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(paths, pa.string())], [*[f.name for f in kept], "saved_path"]
-            )
-
-    return archives.mapInArrow(save, T.StructType([*kept, T.StructField("saved_path", T.StringType())]))
+@dataclass
+class Package:
+    """What an archive says of itself: its package document and the documents in reading order, navigation left out."""
+
+    path: str
+    text: str
+    root: str
+    language: str
+    nav: str | None
+    ncx: str | None
+    ids: set[str]
+    documents: list[tuple[int, str, str | None]]  # reading position from 1, file name, title in the contents list
+
+    def member(self, href: str) -> str:
+        return posixpath.normpath(posixpath.join(self.root, href))
+
+
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def read_package(archive: zipfile.ZipFile) -> Package:
+    box = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+    opf = next(e.get("full-path") for e in box.iter() if e.tag.endswith("rootfile"))
+    raw = archive.read(opf)
+    package = ElementTree.fromstring(raw)
+    items = {e.get("id"): e for e in package.iter() if _local(e) == "item"}
+    nav = next((e.get("href") for e in items.values() if "nav" in (e.get("properties") or "").split()), None)
+    ncx = next((e.get("href") for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml"), None)
+    language = next((e.text for e in package.iter() if _local(e) == "language" and e.text), "en")
+    found = Package(opf, raw.decode("utf-8", "replace"), posixpath.dirname(opf), language, nav, ncx, set(items), [])
+    titles: dict[str, str] = {}
+    if nav is not None:
+        titles = _contents(archive.read(found.member(nav)).decode("utf-8", "replace"))
+    elif ncx is not None:
+        titles = _points(archive.read(found.member(ncx)))
+    for ref in [e.get("idref") for e in package.iter() if _local(e) == "itemref"]:
+        item = items.get(ref)
+        if item is None or item.get("media-type") != "application/xhtml+xml" or item.get("href") == nav:
+            continue
+        found.documents.append((len(found.documents) + 1, item.get("href"), titles.get(item.get("href"))))
+    return found
 
 
 def _documents(content: bytes) -> list[tuple]:
@@ -162,35 +190,26 @@ def _documents(content: bytes) -> list[tuple]:
 
     All or nothing: an archive with one unreadable document has none.
     """
-    found: list[tuple] = []
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        with archive:
-            box = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-            opf = next(e.get("full-path") for e in box.iter() if e.tag.endswith("rootfile"))
-            package = ElementTree.fromstring(archive.read(opf))
-            root = posixpath.dirname(opf)
-            items = {
-                e.get("id"): e for e in package.iter() if e.tag.endswith("}item") or e.tag == "item"
-            }
-            order = [e.get("idref") for e in package.iter() if e.tag.endswith("itemref")]
-            titles: dict[str, str] = {}
-            for item in items.values():
-                if "nav" in (item.get("properties") or "").split():
-                    titles = _contents(archive.read(posixpath.join(root, item.get("href"))).decode("utf-8", "replace"))
-            at = 0
-            for ref in order:
-                item = items.get(ref)
-                if item is None or item.get("media-type") != "application/xhtml+xml":
-                    continue
-                if "nav" in (item.get("properties") or "").split():
-                    continue
-                at += 1
-                href = item.get("href")
-                html = archive.read(posixpath.normpath(posixpath.join(root, href))).decode("utf-8", "replace")
-                found.append((at, href, titles.get(href), html))
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            package = read_package(archive)
+            return [
+                (at, href, title, archive.read(package.member(href)).decode("utf-8", "replace"))
+                for at, href, title in package.documents
+            ]
     except Exception:  # noqa: BLE001 - no archive may end a job
         return []
+
+
+def _points(ncx: bytes) -> dict[str, str]:
+    """href -> title of an NCX document."""
+    found: dict[str, str] = {}
+    for point in ElementTree.fromstring(ncx).iter():
+        if _local(point) == "navPoint":
+            text = next((e.text for e in point.iter() if _local(e) == "text"), None)
+            source = next((e.get("src") for e in point.iter() if _local(e) == "content"), None)
+            if source and text:
+                found.setdefault(source, text.strip())
     return found
 
 

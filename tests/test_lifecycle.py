@@ -7,9 +7,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from chapterloom.functions.urls import entry_id
 from chapterloom.operators import naming
 from chapterloom.plans import lifecycle as P
-from chapterloom.sources import archives as A, snapshots as S
+from chapterloom.sources import archives as A, sink, snapshots as S
+from chapterloom.sources.pages import book_covers, media_type_of
 
 ROOT_B = "https://freewebnovel.com/novel/b"
 ROOT_A = "https://www.royalroad.com/fiction/7/tale"
@@ -69,13 +71,13 @@ def test_convert(spark, tmp_path):
     arrivals = named.select(F.regexp_replace("file_name", r"\.epub$", "").alias("slug"), F.col("novel_id").cast("long").alias("arrival"))
     stems = naming.free_names(arrivals, spark.createDataFrame([("tale",)], "stem string"))
     final = named.drop("file_name").join(stems.select(F.col("arrival").alias("novel_id"), F.concat("stem", F.lit(".epub")).alias("file_name")), "novel_id")
-    saved = {r.novel_id: r.saved_path for r in A.save_archives(final, str(tmp_path / "out")).collect()}
+    saved = {r.novel_id: r.saved_path for r in sink.save_archives(final, str(tmp_path / "out")).collect()}
     assert {k: v.rsplit("/", 1)[1] for k, v in saved.items()} == {1: "novel-b.epub", 2: "tale-2.epub", 8: "novel-b-2.epub"}
     with zipfile.ZipFile(saved[2]) as z:
         assert len([n for n in z.namelist() if "chapter_" in n]) == 3
     blocked = tmp_path / "file"
     blocked.write_text("x")
-    assert [r.saved_path for r in A.save_archives(final, str(blocked)).collect()] == [None] * 3
+    assert [r.saved_path for r in sink.save_archives(final, str(blocked)).collect()] == [None] * 3
 
     files = spark.createDataFrame([(k, v) for k, v in saved.items()], "request_id int, file_path string")
     rows = P.library_of(done, files, F.lit("2025-01-01T00:00:00+00:00")).collect()
@@ -136,3 +138,95 @@ def test_library_documents(spark):
     back = S.library_entries(docs, ["library_id", "part"], F.col("content"))
     again = back.withColumn("position", (F.col("position") + F.col("part") * 1000).cast("int")).select(lib.columns)
     assert again.exceptAll(lib).count() == 0 and again.count() == 1500
+
+
+def test_all_list_pages_are_read(spark):
+    last = 405
+    pages = {ROOT_B: b_list([1], last)} | {f"{ROOT_B}?page={n}": b_list([n], last) for n in range(2, last + 1)}
+    crawled = spark.createDataFrame(list(pages.items()), "url string, html string")
+    novels = spark.createDataFrame([("n", ROOT_B, "freewebnovel")], "novel_id string, source_url string, site string")
+    told = P.crawl(crawled, novels)
+    assert [r.chapter_index for r in told.catalog.orderBy("chapter_index").collect()] == list(range(1, last + 1))
+    assert told.truncated.count() == 0
+    cut = P.crawl(crawled, novels, max_pages=3)
+    assert cut.catalog.count() == 3
+    assert [tuple(r) for r in cut.truncated.collect()] == [("n", last, "list_truncated: 3 of 405 list pages")]
+    requests = spark.createDataFrame([(1, ROOT_B, 0, 0, None, None)], "request_id int, url string, start int, end int, selected array<int>, language string")
+    done = P.convert(crawled, requests, max_pages=2)
+    assert done.chapters.count() == 2
+    assert (1, None, "list_truncated: 2 of 405 list pages") in [tuple(r) for r in done.warnings.collect()]
+
+
+LIBRARY = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.ENTRY_TYPE)
+
+
+def entry(i, url, path):
+    return (i, url, "p", "T", "A", "en", None, path, 1, None, "t", "t")
+
+
+def test_import_into_a_library(spark, tmp_path):
+    book = _epub(["Information.xhtml", "0001_a.xhtml", "0002_b.xhtml"])
+    first = [(ROOT_B, "B", book), ("https://nowhere.test/n", "B", _epub(["1.xhtml"])), (ROOT_A, "Known", book), ("https://nowhere.test/x", "Taken", book)]
+    second = [(ROOT_B, "B again", book), ("https://nowhere.test/z", "Stuck", book), ("https://nowhere.test/z", "Free", book), ("https://nowhere.test/z", "Late", book)]
+
+    def document(novels):
+        return bytearray(json.dumps({"Library": [dict(zip(("LibStoryURL", "LibFilename", "LibEpub"), n)) for n in novels]}).encode())
+
+    exports = spark.createDataFrame([(1, document(first)), (2, document(second)), (3, bytearray(b"{broken"))], "export_id int, content binary")
+    out = tmp_path / "out"
+    (out / "stuck.epub" / "full").mkdir(parents=True)
+    known = spark.createDataFrame([(ROOT_A,)], "u string").select(entry_id(F.col("u")).alias("i")).first().i
+    library = spark.createDataFrame([entry(known, ROOT_A, "/books/b-2.epub")], LIBRARY)
+    files = spark.createDataFrame([("/else/taken.epub",)], "file_path string")
+    done = P.import_library(exports, library, str(out), F.lit("now"), files=files)
+    got = {(r.export_id, r.position): (r.status, r.chapter_count, r.file_path and r.file_path.rsplit("/", 1)[1], r.detail) for r in done.results.collect()}
+    assert got == {
+        (1, 0): ("imported", 2, "b.epub", None), (1, 1): ("imported", 1, "b-3.epub", "unsupported_site"), (1, 2): ("skipped", 0, None, None),
+        (1, 3): ("imported", 2, "taken-2.epub", "unsupported_site"), (2, 0): ("skipped", 0, None, None),
+        (2, 1): ("error", 0, None, "write_failed"), (2, 2): ("imported", 2, "free.epub", "unsupported_site"), (2, 3): ("skipped", 0, None, None)}
+    assert [tuple(r) for r in done.errors.collect()] == [(3, "import_error")]
+    rows = {r.file_path.rsplit("/", 1)[1]: (r.title, r.parser, r.chapter_count) for r in done.library.collect()}
+    assert rows == {"b-2.epub": ("T", "p", 1), "b.epub": ("B", "freewebnovel", 2), "b-3.epub": ("B", "unknown", 1),
+                    "taken-2.epub": ("Taken", "unknown", 2), "free.epub": ("Free", "unknown", 2)}
+    assert zipfile.is_zipfile(out / "b.epub") and zipfile.is_zipfile(out / "free.epub")
+    # A folder that cannot be written: errors, and the library stays as it is.
+    blocked = tmp_path / "file"
+    blocked.write_text("x")
+    lost = P.import_library(exports, library, str(blocked), F.lit("now"))
+    assert {r.status for r in lost.results.collect()} == {"error", "skipped"} and lost.library.count() == 1
+    none = P.import_library(exports.limit(0), library, str(out), F.lit("now"))
+    assert none.results.count() == 0 and none.library.count() == 1 and none.errors.count() == 0
+
+
+def test_deleted_entries_take_their_files_unless_shared(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [(n, f"{n}.epub", bytearray(n.encode())) for n in ("a", "b", "stray")]
+    sink.save_archives(spark.createDataFrame(rows, "n string, file_name string, payload binary"), out).count()
+    library = spark.createDataFrame([("1", f"{out}/a.epub"), ("2", f"{out}/a.epub"), ("3", f"{out}/b.epub"), ("4", None), ("5", "/elsewhere/x.epub")], "id string, file_path string")
+    store = S.Snapshots(spark, str(tmp_path / "lib"))
+    store.write(library)
+
+    def delete(ids, keep=1):
+        wanted = spark.createDataFrame([(i,) for i in ids], "id string")
+        return sorted(r.file_path.rsplit("/", 1)[1] for r in P.delete_from_library(store, wanted, out, library.schema, keep).filter("removed").collect())
+
+    assert delete(["1", "3", "5"], keep=2) == ["stray.epub"]  # the snapshot before still names b
+    assert delete(["4"]) == ["b.epub"]
+    assert delete(["2"]) == ["a.epub"] and store.read(library.schema).count() == 0
+    assert delete(["9"]) == []
+
+
+def test_covers_go_into_their_books(spark):
+    heads = spark.createDataFrame([(i, "T", "en", "<h1>T</h1>", [("title", "T")], u) for i, u in enumerate(["u0", "u1", None, "u3", "gone"])],
+                                  "novel_id int, title string, language string, title_page string, record array<struct<key:string,value:string>>, cover_url string")
+    images = spark.createDataFrame([("u0", bytearray(b"\x89PNG\r\n\x1a\n.."), None), ("u1", bytearray(b"RIFF....WEBP.."), "image/webp; q=1"), ("u3", bytearray(b"%PDF"), None)],
+                                   "url string, content binary, sent string")
+    typed = images.withColumn("content_type", F.coalesce("sent", media_type_of(F.col("content"))))
+    chapters = spark.createDataFrame([(i, 1, 0, "c", "<p>x</p>") for i in range(5)], "novel_id int, position int, volume int, title string, html string")
+    packed = A.pack_books(heads, chapters, book_covers(heads, typed))
+    found = {}
+    for r in packed.collect():
+        with zipfile.ZipFile(io.BytesIO(r.payload)) as z:
+            found[r.novel_id] = [(n, z.read(n)) for n in z.namelist() if "cover" in n]
+            assert ("cover-image" in z.read("EPUB/content.opf").decode()) == bool(found[r.novel_id])
+    assert found == {0: [("EPUB/cover.png", b"\x89PNG\r\n\x1a\n..")], 1: [("EPUB/cover.webp", b"RIFF....WEBP..")], 2: [], 3: [], 4: []}
