@@ -10,14 +10,15 @@ with the corpus is broadcast, and texts are cut into words once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .frames import shared_path, stored
+from .frames import shared_path
 
 #: Bytes of text to a slice; a longer document is a slice of its own.
 SLICE = 8 << 20
@@ -47,8 +48,20 @@ def merged(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE) ->
         yield pa.concat_batches(held)
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    return B.slices(merged(batches, name), name, SLICE)
+def slices(
+    batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for part in B.slices(merged(batches, name, limit), name, limit):
+        yield part
+        B.give_back()
+
+
+def each(batches: Iterator[pa.RecordBatch], rows: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same in batches of ``rows``; what they took is given back in between, since rows are megabytes."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+            B.give_back()
 
 
 class Words:
@@ -81,12 +94,31 @@ def of_bytes(column: pa.Array, row: int, kind: str = "<i4") -> np.ndarray:
     return np.frombuffer(column[row].as_buffer() if column[row].is_valid else b"", kind)
 
 
-def stored_slices(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job started inside go when it ends: nothing reads them once its table is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; its shuffle files are removed."""
     path = shared_path(df, name)
-    df.write.options(**_SMALL_GROUPS).parquet(path)
+    with _swept(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_slices(df: DataFrame, name: str) -> DataFrame:
+    """The same for rows of megabytes."""
+    return stored(df, name, **_SMALL_GROUPS)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored, with ``id``: 1, 2, 3 and on without a gap. Only counts by partition meet in one place."""
     kept = stored(df.withColumn("__at", F.monotonically_increasing_id()), name)

@@ -6,6 +6,10 @@ ROLLUP over the columns of the window then gives the counts of all shorter phras
 since a phrase occurs once for each window that begins with it: no n-gram but the longest
 is ever listed.
 
+The one large shuffle is that of the windows, by their first two words; pairs, windows and what is left for ROLLUP are
+summed where they lie. Windows of pairs that are too rare for a candidate go before ROLLUP, and of the others those
+that are too rare themselves count as padded behind the pair: sums over prefixes stay as they are.
+
 Words that occur fewer than ``least`` times in their language cannot be part of a
 candidate, nor of a part of one: they stand as padding, and windows that they lead are
 left out. Languages are part of a word's number, so windows need no column for them.
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 
 from . import lexicon, textbytes as B
 from ..operators.ordering import top_k
-from .frames import column, stored
+from .frames import column
+from .lexicon import stored
 
 LONGEST = 3
+#: Bytes of text to a slice: the larger, the fewer words are looked up.
+SLICE = 16 << 20
 #: Bytes that end a piece, and those that part words within one.
 _STOPS = B.byte_class([*b".,;:!?", *range(0x0A, 0x0E)])
 _WORD = ~(_STOPS | B.byte_class([0x20, 0x09]))
@@ -45,7 +52,7 @@ def _sliced(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for rows, raw, offsets in lexicon.slices(batches, "text"):
+        for rows, raw, offsets in lexicon.slices(batches, "text", SLICE):
             words = lexicon.Words(raw, offsets, _WORD)
             if not len(words):
                 continue
@@ -97,7 +104,7 @@ def windows(sliced: DataFrame, words: DataFrame) -> DataFrame:
     )
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches, 8):
             lists, texts = batch.column("found"), batch.column("ids")
             for i in range(batch.num_rows):
                 if not lists[i].is_valid or not len(lists[i]):
@@ -126,7 +133,8 @@ def windows(sliced: DataFrame, words: DataFrame) -> DataFrame:
                     [*(pa.array(numbers[c]) for c in rows), pa.array(n)], [*(f"w{k + 1}" for k in range(LONGEST)), "n"]
                 )
 
-    return found.select("ids", "found").mapInArrow(led, ", ".join(f"w{k + 1} long" for k in range(LONGEST)) + ", n long")
+    found = lexicon.stored_slices(found.select("ids", "found"), "phrase-numbers")
+    return found.mapInArrow(led, ", ".join(f"w{k + 1} long" for k in range(LONGEST)) + ", n long")
 
 
 def _score(l: str, r: str) -> Column:
@@ -149,7 +157,11 @@ def collocations(docs: DataFrame, least: int = 10, best: int = 2000, within: int
     )
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = lexicon.numbered(every.where(F.col("f") >= least), "phrase-frequent")
-    rolled = windows(sliced, words).rollup("w1", "w2", "w3").agg(
+    dealt = windows(sliced, words).where("w2 > 0").repartition("w1", "w2")
+    counted = dealt.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    often = counted.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= least).select("w1", "w2")
+    able = counted.join(often.hint("shuffle_hash"), ["w1", "w2"]).withColumn("w3", F.when(F.col("n") >= least, F.col("w3")).otherwise(0))
+    rolled = able.rollup("w1", "w2", "w3").agg(
         F.sum("n").alias("a"), F.grouping("w2").alias("no2"), F.grouping("w3").alias("no3")
     )
     # Sums over a prefix; one whose last word is padding is no phrase.
