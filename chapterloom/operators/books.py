@@ -27,7 +27,7 @@ def with_placeholders(selection: DataFrame, contents: DataFrame, notice: str = "
     joined = selection.join(body, ["novel_id", "chapter_index"], "left")
     failed = F.coalesce(F.col("status") != "ok", F.lit(False))
     note = F.concat(
-        F.lit(f"<p><em>{notice} This chapter could not be fetched. Source: <a href=\""),
+        F.lit(f"<p><em>{notice} No text was found for this chapter; it should be at <a href=\""),
         F.col("url"), F.lit('">'), F.col("url"), F.lit("</a></em></p>"),
     )
     warning = F.concat(
@@ -67,7 +67,7 @@ def stop_warnings(chapters: DataFrame, key: str = "novel_id") -> DataFrame:
         key,
         k.alias("delivered"),
         "selected",
-        F.when((k > 0) & (k < F.col("selected")), F.format_string("Stopped after %d of %d chapters", k, F.col("selected")))
+        F.when((k > 0) & (k < F.col("selected")), F.format_string("%d of %d chapters, then stopped", k, F.col("selected")))
         .alias("warning"),
         F.when(k == 0, F.lit("stopped_empty")).alias("detail"),
     )

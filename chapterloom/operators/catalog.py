@@ -229,7 +229,7 @@ def cap_warnings(selection: DataFrame, cap: int) -> DataFrame:
     sizes = selection.groupBy("request_id").agg(F.count("*").alias("n"))
     over = F.lit(cap > 0) & (F.col("n") > cap)
     return sizes.filter(over).select(
-        "request_id", F.format_string(f"Limited to {cap} chapters (out of %d selected)", "n").alias("warning")
+        "request_id", F.format_string(f"{cap} of %d selected chapters kept", "n").alias("warning")
     )
 
 

@@ -335,15 +335,18 @@ def chapter_contents(
 
     ``titles`` are expressions over ``nodes`` (after the page-level pass) and
     other columns, in order of preference; the last one is usually the catalog
-    title. Pages without content keep their row, with a status instead.
+    title. Pages without content keep their row, with a status instead; a
+    column ``parsed``, see ``with_nodes``, marks those that could not be read.
     """
+    told = "parsed" in df.columns
     df = strip_hidden(df, ads)
     df = df.withColumn("title", F.coalesce(*titles))
     df = keep_container(df, containers)
     df = sanitize_nodes(df, base_url, keep_images)
     status = (
-        F.when(~F.col("has_container"), F.lit("no_content"))
+        F.when(~F.col("parsed") if told else F.lit(False), F.lit("parse_error"))
+        .when(~F.col("has_container"), F.lit("no_content"))
         .when(F.col("clean_text") == "", F.lit("empty_after_cleaning"))
         .otherwise(F.lit("ok"))
     )
-    return df.withColumn("status", status).drop("nodes", "page_nodes", "has_container")
+    return df.withColumn("status", status).drop("nodes", "page_nodes", "has_container", "parsed")

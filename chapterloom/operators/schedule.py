@@ -14,6 +14,7 @@ from .ordering import top_k, with_running
 MAX_RUNS = 20
 MIN_INTERVAL_HOURS = 1
 DEFAULT_INTERVAL_HOURS = 24
+STARTUP_DELAY_SECONDS = 30
 # -------------------------------------------------------------------------
 
 
@@ -99,10 +100,35 @@ def run_outcomes(results: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def decisions(due: DataFrame, active: DataFrame) -> DataFrame:
-    """Per library: run, skip (something else is running) or wait."""
+def startup_checks(settings: DataFrame, starts: DataFrame, runs: DataFrame, now: Column, delay: int = STARTUP_DELAY_SECONDS) -> DataFrame:
+    """Libraries (library_id) whose check after the start is to be made now.
+
+    ``starts`` (library_id, started_at) tells when each was started last. The check waits ``delay`` seconds and is made
+    once: a real run begun since then under the trigger ``startup`` is it, a skipped one leaves it open.
+    """
+    begun = starts.groupBy("library_id").agg(F.max("started_at").alias("_start"))
+    asked = settings.filter("check_on_startup").select("library_id").join(begun, "library_id")
+    ripe = asked.filter(F.unix_micros("_start") + delay * 1_000_000 <= F.unix_micros(now))
+    made = runs.filter((F.col("status") != "skipped") & (F.col("trigger") == "startup")).groupBy("library_id").agg(
+        F.max("started_at").alias("_made")
+    )
+    return ripe.join(made, "library_id", "left").filter(F.col("_made").isNull() | (F.col("_made") < F.col("_start"))).select("library_id")
+
+
+def decisions(due: DataFrame, active: DataFrame, startup: DataFrame | None = None) -> DataFrame:
+    """Per library: run, skip (something else is running) or wait; with ``startup``, see ``startup_checks``, also the ``trigger``.
+
+    The check after a start goes before the one by interval.
+    """
     busy = active.select("library_id").distinct().withColumn("_busy", F.lit(True))
-    return due.join(busy, "library_id", "left").withColumn(
+    state = due.join(busy, "library_id", "left")
+    wanted = F.col("due")
+    if startup is not None:
+        state = state.join(startup.select("library_id").distinct().withColumn("_first", F.lit(True)), "library_id", "left")
+        first = F.coalesce("_first", F.lit(False))
+        state = state.withColumn("trigger", F.when(first, F.lit("startup")).when(F.col("due"), F.lit("interval")))
+        wanted = wanted | first
+    return state.withColumn(
         "decision",
-        F.when(~F.col("due"), F.lit("wait")).when(F.col("_busy"), F.lit("skip")).otherwise(F.lit("run")),
-    ).drop("_busy")
+        F.when(~wanted, F.lit("wait")).when(F.col("_busy"), F.lit("skip")).otherwise(F.lit("run")),
+    ).drop("_busy", "_first")

@@ -41,7 +41,7 @@ _ESCAPED = """replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'),
 _CHAPTERS_SQL = f"""
     SELECT novel_id, chapter_index, url, attempted, attempted AND bad AS failed,
       CASE WHEN attempted AND NOT bad THEN 'Read ' || title ELSE title END AS title,
-      CASE WHEN attempted AND bad THEN '<p><em>[chapterloom] This chapter could not be fetched. Source: <a href="' || url || '">' || url || '</a></em></p>'
+      CASE WHEN attempted AND bad THEN '<p><em>[chapterloom] No text was found for this chapter; it should be at <a href="' || url || '">' || url || '</a></em></p>'
            WHEN attempted THEN '<p>' || {_ESCAPED} || '</p>' END AS html,
       CASE WHEN attempted AND bad THEN '#' || chapter_index || ' ' || title || ': No chapter content' END AS warning
     FROM (SELECT *, length(text) % 7 = 0 AS bad, (novel_id + chapter_index) % 9 <> 8 AS attempted FROM ({CONVERSATIONS}))
@@ -64,7 +64,7 @@ def completed_prefix(spark, d):
 
 
 @query(f"""SELECT a.novel_id, coalesce(k, 0) AS delivered, n AS selected,
-                  CASE WHEN k > 0 AND k < n THEN 'Stopped after ' || k || ' of ' || n || ' chapters' END AS warning,
+                  CASE WHEN k > 0 AND k < n THEN k || ' of ' || n || ' chapters, then stopped' END AS warning,
                   CASE WHEN k IS NULL THEN 'stopped_empty' END AS detail
            FROM (SELECT novel_id, count(*) AS n FROM ({_CHAPTERS_SQL}) GROUP BY novel_id) a
            LEFT JOIN (SELECT novel_id, count(*) AS k FROM ({_PREFIX_SQL}) GROUP BY novel_id) b ON a.novel_id = b.novel_id""")

@@ -219,7 +219,7 @@ def select_explicit(spark, d):
     return _selection(spark, d).select("request_id", "chapter_index", "title", "url")
 
 
-@query(f"""SELECT request_id, chapter_index, CASE WHEN n > 6 THEN 'Limited to 6 chapters (out of ' || n || ' selected)' END AS warning
+@query(f"""SELECT request_id, chapter_index, CASE WHEN n > 6 THEN '6 of ' || n || ' selected chapters kept' END AS warning
            FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n, row_number() OVER (PARTITION BY request_id ORDER BY chapter_index) AS rn
                  FROM ({_SELECT_SQL})) WHERE rn <= 6""")
 def cap_chapters(spark, d):

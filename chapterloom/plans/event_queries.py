@@ -237,6 +237,31 @@ def run_decision(spark, d):
     return S.decisions(S.due_libraries(settings, runs, now), active).select("library_id", "decision")
 
 
+_STARTS = f"SELECT n_nationkey AS k, {RUN_NOW} - n_nationkey * 5000000::BIGINT AS start FROM nation"
+
+
+@query(f"""WITH first AS (SELECT s.library_id FROM ({_SETTINGS}) s JOIN ({_STARTS}) n ON s.library_id % 25 = n.k
+                          LEFT JOIN (SELECT library_id, max(us) AS made FROM ({_RUNS}) WHERE status <> 'skipped' AND seq % 3 = 0 GROUP BY library_id) r
+                            ON r.library_id = s.library_id
+                          WHERE hours % 2 = 0 AND start + 30000000 <= {RUN_NOW} AND (made IS NULL OR made < start)),
+                d AS (SELECT n.library_id, coalesce(next_run <= {RUN_NOW}, false) AS due, f.library_id IS NOT NULL AS early,
+                             n.library_id IN (SELECT CAST(job_id AS BIGINT) FROM ({_STATES}) WHERE finished_us IS NULL) AS busy
+                      FROM ({_NEXT}) n LEFT JOIN first f ON n.library_id = f.library_id)
+           SELECT library_id, CASE WHEN early THEN 'startup' WHEN due THEN 'interval' END AS trigger,
+                  CASE WHEN NOT (due OR early) THEN 'wait' WHEN busy THEN 'skip' ELSE 'run' END AS decision FROM d""")
+def startup_decision(spark, d):
+    """Libraries of a nation were started together; every third run was made after a start."""
+    settings, runs, now = _due(spark, d)
+    checked = settings.withColumn("check_on_startup", F.col("interval_hours") % 2 == 0)
+    begun = table(spark, d, "nation").select("n_nationkey", F.timestamp_micros(F.lit(RUN_NOW) - F.col("n_nationkey") * 5_000_000).alias("started_at"))
+    starts = settings.select("library_id", (F.col("library_id") % 25).alias("n_nationkey")).join(begun, "n_nationkey")
+    told = runs.withColumns({"trigger": F.when(F.col("seq") % 3 == 0, "startup").otherwise("interval"), "started_at": F.col("finished_at")})
+    states = E.job_states(_live(spark, d))
+    active = states.filter("finished_at is null").select(F.col("job_id").cast("long").alias("library_id"))
+    first = S.startup_checks(checked, starts, told, now)
+    return S.decisions(S.due_libraries(settings, runs, now), active, first).select("library_id", "trigger", "decision")
+
+
 @query(f"SELECT job_id, seq, type, 1 AS times FROM ({_LIVE})")
 def stream_dedup(spark, d):
     """A log in which every third event is written again, followed as a stream: each is delivered once."""

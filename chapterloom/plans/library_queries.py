@@ -7,6 +7,7 @@ the orders before a cut-off date, so later ones are new chapters.
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import nodes as N
 from ..functions.urls import entry_id
 from ..operators import imports as I, library as L
+from ..operators.ordering import with_ordinal
 from ..session import checkpointed, shared_dir
 from ..sources import exports as X, snapshots as S
 from ..sources.pages import table
@@ -299,14 +301,42 @@ def runs_load(spark, d):
 
 @query(f"SELECT id, title, chapter_count FROM ({_LIB})")
 def library_save(spark, d):
-    import uuid
-
     library = _library(spark, d).select("id", "title", "chapter_count")
     store = S.Snapshots(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}")
     store.write(library)
     return store.read(library.schema)
 
 
+@query("""SELECT c_nationkey AS library_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position, 'c-' || c_custkey AS id,
+                 c_name AS title, CASE WHEN c_custkey % 3 > 0 THEN 'pl' ELSE 'en' END AS language, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS file_path,
+                 c_custkey % 50 AS chapter_count FROM customer""")
+def library_documents(spark, d):
+    """Libraries written as versioned JSON files, an entry in three without a language, and read back from the folder."""
+    customers = table(spark, d, "customer")
+    key = F.col("c_custkey")
+    row = {
+        "id": F.concat(F.lit("c-"), key.cast("string")), "source_url": F.lit("https://a.example.org/x?\"y\""), "parser": F.lit("p"), "title": F.col("c_name"),
+        "author": F.lit("A"), "language": F.when(key % 3 > 0, F.lit("pl")), "cover_url": F.lit(None).cast("string"),
+        "file_path": F.when(key % 2 == 0, F.col("c_mktsegment")), "chapter_count": (key % 50).cast("int"), "last_chapter_url": F.lit(None).cast("string"),
+        "created_at": F.lit("2025-01-01T00:00:00Z"), "updated_at": F.lit("2025-01-01T00:00:00Z"),
+    }
+    listed = with_ordinal(customers, ["c_nationkey"], ["c_custkey"], "_n").select(
+        F.col("c_nationkey").alias("library_id"), (F.col("_n") - 1).alias("position"), *[c.alias(n) for n, c in row.items()]
+    )
+    folder = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    documents = S.library_documents(listed, ["library_id"])
+    # The text writer ends each file with a line feed, which JSON allows.
+    documents.select("library_id", "part", F.col("content").alias("value")).write.partitionBy("library_id", "part").text(folder)
+    stored = S.read_documents(spark, f"{folder}/library_id=*/part=*/*.txt")
+    number = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("long")
+    keyed = stored.select(number("library_id").alias("library_id"), number("part").alias("part"), "content")
+    back = S.library_entries(keyed, ["library_id", "part"], F.col("content"))
+    return back.select(
+        "library_id", (F.col("part") * S.DOCUMENT_ENTRIES + F.col("position")).alias("position"), "id", "title", "language", "file_path",
+        F.col("chapter_count").cast("long").alias("chapter_count"),
+    )
+
+
 def _raw_rows(spark, d):
     """Export rows from nav links: one export per page, a novel per link.
 

@@ -47,6 +47,7 @@ class Crawl:
     catalog: DataFrame  # novel_id, site, chapter_index, title, url
     failures: DataFrame  # novel_id, detail
     truncated: DataFrame  # novel_id, pages, warning: lists of which ``max_pages`` left out pages
+    entries: DataFrame  # novel_id, site, page, pos, title, url: the list pages' rows before they are merged
 
 
 def _entries(site: Site) -> Column:
@@ -133,7 +134,7 @@ def crawl(
     )
     announced = front.filter("size(entries) > 0").select("novel_id", F.col("list_pages").alias("pages"))
     truncated = K.unread_pages(announced if max_pages is not None else announced.limit(0), max_pages or 0)
-    return Crawl(front.select("novel_id", "site", "meta.*"), catalog, failures, truncated)
+    return Crawl(front.select("novel_id", "site", "meta.*"), catalog, failures, truncated, rows)
 
 
 def chapter_bodies(pages: DataFrame, chapters: DataFrame, sites: Sequence[Site] = SITES) -> DataFrame:
@@ -147,7 +148,7 @@ def chapter_bodies(pages: DataFrame, chapters: DataFrame, sites: Sequence[Site]
     """
     wanted = chapters.groupBy("url").agg(F.min("site").alias("site"))
     found = wanted.join(pages.select("url", "html"), "url")
-    read = with_nodes(found)
+    read = with_nodes(found, parsed="parsed")
     nodes = F.col("nodes")
 
     def ad(node: Column) -> Column:
@@ -167,12 +168,44 @@ def chapter_bodies(pages: DataFrame, chapters: DataFrame, sites: Sequence[Site]
     reason = (
         F.when(F.col("status") == "no_content", F.concat(F.lit("No chapter content at "), "url"))
         .when(F.col("status") == "empty_after_cleaning", F.concat(F.lit("Chapter "), "url", F.lit(" is empty after cleaning")))
+        .when(F.col("status") == "parse_error", F.concat(F.lit("Unreadable page "), "url"))
         .when(F.col("status") == "not_fetched", F.concat(F.lit("Could not fetch "), "url"))
     )
     all_urls = wanted.select("url").join(clean, "url", "left")
     return all_urls.withColumn("status", F.coalesce("status", F.lit("not_fetched"))).withColumn("reason", reason)
 
 
+@dataclass
+class Preview:
+    """What requests for a novel would find, before any chapter is read; keyed by ``request_id``."""
+
+    metadata: DataFrame  # request_id, site, title, ..., part, chapters, max_chapters
+    found: DataFrame  # request_id, page, size, found: chapters known after each list page
+    rejected: DataFrame  # request_id, detail
+
+
+def preview(pages: DataFrame, requests: DataFrame, sites: Sequence[Site] = SITES, cap: int = 0) -> Preview:
+    """Requests (request_id, url) to metadata and catalogs, a novel read once however many ask for it."""
+    valid, invalid = R.split_valid(requests)
+    routed = checkpointed(route_novels(valid, sites).select("request_id", "novel_id", "source_url", "site"))
+    supported = routed.filter("site is not null")
+    novels = supported.groupBy("novel_id").agg(F.min("source_url").alias("source_url"), F.min("site").alias("site"))
+    told = crawl(pages, novels, sites)
+    asked = supported.select("request_id", "novel_id")
+    shown = K.preview(told.metadata, told.catalog.drop("site"), cap)
+    failed = asked.join(told.failures, "novel_id").select("request_id", "detail")
+    rejected = (
+        invalid.select("request_id", "detail")
+        .unionByName(routed.filter("site is null").select("request_id", F.lit("unsupported_site").alias("detail")))
+        .unionByName(failed)
+    )
+    return Preview(
+        asked.join(shown, "novel_id").drop("novel_id"),
+        asked.join(K.found_running(told.entries), "novel_id").drop("novel_id"),
+        rejected,
+    )
+
+
 @dataclass
 class Conversion:
     """Books made from requests; every table is keyed by ``request_id``."""

@@ -99,14 +99,19 @@ class _Nodes(HTMLParser):
 _ODD_DECLARATION = re.compile(r"<!\[(?!CDATA\[)([^>]*)>?")
 
 
-def parse_nodes(html: str | None) -> list[list]:
-    """Nodes of one page. Whatever a page holds, it never fails: what cannot be parsed has no nodes."""
+def try_parse(html: str | None) -> list[list] | None:
+    """Nodes of one page; None if it cannot be parsed."""
     try:
         parser = _Nodes()
         parser.feed(_ODD_DECLARATION.sub(r"<!--\1-->", html or ""))
         return parser.finish()
     except (AssertionError, ValueError, RecursionError):
-        return []
+        return None
+
+
+def parse_nodes(html: str | None) -> list[list]:
+    """Nodes of one page. Whatever a page holds, it never fails: what cannot be parsed has no nodes."""
+    return try_parse(html) or []
 
 
 def _node_array(pages: list[list[list]]) -> pa.Array:
@@ -128,15 +133,19 @@ def _node_array(pages: list[list[list]]) -> pa.Array:
 _ROWS = 64
 
 
-def with_nodes(df: DataFrame, html: str = "html", drop_html: bool = True) -> DataFrame:
+def with_nodes(df: DataFrame, html: str = "html", drop_html: bool = True, parsed: str | None = None) -> DataFrame:
     """Append ``nodes`` to each row; the page text itself is dropped by default.
 
+    A page that cannot be parsed has no nodes; a column named ``parsed``, if
+    asked for, tells it from an empty one.
+
     Works partition by partition, without a shuffle. Input columns that are
     not needed downstream should be pruned before, since they pass through
     the worker.
     """
     kept = [f for f in df.schema.fields if not (drop_html and f.name == html)]
-    schema = T.StructType([*kept, T.StructField("nodes", T.ArrayType(NODE_TYPE))])
+    told = [T.StructField(parsed, T.BooleanType())] if parsed else []
+    schema = T.StructType([*kept, T.StructField("nodes", T.ArrayType(NODE_TYPE)), *told])
     names = [f.name for f in kept]
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +153,11 @@ def with_nodes(df: DataFrame, html: str = "html", drop_html: bool = True) -> Dat
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
                 texts = part.column(part.schema.get_field_index(html)).to_pylist()
-                nodes = _node_array([parse_nodes(text) for text in texts])
+                pages = [try_parse(text) for text in texts]
+                made = [_node_array([page or [] for page in pages])]
+                if parsed:
+                    made.append(pa.array([page is not None for page in pages], pa.bool_()))
                 carried = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*carried, nodes], [*names, "nodes"])
+                yield pa.RecordBatch.from_arrays([*carried, *made], schema.names)
 
     return df.mapInArrow(tokenise, schema)

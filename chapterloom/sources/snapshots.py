@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -25,13 +26,9 @@ RUN_TYPE = T.StructType(
         for name in "started_at finished_at trigger status checked updated failed".split()
     ]
 )
-SETTINGS_TYPE = T.StructType(
-    [
-        T.StructField("auto_update_enabled", T.BooleanType()),
-        T.StructField("auto_update_interval_hours", T.IntegerType()),
-        T.StructField("check_on_startup", T.BooleanType()),
-    ]
-)
+# What counts as a truth value in a stored setting.
+YES = ("true", "1", "yes", "y", "on", "t")
+NO = ("false", "0", "no", "n", "off", "f")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -91,20 +88,39 @@ def library_documents(library: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, "part", document.alias("content"))
 
 
+def _whole(text: Column) -> Column:
+    """A whole number, also if it is stored as text or with a fraction of zero; null for anything else."""
+    number = F.trim(text).try_cast("decimal(20,6)")
+    return F.when(number == F.floor(number), number.cast("int"))
+
+
+def _truth(text: Column) -> Column:
+    low = F.lower(F.trim(text))
+    return F.when(low.isin(*YES), F.lit(True)).when(low.isin(*NO), F.lit(False))
+
+
 def settings_rows(documents: DataFrame, keys: list[str], content: Column) -> DataFrame:
-    """One settings row per document; anything invalid falls back to all defaults."""
-    s = F.from_json(F.get_json_object(content, "$.settings"), SETTINGS_TYPE)
-    hours = F.coalesce(s["auto_update_interval_hours"], F.lit(24))
+    """One settings row per document; anything invalid falls back to all defaults.
+
+    Values are taken as they are meant: 24, 24.0 and "24" are the same interval, true, 1 and "yes" the same switch.
+    """
     raw = F.from_json(F.get_json_object(content, "$.settings"), "map<string,string>")
-    unreadable = F.lit(False)
-    for f in SETTINGS_TYPE:
-        unreadable |= F.coalesce(F.map_contains_key(raw, F.lit(f.name)), F.lit(False)) & s[f.name].isNull()
-    bad = s.isNull() | unreadable | (hours < 1)
+
+    def setting(name: str, read: Callable[[Column], Column]) -> tuple[Column, Column]:
+        """The value, and whether one is there that cannot be read."""
+        value = read(raw[name])
+        return value, F.coalesce(F.map_contains_key(raw, F.lit(name)), F.lit(False)) & value.isNull()
+
+    enabled, odd_enabled = setting("auto_update_enabled", _truth)
+    interval, odd_interval = setting("auto_update_interval_hours", _whole)
+    startup, odd_startup = setting("check_on_startup", _truth)
+    hours = F.coalesce(interval, F.lit(24))
+    bad = raw.isNull() | odd_enabled | odd_interval | odd_startup | (hours < 1)
     return documents.select(
         *keys,
-        F.when(bad, F.lit(False)).otherwise(F.coalesce(s["auto_update_enabled"], F.lit(False))).alias("enabled"),
+        F.when(bad, F.lit(False)).otherwise(F.coalesce(enabled, F.lit(False))).alias("enabled"),
         F.when(bad, F.lit(24)).otherwise(hours).alias("interval_hours"),
-        F.when(bad, F.lit(False)).otherwise(F.coalesce(s["check_on_startup"], F.lit(False))).alias("check_on_startup"),
+        F.when(bad, F.lit(False)).otherwise(F.coalesce(startup, F.lit(False))).alias("check_on_startup"),
     )
 
 

@@ -139,7 +139,7 @@ def test_selection(spark):
     assert [r.request_id for r in K.empty_selections(req, sel).collect()] == ["none"]
     assert K.cap_chapters(sel, 0).count() == sel.count()
     assert {r.request_id: r.warning for r in K.cap_warnings(sel, 4).collect()} == {
-        "zero": "Limited to 4 chapters (out of 10 selected)"}
+        "zero": "4 of 10 selected chapters kept"}
 
 
 def test_preview_parts(spark):

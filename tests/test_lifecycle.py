@@ -58,7 +58,7 @@ def test_convert(spark, tmp_path):
     assert [(c.chapter_index, c.failed) for c in chapters[2]] == [(1, False), (2, True), (3, True)]
     assert [c.chapter_index for c in chapters[8]] == [2, 84]
     assert sorted((r.request_id, r.warning) for r in done.warnings.collect()) == [
-        (1, "Limited to 20 chapters (out of 47 selected)"),
+        (1, "20 of 47 selected chapters kept"),
         (2, f"#2 A2: No chapter content at {ROOT_A}/chapter/2"),
         (2, f"#3 A3: Could not fetch {ROOT_A}/chapter/3"),
     ]
