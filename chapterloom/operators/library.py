@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import entry_id
 
@@ -134,26 +134,31 @@ def update_all(
     ``update_warnings`` has the warnings of ``detail`` as rows.
     """
     entries = library.filter("has_file")
-    tries = _attempts(entries, catalog, outcomes)
-    ends = tries.groupBy("id").agg(
-        F.count("*").alias("_new"),
-        F.min(F.when(~F.col("attempted"), F.col("chapter_index"))).alias("_stop"),
-    )
-    # Without outcomes nothing stopped, and the new chapters are the added ones.
-    added = tries if outcomes is None else tries.join(ends, "id").filter(
-        F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop"))
-    )
-    totals = added.groupBy("id").agg(
-        F.count("*").alias("_added"),
-        F.max("chapter_index").alias("_last"),
-        F.max_by("url", "chapter_index").alias("_last_url"),
-    )
-    shifted = shifted_lists(entries, catalog).select("id", F.lit(True).alias("_shifted"))
-    state = (
-        library.join(ends.drop("_stop"), "id", "left")
-        .join(totals, "id", "left")
-        .join(shifted, "id", "left")
+    expected = F.when((F.coalesce("last_chapter_url", F.lit("")) != "") & (F.col("chapter_count") > 0), F.col("last_chapter_url"))
+    known = entries.select("id", F.col("chapter_count").alias("_count"), expected.alias("_expected"))
+    # The catalog from each entry's last chapter on, that one included: it tells whether the list has shifted.
+    tail = catalog.select("id", "chapter_index", "title", "url").join(known, "id").filter(F.col("chapter_index") >= F.col("_count"))
+    new = F.col("chapter_index") > F.col("_count")
+    shifted = F.coalesce(F.bool_or(~new & (F.col("url") != F.col("_expected"))), F.lit(False)).alias("_shifted")
+    if outcomes is None:
+        # Nothing stopped, and the new chapters are the added ones.
+        tail = tail.withColumns({"failed": F.lit(False), "reason": F.lit(None).cast("string"), "_added": new})
+    else:
+        o = outcomes.select("id", "chapter_index", "failed", "reason", F.lit(True).alias("_attempted"))
+        tail = tail.join(o, ["id", "chapter_index"], "left")
+        stops = tail.groupBy("id").agg(F.min(F.when(new & F.col("_attempted").isNull(), F.col("chapter_index"))).alias("_stop"))
+        tail = tail.join(stops, "id").withColumn("_added", new & (F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop"))))
+    added = F.col("_added")
+    text = F.when(added & F.coalesce("failed", F.lit(False)), F.struct("chapter_index", _warning().alias("warning")))
+    found = tail.groupBy("id").agg(
+        F.count_if(new).alias("_new"),
+        F.count_if(added).alias("_added"),
+        F.max(F.when(added, F.col("chapter_index"))).alias("_last"),
+        F.max_by("url", F.when(added, F.col("chapter_index"))).alias("_last_url"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["warning"]), "; ").alias("_notes"),
+        shifted,
     )
+    state = library.join(found, "id", "left")
     if errors is None:
         state = state.withColumn("_error", F.lit(None).cast("string"))
     else:
@@ -169,19 +174,14 @@ def update_all(
     changed = F.col("status").isin("stopped", "updated") & (n_added > 0)
     state = state.withColumn("status", status).withColumn("_changed", changed)
 
-    warned = _warnings(added).groupBy("id").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("chapter_index", "warning"))), lambda x: x["warning"]), "; "
-        ).alias("_warned")
-    )
     shift = F.when(F.col("_shifted"), F.lit("chapter_list_shifted"))
-    joined = F.nullif(F.concat_ws("; ", shift, "_warned"), F.lit(""))
+    joined = F.nullif(F.concat_ws("; ", shift, F.nullif("_notes", F.lit(""))), F.lit(""))
     detail = (
         F.when(F.col("status") == "no_file", F.lit("no_epub_on_disk"))
         .when(F.col("status") == "error", F.col("_error"))
         .when(F.col("_changed"), joined)
     )
-    return state.join(warned, "id", "left").select(
+    return state.select(
         "id",
         "title",
         "status",
@@ -192,10 +192,8 @@ def update_all(
     )
 
 
-def _warnings(added: DataFrame) -> DataFrame:
-    """(id, chapter_index, warning) of failed chapters among the added ones."""
-    text = F.concat(F.lit("#"), F.col("chapter_index").cast("string"), F.lit(" "), F.col("title"), F.lit(": "), F.col("reason"))
-    return added.filter("failed").select("id", "chapter_index", text.alias("warning"))
+def _warning() -> Column:
+    return F.concat(F.lit("#"), F.col("chapter_index").cast("string"), F.lit(" "), F.col("title"), F.lit(": "), F.col("reason"))
 
 
 def update_warnings(library: DataFrame, catalog: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -203,7 +201,7 @@ def update_warnings(library: DataFrame, catalog: DataFrame, outcomes: DataFrame)
     tries = _attempts(library.filter("has_file"), catalog, outcomes)
     stops = tries.filter("NOT attempted").groupBy("id").agg(F.min("chapter_index").alias("_stop"))
     added = tries.join(stops, "id", "left").filter(F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop")))
-    return _warnings(added)
+    return added.filter("failed").select("id", "chapter_index", _warning().alias("warning"))
 
 
 def with_rewrites(results: DataFrame, rewritten: DataFrame, library: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.nodes import el, path
-from ..operators.ordering import DAY_US, with_ordinal
+from ..operators.ordering import MINUTE_US, with_ordinal
 from ..sources.html_nodes import with_nodes
 from ..sources.pages import spread, table
 
@@ -37,7 +37,7 @@ def order_catalog(spark: SparkSession, d: str) -> DataFrame:
         "o_orderkey",
         "o_orderpriority",
     )
-    numbered = with_ordinal(orders, ["novel_id"], ["ordered_us", "o_orderkey"], "chapter_index", DAY_US)
+    numbered = with_ordinal(orders, ["novel_id"], ["ordered_us", "o_orderkey"], "chapter_index", MINUTE_US)
     key = F.col("o_orderkey").cast("string")
     return numbered.select(
         "novel_id",
@@ -97,7 +97,7 @@ def job_events(spark: SparkSession, d: str) -> DataFrame:
         (kind == "error").alias("failed"),
         F.floor("value").cast("long").alias("amount"),
     )
-    numbered = with_ordinal(e, ["job_id"], ["us", "event_id"], "seq", DAY_US)
+    numbered = with_ordinal(e, ["job_id"], ["us", "event_id"], "seq", MINUTE_US)
     state = F.when(F.col("type") == "status", F.when(F.col("amount") % 3 == 0, "paused").otherwise("running"))
     return numbered.select(
         "job_id", "seq", "event_id", "us",

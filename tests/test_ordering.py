@@ -39,6 +39,10 @@ def test_previous(spark):
     sliced = O.with_previous(df, ["k"], ["t", "id"], {"before": "v"}, span=7).select(cols).collect()
     assert sorted(map(str, plain)) == sorted(map(str, sliced))
     assert sum(r.before is None for r in sliced) == 42
+    # A null value of the row before stays one, also over slices.
+    odd = df.withColumn("v", F.when(F.col("id") % 3 > 0, F.col("v")))
+    got = [{r.id: r.before for r in O.with_previous(odd, ["k"], ["t", "id"], {"before": "v"}, span=s).collect()} for s in (None, 7, 1000)]
+    assert got[0] == got[1] == got[2]
 
 
 def test_building_a_window_starts_no_job_and_totals_are_combined_first(spark):
@@ -67,3 +71,24 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert top.count() == 42 * 3
+
+
+def test_a_hot_key_with_one_first_value_is_split_over_tasks(spark):
+    n = 6 * O.SPAN
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.lit(1).alias("t"), "id")
+    rest = spark.range(2 * n).select(F.concat(F.lit("k"), (F.col("id") % 100).cast("string")).alias("k"), (F.col("id") % 7).cast("int").alias("t"), "id")
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as it stands in the plan, without a split at run time
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (O.with_ordinal(hot.union(rest), ["k"], ["t", "id"]), O.with_previous(hot.union(rest), ["k"], ["t", "id"], {"seq": "id"})):
+            sizes = out.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert len(sizes) > 1 and max(r["count"] for r in sizes) <= n / 2
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    seq = O.with_ordinal(hot.union(rest), ["k"], ["t", "id"])
+    assert seq.filter("k = 'hot' and seq <> id + 1").count() == 0
+    lag = O.with_previous(hot.union(rest), ["k"], ["t", "id"], {"b": "id"})
+    assert lag.filter("k = 'hot' and coalesce(b, -1) <> id - 1").count() == 0
+    assert lag.filter("b is null").count() == 101
