@@ -35,12 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon, textbytes as B
-from .frames import column, stored
+from .frames import column
+from .lexicon import stored
 
 #: Classes (the first is that of the end alone), words that are exchanged in rounds and how long they may be, rounds.
 CLASSES, HEADS, HEAD_BYTES, ROUNDS = 64, 16_384, 64, 12
 #: Bits for the number of a head beside how often it was met.
 HEAD_BITS = 20
+#: Heads whose neighbours are handled at once.
+ROWS = 256
 #: Candidate classes of a word whose exact gain is taken.
 TRIED = 4
 UNKNOWN = 255
@@ -102,7 +105,7 @@ def neighbours(sliced: DataFrame, heads: pa.Array) -> DataFrame:
     width = len(heads) + 1
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches):
             for i in range(batch.num_rows):
                 tokens = _of_words(_places(batch.column("words")[i].values, heads), 0, _training(batch, i))
                 before = np.concatenate([[0], tokens[:-1]])
@@ -156,7 +159,7 @@ def _seeded(table: DataFrame, heads: int) -> np.ndarray:
     """First classes: a word's commonest follower that is not itself, over the classes but the end's in turn."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches, ROWS):
             words = batch.column("w").to_numpy()
             row, other, n = _beside(batch, "right")
             best = np.zeros(len(words), np.int64)
@@ -174,7 +177,7 @@ def _seeded(table: DataFrame, heads: int) -> np.ndarray:
 def _pair_counts(table: DataFrame, classes: np.ndarray) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, CLASSES))
-        for batch in batches:
+        for batch in lexicon.each(batches, ROWS):
             words, left, right = _by_class(batch, classes)
             np.add.at(total, classes[words], right)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES**2)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
@@ -232,7 +235,7 @@ def exchanged(table: DataFrame, heads: int, rounds: int = ROUNDS) -> tuple[np.nd
         now, known = classes, pairs
 
         def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in lexicon.each(batches, ROWS):
                 words, left, right = _by_class(batch, now)
                 target, gain = gains(known, now[words], left, right)
                 pick = (gain > 0) & (words > 0)
@@ -262,7 +265,7 @@ def placed(sliced: DataFrame, heads: pa.Array, classes: np.ndarray, pairs: np.nd
     prior = _log(pairs.sum(0) + 1)[1:] * 1e-6
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches):
             for i in range(batch.num_rows):
                 words = batch.column("words")[i].values
                 of_word = _places(words, heads)
@@ -331,12 +334,12 @@ def _coded(sliced: DataFrame, words: DataFrame, id_type: str, facts: Facts) -> D
     ``words``: word, n, class, size (occurrences of the class).
     """
     found = lexicon.answered(
-        sliced, lexicon.asked(sliced).join(words, "word"),
+        sliced, lexicon.looked_up(sliced, words),
         F.collect_list(F.struct(lexicon.packed(F.col("place"), F.col("class")).alias("x"), "n", "size")).alias("found"),
     )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches):
             for i in range(batch.num_rows):
                 ids, sizes = lexicon.of_bytes(batch.column("ids"), i), lexicon.of_bytes(batch.column("sizes"), i)
                 width = int(ids.max()) + 1

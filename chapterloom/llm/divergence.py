@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from . import lexicon, textbytes as B
 from ..operators.ordering import top_k
-from .frames import column, stored
+from .frames import column
+from .lexicon import stored
 
 #: Shares are whole numbers of this many parts; each kept term has so many more occurrences than were seen.
 PARTS, PRIOR = 1_000_000_000, 5
-#: Sources to a tile, rows to a block of terms and tile, and terms that are compared at once.
-TILE, BLOCK_ROWS, STEP = 256, 100_000, 1024
+#: Sources to a tile, the least rows to a block of terms and tile, and terms that are compared at once.
+TILE, BLOCK_ROWS, STEP = 256, 20_000, 1024
+#: Bytes of text to a slice: the larger, the fewer chunks are looked up.
+SLICE = 16 << 20
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 _SLICED = (
@@ -53,7 +56,7 @@ def _sliced(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for rows, raw, offsets in lexicon.slices(batches, "text"):
+        for rows, raw, offsets in lexicon.slices(batches, "text", SLICE):
             words = lexicon.Words(raw, offsets, B.VISIBLE)
             width = max(1, len(words))
             key, count = np.unique(words.row.astype(np.int64) * width + words.numbers, return_counts=True)
@@ -96,13 +99,13 @@ def occurrences(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     candidates = lexicon.numbered(bounds.where(F.col("most") >= least).select("lang", "term"), "term-candidates")
     # A term that a chunk holds twice is listed twice.
     holds = split.select("lang", "word", F.explode("terms").alias("term")).join(candidates, ["lang", "term"])
-    asked = lexicon.asked(sliced, "lang").join(holds.select("lang", "word", "id"), ["lang", "word"])
+    asked = lexicon.looked_up(sliced, holds.select("lang", "word", "id"), "lang")
     found = lexicon.answered(
         sliced.drop("lang"), asked, F.collect_list(lexicon.packed(F.col("place"), F.col("id"))).alias("found")
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lexicon.each(batches, 8):
             lists = batch.column("found")
             for i in range(batch.num_rows):
                 if not lists[i].is_valid or not len(lists[i]):
@@ -185,40 +188,36 @@ def _summed(key: tuple, rows: pa.Table, size: int) -> pa.Table:
     return pa.table([pa.array([lang] * len(values[0]), pa.string()), *map(pa.array, values)], ["lang", "one", "two", "extra"])
 
 
-def _pairs(shares: DataFrame, groups: DataFrame, tile: int, block_rows: int) -> DataFrame:
+def _pairs(shares: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     """(lang, source, item, value): each source of a language with each other one.
 
     A block of terms comes with a marker for every source of its language, which holds the source's share of a count
     of 0. Blocks hold so many rows that sources, markers and partial sums stay fewer than rows.
     """
-    tiles = (F.col("group") / tile).cast("long")
-    rows = shares.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = groups.groupBy("lang").agg((F.max(tiles) + 1).alias("tiles")).join(rows, "lang", "left").select(
-        "lang", "tiles", F.ceil(F.coalesce("rows", F.lit(1)) / (block_rows * F.col("tiles"))).alias("blocks")
-    )
     columns = ["lang", "block", "tiles", "id", "group", "p", "base"]
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    real = shares.join(sizes, "lang").withColumn("block", block).select(columns)
-    markers = (
-        sizes.select("lang", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        .join(groups.select("lang", "group", "base"), "lang")
-        .withColumns({"id": F.lit(None).cast("long"), "p": F.lit(0).cast("long")}).select(columns)
-    )
+    real = shares.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select(columns)
+    markers = groups.withColumns(
+        {
+            "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "id": F.lit(None).cast("long"),
+            "p": F.lit(0).cast("long"),
+        }
+    ).select(columns)
+    tiles = F.floor(F.col("group") / tile)
     dealt = real.union(markers).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
-        "lang", "block", F.least(tiles, "other").alias("low"), F.greatest(tiles, "other").alias("high"), "id",
-        F.col("group").cast("long").alias("group"), "p", "base",
+        "lang", "block", F.least(tiles, "other").alias("low"), F.greatest(tiles, "other").alias("high"), "id", "group", "p", "base",
     )
 
     def summed(key: tuple, block: pa.Table) -> pa.Table:
         return _summed(key, block, tile)
 
     sums = (
-        dealt.groupBy("lang", "block", "low", "high").applyInArrow(summed, "lang string, one long, two long, extra long")
+        # Dealt out by all four: a language that earlier steps have together must not stay so.
+        dealt.repartition("lang", "block", "low", "high").groupBy("lang", "block", "low", "high").applyInArrow(summed, "lang string, one long, two long, extra long")
         .groupBy("lang", "one", "two").agg(F.sum("extra").alias("extra"))
     )
 
     def named(end: str, to: str) -> DataFrame:
-        return groups.select("lang", F.col("group").cast("long").alias(end), F.col("source").alias(to), F.col("base").alias(f"{to}_base"), "kept")
+        return groups.select("lang", F.col("group").alias(end), F.col("source").alias(to), F.col("base").alias(f"{to}_base"), "kept")
 
     both = sums.join(named("one", "source"), ["lang", "one"]).join(named("two", "item").drop("kept"), ["lang", "two"]).select(
         "lang", "source", "item", (F.col("extra") + F.col("kept") * F.abs(F.col("source_base") - F.col("item_base"))).alias("value")
@@ -237,20 +236,29 @@ def divergence(docs: DataFrame, least: int = 30, best: int = 50, tile: int = TIL
     sources = stored(_narrow(docs).select("lang", "source").distinct(), "groups")
     by_term = counts.join(terms.select("lang", "term", "id"), "id")
     in_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("lang_total"))
-    in_group = by_term.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    in_group = by_term.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
+    of_lang = Window.partitionBy("lang")
+    rows = F.sum("terms").over(of_lang)
+    several = F.count(F.lit(1)).over(of_lang)
+    tiles = F.floor((several - 1) / tile) + 1
+    # As many rows to a block as it has partial sums, or more.
+    least_rows = F.greatest(F.lit(block_rows), F.least(several, F.lit(tile)) * F.least(several, F.lit(tile)))
+    # A row a group: a language has as many as it has sources.
     groups = stored(
-        sources.join(in_lang, "lang", "left").join(in_group, ["lang", "source"], "left").fillna(0, ["kept", "lang_total", "total"])
-        .withColumn("group", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+        sources.join(in_lang, "lang", "left").join(in_group, ["lang", "source"], "left").fillna(0, ["kept", "lang_total", "total", "terms"])
+        .withColumn("group", F.row_number().over(of_lang.orderBy("source")).cast("long") - 1)
+        .withColumn("tiles", tiles)
+        .withColumn("blocks", F.greatest(F.ceil(rows / (least_rows * F.col("tiles"))), F.lit(1)))
         .withColumn("base", F.when(F.col("kept") > 0, _share("0", "total", "kept")).otherwise(0)), "group-totals",
     )
     shares = stored(
         counts.join(terms.select("lang", "term", "id", F.col("n").alias("lang_n")), "id").join(groups, ["lang", "source"])
         .withColumns({"p": _share("n", "total", "kept"), "q": _share("lang_n", "lang_total", "kept")})
-        .select("lang", "source", "term", "id", "group", "p", "q", "base"), "term-shares",
+        .select("lang", "source", "term", "id", "group", "tiles", "blocks", "p", "q", "base"), "term-shares",
     )
     over = shares.where((F.col("p") > F.col("q"))).select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     ranked = top_k(over, ["lang", "source"], [F.col("value").desc(), F.col("item").asc()], best).withColumn("part", F.lit("term"))
-    pairs = _pairs(shares, groups, tile, block_rows)
+    pairs = _pairs(shares, groups, tile)
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
     ordered = pairs.withColumns({"rank": F.row_number().over(order), "part": F.lit("pair")})
     columns = ["lang", "source", "part", "item", "value", "rank"]

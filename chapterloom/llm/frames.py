@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,23 @@ def ready(spark: SparkSession) -> SparkSession:
     return prepare(spark)
 
 
+@contextmanager
+def session_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for the jobs that run inside; the session's own come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+#: Shuffle files of a job go when it ends, for jobs whose result is a written table: nothing reads them afterwards.
+SWEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def shared_path(df: DataFrame, name: str) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``."""
     return f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

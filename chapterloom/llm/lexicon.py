@@ -10,15 +10,14 @@ with the corpus is broadcast, and texts are cut into words once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .frames import shared_path
+from .frames import SWEPT, session_settings, shared_path
 
 #: Bytes of text to a slice; a longer document is a slice of its own.
 SLICE = 8 << 20
@@ -94,22 +93,14 @@ def of_bytes(column: pa.Array, row: int, kind: str = "<i4") -> np.ndarray:
     return np.frombuffer(column[row].as_buffer() if column[row].is_valid else b"", kind)
 
 
-@contextmanager
-def _swept(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job started inside go when it ends: nothing reads them once its table is written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Lists are gathered by hash, not by sorting, for so many slices to a task.
+_SETTINGS = SWEPT | {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000"}
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again; its shuffle files are removed."""
     path = shared_path(df, name)
-    with _swept(df.sparkSession):
+    with session_settings(df.sparkSession, _SETTINGS):
         df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -129,9 +120,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return kept.join(F.broadcast(before), "__part").select(*df.columns, number.alias("id"))
 
 
-def asked(sliced: DataFrame, *beside: str) -> DataFrame:
-    """(slice, beside, place, word): each distinct word of each slice."""
-    return sliced.select("slice", *beside, F.posexplode("words").alias("place", "word"))
+def looked_up(sliced: DataFrame, known: DataFrame, *beside: str) -> DataFrame:
+    """(slice, place, ...): what ``known`` (word, beside, ...) has for each distinct word of each slice.
+
+    The slices' words are not sorted for that: a partition of ``known``, which has each word once or a few times, is hashed.
+    """
+    asked = sliced.select("slice", *beside, F.posexplode("words").alias("place", "word"))
+    return asked.join(known.hint("shuffle_hash"), [*beside, "word"])
 
 
 def packed(place: Column, known: Column) -> Column:
@@ -144,6 +139,9 @@ def unpacked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answered(sliced: DataFrame, answers: DataFrame, *columns: Column) -> DataFrame:
-    """Slices without their word lists, with what was found for them: lists of ``columns`` of ``answers`` (slice, ...)."""
-    found = answers.groupBy("slice").agg(*columns)
+    """Slices without their word lists, with what was found for them: lists of ``columns`` of ``answers`` (slice, ...).
+
+    The lists are stored first, so that the shuffles that made them are gone before the slices are shuffled.
+    """
+    found = stored_slices(answers.groupBy("slice").agg(*columns), "answers")
     return sliced.drop("words", "n").join(found, "slice", "left")

@@ -34,6 +34,7 @@ from .frames import column
 from .lexicon import stored
 
 LONGEST = 3
+SHARES = 32
 #: Bytes of text to a slice: the larger, the fewer words are looked up.
 SLICE = 16 << 20
 #: Bytes that end a piece, and those that part words within one.
@@ -98,7 +99,7 @@ def _counted(codes: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.n
 
 def windows(sliced: DataFrame, words: DataFrame) -> DataFrame:
     """(w1, w2, w3, n): windows by the numbers of their words, 0 for padding, counted a slice."""
-    asked = lexicon.asked(sliced, "lang").join(words.select("lang", "word", "id"), ["lang", "word"])
+    asked = lexicon.looked_up(sliced, words.select("lang", "word", "id"), "lang")
     found = lexicon.answered(
         sliced.drop("lang"), asked, F.collect_list(lexicon.packed(F.col("place"), F.col("id"))).alias("found")
     )
@@ -199,7 +200,10 @@ def collocations(docs: DataFrame, least: int = 10, best: int = 2000, within: int
             F.least("one", "two").alias("score"),
         )
     )
-    ranked = top_k(two.union(three), ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], best)
+    # The best of each share of a language first: one task then ranks no more than so many times ``best``.
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
+    shared = two.union(three).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    ranked = top_k(top_k(shared, ["lang", "share"], order, best).drop("rank", "share"), ["lang"], order, best)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score")
     )
