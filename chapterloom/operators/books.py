@@ -57,18 +57,16 @@ def completed_prefix(chapters: DataFrame, key: str = "novel_id") -> DataFrame:
 
 def stop_warnings(chapters: DataFrame, key: str = "novel_id") -> DataFrame:
     """Per key: delivered and selected counts, and a warning or an error after an early stop."""
-    ends = chapters.groupBy(key).agg(
-        F.min(F.when(~F.col("attempted"), F.col("chapter_index"))).alias("_stop"),
-        F.count("*").alias("selected"),
-    )
-    done = completed_prefix(chapters, key).groupBy(key).agg(F.count("*").alias("_done"))
-    k = F.coalesce("_done", F.lit(0))
-    return ends.join(done, key, "left").select(
+    rows = chapters.select(key, "chapter_index", "attempted")
+    ends = rows.groupBy(key).agg(F.min(F.when(~F.col("attempted"), F.col("chapter_index"))).alias("_stop"))
+    before = F.col("_stop").isNull() | (F.col("chapter_index") < F.col("_stop"))
+    counted = rows.join(ends, key).groupBy(key).agg(F.count_if(before).alias("delivered"), F.count("*").alias("selected"))
+    k, n = F.col("delivered"), F.col("selected")
+    return counted.select(
         key,
-        k.alias("delivered"),
+        "delivered",
         "selected",
-        F.when((k > 0) & (k < F.col("selected")), F.format_string("%d of %d chapters, then stopped", k, F.col("selected")))
-        .alias("warning"),
+        F.when((k > 0) & (k < n), F.format_string("%d of %d chapters, then stopped", k, n)).alias("warning"),
         F.when(k == 0, F.lit("stopped_empty")).alias("detail"),
     )
 
@@ -157,6 +155,11 @@ def with_volume(chapters: DataFrame, per_volume: int | None = None) -> DataFrame
     return placed.withColumn("volume", F.floor((F.col("position") - 1) / per_volume).cast("int"))
 
 
+def in_one_volume(chapters: DataFrame) -> DataFrame:
+    """Chapters in catalog order, for ``pack_books(..., numbered=False)``: one volume, and nothing is shuffled for numbers."""
+    return chapters.withColumn("position", F.col("chapter_index").cast("long")).withColumn("volume", F.lit(0))
+
+
 def append_names(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
     """``fresh`` with the ``spine`` and ``file_name`` of each chapter behind the existing documents."""
     number = F.regexp_extract("file_name", CHAPTER_NUMBER, 1)

@@ -158,7 +158,7 @@ def _archives(spark, d):
     )
     page = B.title_page(F.col("title"), F.col("author"), F.col("description"), F.col("source_url"))
     heads = meta.withColumn("title_page", page).join(record, "novel_id")
-    return A.pack_books(heads, B.with_volume(B.completed_prefix(_chapters(spark, d))))
+    return A.pack_books(heads, B.in_one_volume(B.completed_prefix(_chapters(spark, d))), numbered=False)
 
 
 @query(f"""SELECT novel_id, 0 AS volume, count(*) AS chapter_count, true AS is_zip, 'talk-' || novel_id || '.epub' AS file_name

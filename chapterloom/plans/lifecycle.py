@@ -72,14 +72,9 @@ def _list_pages(site: Site) -> Column:
 
 def route_novels(df: DataFrame, sites: Sequence[Site] = SITES, url: str = "url") -> DataFrame:
     """Append site, source_url and novel_id; unsupported URLs keep a null site."""
-    rules = rules_table(df.sparkSession, tuple(sites))
-    routed = R.route(df, rules, url).join(rules.select("site", "url_prefix"), "site", "left")
-    source = normalize_for_site(F.col(url), F.col("url_prefix"))
-    return (
-        routed.withColumn("source_url", source)
-        .withColumn("novel_id", entry_id(F.col("source_url")))
-        .drop("url_prefix", "host")
-    )
+    routed = df.withColumn("site", R.site_of(F.col(url), sites))
+    source = normalize_for_site(F.col(url), by_site(sites, lambda s: F.lit(s.url_prefix).cast("string")))
+    return routed.withColumn("source_url", source).withColumn("novel_id", entry_id(F.col("source_url")))
 
 
 def crawl(
@@ -278,6 +273,8 @@ def archives_of(result: Conversion, per_volume: int | None = None, images: DataF
     heads = meta.withColumn("title_page", page).join(record, "novel_id")
     chapters = result.chapters.withColumnRenamed("request_id", "novel_id")
     covers = None if images is None else book_covers(meta, images)
+    if per_volume is None:
+        return pack_books(heads, B.in_one_volume(chapters), covers, numbered=False)
     return pack_books(heads, B.with_volume(chapters, per_volume), covers)
 
 

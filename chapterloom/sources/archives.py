@@ -79,14 +79,18 @@ def _pack(head: dict, chapters: list[dict]) -> bytes:
 _COVER = {"cover": "binary", "media_type": "string", "cover_file": "string"}
 
 
-def pack_books(books: DataFrame, chapters: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+def pack_books(
+    books: DataFrame, chapters: DataFrame, covers: DataFrame | None = None, numbered: bool = True
+) -> DataFrame:
     """Archives from book heads and chapters, one row per (novel_id, volume).
 
     ``books`` has novel_id, title, language, title_page and record (the key /
     value pairs); ``chapters`` has novel_id, position, volume, title, html. The
     volume bounds a group, so a novel of any length is packed in pieces of
     limited size; ordinary novels have a single volume. Novels without
-    chapters give no archive. ``covers`` (novel_id, cover, media_type,
+    chapters give no archive. Without ``numbered`` a position only orders the
+    chapters of a volume, which are counted from 1 where they are packed: so
+    bodies go through one shuffle. ``covers`` (novel_id, cover, media_type,
     cover_file) meets the heads alone; a book without one is complete all the same.
     """
     blank = [F.lit(None).cast(kind).alias(name) for name, kind in _COVER.items()]
@@ -117,7 +121,10 @@ def pack_books(books: DataFrame, chapters: DataFrame, covers: DataFrame | None =
     arrow_result = to_arrow_schema(T._parse_datatype_string(result))
 
     def pack(group: pa.Table) -> pa.Table:
-        head, *packed = sorted(group.to_pylist(), key=lambda r: r["position"])
+        head, *packed = sorted(group.to_pylist(), key=lambda r: (r["record"] is None, r["position"]))
+        if not numbered:
+            for at, chapter in enumerate(packed, 1):
+                chapter["position"] = at
         volumes = []
         if packed:
             volumes.append(
