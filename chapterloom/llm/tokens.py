@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .encoding import SLICE, encoder
+from .encoding import KNOWN, SLICE, encoder
 from .frames import column
 
 #: Rows to an index entry, bytes to a stripe.
@@ -50,11 +50,11 @@ def in_order(docs: DataFrame) -> DataFrame:
     return narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Encode every whole text, append ``end_id`` and write the files to ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, known: int = KNOWN) -> None:
+    """Encode every whole text, append ``end_id`` and write the files to ``path``; ``known``: chunks that a worker remembers."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        code, part, at = encoder(tokenizer, known), TaskContext.get().partitionId(), 0
         for rows, raw, offsets in B.slices(batches, "text", SLICE):
             ids, first = with_end(*code.encode(raw, offsets)[:2], end_id)
             n = rows.num_rows
