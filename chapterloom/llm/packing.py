@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import textbytes as B
-from .encoding import SLICE, encoder
+from .encoding import KNOWN, SLICE, encoder, forget
 from .tokens import in_order, with_end
 
 WINDOW = 2048
@@ -54,25 +54,29 @@ def best_cuts(at: list[int], cost: list[int], window: int = WINDOW) -> list[int]
     ``at``: ascending positions, the first is where the first window begins, no two further
     apart than ``window``; ``cost``: the penalty of a cut at each.
     """
-    total = [0] * len(at)
-    came = [0] * len(at)
+    # Boundaries that are a smaller power of two apart, found beforehand: they are few.
+    place, near = np.asarray(at), {}
+    for length in (1 << k for k in range(7, window.bit_length()) if 1 << k < window):
+        back = np.searchsorted(place, place - length)
+        hit = np.flatnonzero(place[back] == place - length)
+        for j, i in zip(hit.tolist(), back[hit].tolist(), strict=True):
+            near.setdefault(j, []).append(i)
+    total, lead, came = [0] * len(at), [0] * len(at), [0] * len(at)
+    lead[0] = at[0]
     queue: deque[int] = deque([0])
-    small = [1 << k for k in range(7, window.bit_length()) if 1 << k < window]
-    where = {p: i for i, p in enumerate(at)}
     for j in range(1, len(at)):
         here = at[j]
         while at[queue[0]] < here - window:
             queue.popleft()
         i = queue[0]
-        best = total[i] + at[i] + window - here
-        for length in small:
-            k = where.get(here - length)
-            if k is not None and total[k] < best:
+        best = lead[i] + window - here
+        for k in near.get(j, ()):
+            if total[k] < best:
                 best, i = total[k], k
-        total[j] = best + cost[j] + WINDOW_COST
-        came[j] = i
-        key = total[j] + here
-        while queue and total[queue[-1]] + at[queue[-1]] >= key:
+        best += cost[j] + WINDOW_COST
+        total[j], came[j] = best, i
+        lead[j] = key = best + here
+        while queue and lead[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(at) - 1
@@ -100,12 +104,14 @@ def boundaries(raw, starts, first, rows) -> tuple[np.ndarray, np.ndarray]:
         word = first[np.minimum(near, len(first) - 1)] if len(first) else marks
         word = np.where((word > low) & (word < high) & (word - marks < STRETCH // 4), word, marks)
         extra.append(word)
-    more = np.unique(np.concatenate(extra)) if extra else np.zeros(0, np.int64)
-    every = np.union1d(at, more)
-    cost = np.full(len(every), WORD_COST)
-    cost[np.isin(every, at)] = SENTENCE_COST
-    cost[np.isin(every, ends)] = 0
+    # Cheaper kinds come first, and the first of equal positions counts.
+    kinds = [(ends, 0), (sentence, SENTENCE_COST), *((x, WORD_COST) for x in extra)]
+    every = np.concatenate([x for x, _ in kinds])
+    cost = np.repeat([c for _, c in kinds], [len(x) for x, _ in kinds])
+    order = np.argsort(every, kind="stable")
+    every, cost = every[order], cost[order]
     keep = every > 0
+    keep[1:] &= every[1:] != every[:-1]
     return every[keep], cost[keep]
 
 
@@ -152,20 +158,25 @@ class _Packer:
             end = begin + len(ids)
             stop = min(high, end)
             piece = ids[low - begin : stop - begin]
-            out.append((doc_id, low - begin, stop - low, zlib.crc32(piece.tobytes()), len(ids), number, offset, padded))
+            out.append((doc_id, low - begin, stop - low, zlib.crc32(piece), len(ids), number, offset, padded))
             offset += stop - low
             low = stop
             if stop == end:
                 self.docs.popleft()
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents, see ``PIECES``; every id lies in exactly one."""
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, known: int = KNOWN, last: bool = False
+) -> DataFrame:
+    """Pieces of all documents, see ``PIECES``; every id lies in exactly one.
+
+    ``known``: chunks that a worker remembers; with ``last`` it drops them after each task, for the sake of what else it runs.
+    """
     ordered = in_order(docs)
     id_type = dict(ordered.dtypes)["doc_id"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer = encoder(tokenizer), _Packer(TaskContext.get().partitionId(), window)
+        code, packer = encoder(tokenizer, known), _Packer(TaskContext.get().partitionId(), window)
         kind = None
         for rows, raw, offsets in B.slices(batches, "text", SLICE):
             kind = rows.schema.field("doc_id").type
@@ -176,6 +187,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
             packer.add(rows.column("doc_id").to_pylist(), ids, first, at, cost)
             yield from _batch(packer.settle(False), kind)
         yield from _batch(packer.settle(True), kind)
+        if last:
+            del code
+            forget()
+            B.give_back()
 
     return ordered.mapInArrow(packed, PIECES.format(id=id_type))
 

@@ -87,7 +87,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), known=1_200_000)
 
 
 @query()
@@ -164,7 +164,7 @@ def op9_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     path = shared_path(docs, "token-ids")
-    tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), known=1_000_000)
     return tokens.digests(tokens.read_tokens(spark, path))
 
 
