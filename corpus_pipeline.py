@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chapterloom.llm import decontam, jaccard, langid, packing, quality
-from chapterloom.llm.frames import column, ready, stored
+from chapterloom.llm.frames import SWEPT, column, ready, session_settings, stored
 from chapterloom.llm.queries import grades, learning, table
 
 #: A document stays if this share of its letters is of one language, and if good quality is at least this likely.
@@ -48,7 +48,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose grade is more likely the lowest; learned from ``labels``."""
     ready(spark)
-    model = quality.fit(docs, grades(spark, sf_dir))
+    with session_settings(spark, SWEPT):
+        model = quality.fit(docs, grades(spark, sf_dir))
     aside, held = _aside(docs)
     return _back(quality.grade(aside, model, held, above=0).where(F.col("tail") >= QUALITY_CHANCE), docs)
 
@@ -60,8 +61,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts go if one of them belongs to a group with a smaller id.
     """
     ready(spark)
-    groups = jaccard.similar_sets(docs, SHINGLE, SIMILAR, 100)
-    copies = stored(groups.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    with session_settings(spark, SWEPT):
+        groups = jaccard.similar_sets(docs, SHINGLE, SIMILAR, 100)
+        copies = stored(groups.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(copies, "doc_id", "left_anti")
     repeated = stored(
         docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids"
@@ -74,10 +76,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
     ready(spark)
-    found, _ = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hits = stored(
-        found.where("n_hit > 0").select(F.col("doc_id").alias("__hit"), F.col("text_key").alias("__key")).distinct(), "leaks"
-    )
+    with session_settings(spark, SWEPT):
+        found, _ = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+        hits = stored(
+            found.where("n_hit > 0").select(F.col("doc_id").alias("__hit"), F.col("text_key").alias("__key")).distinct(), "leaks"
+        )
     same = column(docs, "doc_id").eqNullSafe(F.col("__hit")) & F.xxhash64(column(docs, "text")).eqNullSafe(F.col("__key"))
     return docs.join(hits, same, "left_anti")
 
@@ -85,7 +88,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, see ``packing.PIECES``."""
     ready(spark)
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), known=400_000, last=True)
 
 
 STAGES = [
