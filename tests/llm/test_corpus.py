@@ -219,3 +219,31 @@ def test_divergence_of_odd_rows(spark):
     got = divergence.divergence(odd_docs(spark), 3).collect()
     assert sorted(tuple(r[c] for c in DIVERGENCE) for r in got) == divergence_rows([r[1:4] for r in odd_rows()], 3, 50)
     assert divergence.divergence(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_slices_keep_rows_and_words():
+    import pyarrow as pa
+
+    from chapterloom.llm import lexicon, textbytes as B
+
+    texts = ["A b", None, "", "c" * 50, "é A\tb", " ", "b" * 5] * 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 7)), pa.array(texts[i : i + 7], pa.string())], ["k", "text"]) for i in range(0, 140, 7)]
+    for limit in (1, 60, 400, 1 << 20):
+        parts = list(lexicon.slices(iter(batches), "text", limit))
+        assert [k for rows, _, _ in parts for k in rows.column("k").to_pylist()] == list(range(140))
+        found = []
+        for rows, raw, offsets in parts:
+            words = lexicon.Words(raw, offsets, B.VISIBLE)
+            listed = words.listed.to_pylist()
+            assert len(set(listed)) == len(listed) == len(words)
+            found += [[listed[n] for n in words.numbers[a:b]] for a, b in zip(words.first[:-1], words.first[1:])]
+        assert found == [visible_words(t) for t in texts]
+    assert [b.num_rows for b in lexicon.each(iter(batches), 3)] == [3, 3, 1] * 20
+
+
+def test_numbers_without_a_gap(spark):
+    from chapterloom.llm import lexicon
+
+    rows = lexicon.numbered(spark.range(1000).repartition(7).where("id % 3 > 0").withColumnRenamed("id", "n"), "numbers").collect()
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1)) and len({r.n for r in rows}) == len(rows) == 666
+    assert lexicon.numbered(spark.range(0).withColumnRenamed("id", "n"), "numbers").count() == 0
