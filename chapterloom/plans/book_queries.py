@@ -376,9 +376,9 @@ def import_library(spark, d):
     # An export holds twenty novels at most.
     listed = rows.groupBy("export_id").agg(F.sort_array(F.collect_list(F.struct("novel_id", "novel"))).alias("rows"))
     library_json = F.to_json(F.struct(F.transform("rows", lambda r: r["novel"]).alias("Library")))
-    exports = listed.select("export_id", F.encode(library_json, "UTF-8").alias("content")).union(
-        spark.range(1).select(F.lit(-1).cast("long"), F.encode(F.lit('{"Library": ["no novel"]}'), "UTF-8"))
-    )
+    readable = listed.select("export_id", F.encode(library_json, "UTF-8").alias("content"))
+    broken = spark.range(1).select(F.lit(-1).cast("long"), F.encode(F.lit('{"Library": ["no novel"]}'), "UTF-8"))
+    exports = checkpointed(readable.union(broken))  # exports are files in earnest
     known = archives.select(novel.alias("n")).distinct().filter("n % 11 = 0").select(
         entry_id(F.concat(F.lit("https://freewebnovel.com/novel/n-"), F.col("n").cast("string"))).alias("id"), F.lit("/books/novel-c.epub").alias("file_path")
     )
