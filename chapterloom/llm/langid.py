@@ -5,7 +5,7 @@ side), hashed to ``BUCKETS``, and for each script the languages that write at le
 letters in it. It is fitted on about ``sample`` labelled documents at most, dealt out evenly over the languages: rare ones
 give all they have. The counts are added up by Spark.
 
-Labelling: a word's script narrows its candidate languages; its trigrams score each. The best
+Labelling: a word's script, told by ranges of code points, narrows its candidate languages; its trigrams score each. The best
 sequence of labels pays ``SWITCH`` for each change of language. For most documents one language
 throughout is provably best (no other language gains more than half a switch on any stretch of
 words), which is seen from running sums; the others go through Viterbi, a batch of documents at a time.
@@ -34,13 +34,50 @@ SWITCH = 30.0
 SHARE = 0.001
 UNKNOWN = "und"
 
-#: Scripts by ranges of first bytes of UTF-8 (ASCII, U+0080-, U+0370-, U+0400-, U+0530-,
-#: U+0590-, U+0600-, U+0800-, U+1000-, U+2000-, U+3000-, U+AC00-, U+F900- and beyond).
-SCRIPT_FIRST_BYTES = (0x00, 0xC3, 0xCD, 0xD0, 0xD5, 0xD6, 0xD8, 0xE0, 0xE1, 0xE2, 0xE3, 0xEA, 0xEE)
-SCRIPTS = len(SCRIPT_FIRST_BYTES)
-_SCRIPT = np.searchsorted(SCRIPT_FIRST_BYTES, np.arange(256), "right").astype(np.uint8) - 1
-_SCRIPT[0x80:0xC3] = 0  # continuation bytes say nothing
-_SCRIPT[0xC3:0xCD] = 0  # Latin letters with marks
+#: Where scripts begin among the code points; each goes on to the next line. ``signs`` are no letters.
+SCRIPT_STARTS = (
+    (0x0000, "latin"), (0x0080, "signs"), (0x00C0, "latin"), (0x00D7, "signs"), (0x00D8, "latin"), (0x00F7, "signs"), (0x00F8, "latin"),
+    (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "syriac"),
+    (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "nko"), (0x0800, "samaritan"), (0x08A0, "arabic"), (0x0900, "devanagari"),
+    (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"),
+    (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"),
+    (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"), (0x1400, "canadian"),
+    (0x1680, "ogham"), (0x16A0, "runic"), (0x1700, "philippine"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "canadian"),
+    (0x1900, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1D00, "latin"), (0x1F00, "greek"),
+    (0x2000, "signs"), (0x2C00, "glagolitic"), (0x2C60, "latin"), (0x2C80, "coptic"), (0x2D00, "georgian"), (0x2D30, "tifinagh"),
+    (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"), (0x2E00, "signs"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"),
+    (0x3190, "signs"), (0x31F0, "kana"), (0x3200, "signs"), (0x3400, "han"), (0xA000, "yi"), (0xA4D0, "other"), (0xA640, "cyrillic"),
+    (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAB30, "latin"), (0xAB70, "cherokee"),
+    (0xABC0, "other"), (0xAC00, "hangul"), (0xD800, "signs"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"), (0xFE00, "signs"), (0xFE70, "arabic"), (0xFEFF, "signs"), (0xFF21, "latin"), (0xFF5B, "signs"), (0xFF66, "kana"),
+    (0xFFA0, "hangul"), (0xFFE0, "signs"), (0x10000, "other"), (0x1D000, "signs"), (0x1E000, "other"), (0x1F000, "signs"), (0x20000, "han"),
+    (0xE0000, "signs"),
+)
+_STARTS = np.array([at for at, _ in SCRIPT_STARTS])
+_NAMES = ["latin", *sorted({name for _, name in SCRIPT_STARTS} - {"latin", "signs"})]
+SCRIPTS = len(_NAMES)
+_NUMBERS = np.array([_NAMES.index(name) if name != "signs" else 0 for _, name in SCRIPT_STARTS], np.uint8)
+_SIGNS = np.array([name == "signs" for _, name in SCRIPT_STARTS])
+#: What a word costs in a language that is no candidate by its script: more than any switch, so it is never chosen.
+BARRED = 1000.0
+
+
+def letter_scripts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte the script of the letter that begins there, 0 (Latin) for all others, and whether a letter does."""
+    script, letter = np.zeros(len(raw), np.uint8), B.LETTER[raw] & (raw < 0x80)
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        first = raw[lead].astype(np.int64)
+        padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int64) & 0x3F
+        one, two, three = padded[lead + 1], padded[lead + 2], padded[lead + 3]
+        point = np.where(
+            first < 0xE0, (first & 0x1F) << 6 | one,
+            np.where(first < 0xF0, (first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three),
+        )
+        kind = np.searchsorted(_STARTS, point, "right") - 1
+        script[lead], letter[lead] = _NUMBERS[kind], ~_SIGNS[kind]
+    return script, letter
+
 
 _SYMBOL = np.full(256, 0x20, np.uint32)
 _SYMBOL[B.LETTER] = np.flatnonzero(B.LETTER)
@@ -75,13 +112,14 @@ def fit(docs: DataFrame, lang: Column, sample: int = SAMPLE) -> dict:
         totals: dict[str, np.ndarray] = {}
         for rows, raw, offsets in B.slices(batches, "text"):
             code, inside = trigrams(raw, offsets), B.LETTER[raw]
-            script = BUCKETS + _SCRIPT[raw].astype(np.int64)
+            script, letter = letter_scripts(raw)
+            script = BUCKETS + script.astype(np.int64)
             for i, name in enumerate(rows.column("lang").to_pylist()):
                 a, b = offsets[i], offsets[i + 1]
                 held = inside[a:b]
                 sums = totals.setdefault(name, np.zeros(BUCKETS + SCRIPTS, np.int64))
                 sums += np.bincount(code[a:b][held], minlength=BUCKETS + SCRIPTS)
-                sums += np.bincount(script[a:b][held], minlength=BUCKETS + SCRIPTS)
+                sums += np.bincount(script[a:b][letter[a:b]], minlength=BUCKETS + SCRIPTS)
         for name, sums in totals.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +153,7 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, switch: fl
         top = best[:live].argmax(1)
         moved = best[np.arange(live), top] - switch
         keep = best[:live] >= moved[:, None]
-        back.append(np.where(keep, stay, top[:, None]).astype(np.int8))
+        back.append(np.where(keep, stay, top[:, None]).astype(np.int32))
         best[:live] = np.where(keep, best[:live], moved[:, None]) + scores[first[:live] + t]
     out: list = [None] * len(order)
     for k, place in enumerate(order):
@@ -141,10 +179,11 @@ def label(model: dict, raw: np.ndarray, offsets: np.ndarray):
     scores = np.empty((count, words), np.float64)
     for k in range(count):
         scores[k] = np.add.reduceat(model["scores"][k][code], at)
-    script = np.maximum.reduceat(_SCRIPT[raw][inside], at)
+    script = np.maximum.reduceat(letter_scripts(raw)[0][inside], at)
     if script.any() or not model["allowed"][:, 0].all():
+        # A word's script leaves the languages that write in it; one that nobody learned says nothing.
         fits = model["allowed"][:, script]
-        scores = np.where(fits, scores, scores - 40.0)
+        scores = np.where(fits, scores, scores - BARRED)
         scores[:, ~fits.any(0)] = 0.0
     sums = np.zeros((count, words + 1))
     np.cumsum(scores, axis=1, out=sums[:, 1:])
@@ -156,7 +195,7 @@ def label(model: dict, raw: np.ndarray, offsets: np.ndarray):
     # A stretch on which another language gains more than half a switch needs the full search.
     odd = np.zeros(len(size), bool)
     own = scores[labels, np.arange(words)]
-    lift = row * 1e7  # keeps rows apart in one running minimum
+    lift = row * 1e10  # keeps rows apart in one running minimum
     for k in range(count):
         gain = np.cumsum(scores[k] - own)
         floor = np.minimum.accumulate((np.concatenate([[0.0], gain[:-1]])) - lift)
@@ -190,7 +229,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             lists, flat = np.zeros(n + 1, np.int64), [np.zeros(0, np.int64)] * 3
             if len(labels) and names:
                 row = np.repeat(np.arange(n), np.diff(first))
-                letters = np.bincount(row * len(names) + labels, ends - starts, n * len(names)).reshape(n, len(names))
+                script, letter = letter_scripts(raw)
+                of_word = np.add.reduceat(letter.astype(np.int64), starts)  # between words there are none
+                letters = np.bincount(row * len(names) + labels, of_word, n * len(names)).reshape(n, len(names))
                 pred = letters.argmax(1)
                 every = letters.sum(1)
                 score = letters.max(1) / np.maximum(every, 1)
@@ -200,9 +241,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 high = np.append(low[1:], len(labels)) - 1
                 flat = [labels[low], starts[low] - offsets[row[low]], ends[high] - offsets[row[low]]]
                 lists = np.searchsorted(low, first)
-                # No ASCII letter: bytes above 0x7F may be signs without a letter among them.
+                # No ASCII letter: what stands above 0x7F may be no letter, or one among the signs.
                 plain = np.bincount(row, np.add.reduceat(((raw < 0x80) & B.LETTER[raw]).astype(np.int64), starts), n)
-                unsure = np.flatnonzero((every > 0) & (plain == 0))
+                unsure = np.flatnonzero((np.diff(first) > 0) & (plain == 0))
                 none = every == 0
                 if len(unsure):
                     texts = rows.column("__text").take(pa.array(unsure)).to_pylist()

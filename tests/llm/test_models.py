@@ -49,6 +49,46 @@ def test_rare_language_is_learned_from_a_large_table(spark):
     assert 10 < frames.balanced(docs, "lang", F.col("doc_id"), 40).count() < 80
 
 
+def test_letters_are_counted_not_bytes(spark):
+    russian = "привет мир как дела сегодня хорошо"
+    rows = [(i, *pair) for i, pair in enumerate([(prose("en", 40, 1), "en"), (russian, "ru"), ("ᚠᚢᚦ ᚠᚢ", "runes"), ("これは テスト です", "ja"), ("สวัสดี ครับ", "th")] * 4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("lang"))
+    mixed = "the ander wher thing erand whing theranding ingtheander " + "привет мир как дела сегодня хорошо"
+    texts = [mixed, "“the” — ander’s", "กข", "テスト", "ªº", "漢字", "£€…", "ру the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    latin, cyrillic = sum(c.isascii() and c.isalpha() for c in mixed), sum("а" <= c <= "я" for c in mixed)
+    assert latin > cyrillic and 2 * cyrillic > latin
+    assert (got[0].lang_pred, got[0].score) == ("en", pytest.approx(latin / (latin + cyrillic)))
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["en", "th", "ja"] and got[1].score == 1.0
+    assert got[4].score == 0.0 and got[5].score == 1.0 and got[6].lang_pred == "und"
+    assert [s.lang for s in got[7].spans] == ["ru", "en"]  # a script bars the languages that do not write in it
+
+
+def test_two_hundred_languages():
+    rng = np.random.default_rng(8)
+    import pyarrow as pa
+
+    from chapterloom.llm import textbytes as B
+
+    count = 200
+    model = {"names": [f"l{k:03}" for k in range(count)], "allowed": np.ones((count, langid.SCRIPTS), bool), "switch": 2.0,
+             "scores": rng.normal(0, 0.6, (count, langid.BUCKETS)).astype(np.float32)}
+    texts = [" ".join("".join(rng.choice(list("abcdxyz"), 3)) for _ in range(12)) for _ in range(30)]
+    raw, offsets = B.flat(pa.array(texts))
+    starts, ends, first, labels = langid.label(model, raw, offsets)
+    code = langid.trigrams(raw, offsets)
+    assert labels.max() > 127
+    for i in range(30):
+        score = np.array([model["scores"][:, code[starts[w] : ends[w]]].sum(1) for w in range(first[i], first[i + 1])])
+        best = score[0]
+        for row in score[1:]:
+            best = np.maximum(best, best.max() - 2.0) + row
+        path = labels[first[i] : first[i + 1]]
+        value = sum(score[t, k] for t, k in enumerate(path)) - 2.0 * (np.diff(path) != 0).sum()
+        assert value == pytest.approx(best.max(), abs=1e-3)
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(4)
     model = {"names": ["a", "b", "c"], "allowed": np.ones((3, langid.SCRIPTS), bool), "switch": 3.0}
