@@ -9,11 +9,13 @@ with the block numbers of both.
 Answers are derived along set relations:
 
 1. Equal sets are one class; its representative answers for all.
-2. In each list every set is verified against one member of it. The links give first components:
-   sets in one need no more comparing, its answers are taken over.
-3. Lists that still hold several components unite them to families. Sets of one family but of different
-   components are compared in blocks; a block gives only what it links, so a dense family, such as
-   thousands of near copies, is compared in full without a row for each of its pairs.
+2. In each list every set is compared with one member of it, and in lists that this does not unite all pairs are, by
+   parities of their elements: about as many bits as a set has elements. Parities that differ in d bits prove that the
+   sets differ in d elements at least, so no similar pair is lost. What is left unites sets to families, and only
+   sets of families are read with their elements.
+3. The links of the lists' heads are verified and give first components: sets in one need no more comparing, its
+   answers are taken over. Sets of one family but of different components are compared in blocks; a block gives only
+   what it links, so a dense family, such as thousands of near copies, is compared in full without a row for each of its pairs.
 
 Lists are folded inside each part of a scan before they are shuffled, so a list that a third of all documents
 share arrives as one row a part. Components are found without gathering them.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .frames import column, stored
+from .frames import SWEPT, column, session_settings, stored
 from .graph import components
 
 SIZE, NUM, DEN = 3, 90, 100
@@ -43,6 +45,8 @@ SALTS = 16
 ENTERED = 2 << 20
 #: Sets and elements in one block of a family, and elements that are counted at once.
 BLOCK, BLOCK_ITEMS, COLUMNS = 1024, 500_000, 4096
+#: Most bits of a set's parities; sets of one list that meet in a task; their pairs that are looked at at once.
+PARITIES, MEETING, PAIRS = 1 << 16, 2048, 1 << 17
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -114,8 +118,59 @@ def _prints(sets: list[np.ndarray], turn: int) -> np.ndarray:
     return np.array(found, np.uint64).view(np.int64)
 
 
+def parities(elements: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls on each of 2 ** k bits, 64 at least, one an element or more up to ``PARITIES``."""
+    bits = min(PARITIES, max(64, 1 << max(0, len(elements) - 1).bit_length()))
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of many sets, compared at the width of the shorter ones."""
+
+    def __init__(self, column: pa.Array) -> None:
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        self.words = np.diff(at) // 8
+        self.width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        place = np.zeros(len(column), np.int64)
+        wider = np.zeros((0, 0), np.uint64)
+        rows = np.zeros(0, np.int64)
+        for words in np.unique(self.words)[::-1].tolist():
+            while wider.shape[0] and wider.shape[1] > words:  # halves fall on one another
+                half = wider.shape[1] // 2
+                wider = wider[:, :half] ^ wider[:, half:]
+            own = np.flatnonzero(self.words == words)
+            mine = raw[at[own][:, None] + np.arange(8 * words)].view("<u8")
+            wider = np.concatenate([wider.reshape(-1, words), mine])
+            rows = np.concatenate([rows, own])
+            place = place.copy()
+            place[rows] = np.arange(len(rows))
+            self.width[words] = place, wider
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the parities of rows ``i`` and ``j`` differ."""
+        common = np.minimum(self.words[i], self.words[j])
+        out = np.zeros(len(i), np.int64)
+        for words in np.unique(common).tolist():
+            place, bits = self.width[words]
+            at = np.flatnonzero(common == words)
+            strip = max(1, (1 << 20) // words)
+            for low in range(0, len(at), strip):
+                part = at[low : low + strip]
+                differ = bits[place[i[part]]] ^ bits[place[j[part]]]
+                out[part] = np.bitwise_count(differ).sum(1, dtype=np.int64)
+        return out
+
+
+def _may_link(differing: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of ``n`` elements together may be similar if they differ in so many elements or more."""
+    return differing * (num + den) <= n * (den - num)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, cid, check): set size and two fingerprints of the set; stored."""
+    """(doc_id, n, cid, check, bits): set size, two fingerprints and the parities of the set; stored."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in B.slices(batches, "text"):
@@ -123,14 +178,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)),
-                    pa.array(_prints(sets, 0)), pa.array(_prints(sets, 1)),
+                    pa.array(_prints(sets, 0)), pa.array(_prints(sets, 1)), pa.array([parities(s) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "cid", "check"],
+                ["doc_id", "n", "cid", "check", "bits"],
             )
 
     texts = _texts(docs)
     id_type = dict(texts.dtypes)["doc_id"]
-    return stored(texts.mapInArrow(signed, f"doc_id {id_type}, n long, cid long, check long"), "set-signatures")
+    return stored(texts.mapInArrow(signed, f"doc_id {id_type}, n long, cid long, check long, bits binary"), "set-signatures")
 
 
 def _heads(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,6 +273,104 @@ def elements_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stored(found.dropDuplicates(["cid"]), "set-elements")
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that parities (cid, n, bits) leave open."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = Parities(pa.concat_arrays([batch.column("ba"), batch.column("bb")]))
+            rows = np.arange(batch.num_rows)
+            differ = both.differing(rows, rows + batch.num_rows)
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(differ, n, num, den)))
+
+    left = sketches.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sketches.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long")
+
+
+def list_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that parities leave open between members (key, leader, cid, n, bits) of one list and different leaders.
+
+    Long lists are cut into blocks. A block gives the trees of what it unites, never the pairs.
+    """
+    sizes = rows.groupBy("key").count().where(F.col("count") > MEETING).select(
+        "key", F.ceil(F.col("count") / MEETING).cast("int").alias("parts")
+    )
+    cut = rows.join(sizes, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = each.select(
+        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "leader", "cid", "n", "bits",
+    )
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")])
+            new = np.flatnonzero(np.concatenate([[last != tuple(key[:, 0].tolist())], (key[:, 1:] != key[:, :-1]).any(0)]))
+            if len(new):  # all groups but the last have ended
+                held.append(batch.slice(0, new[-1]))
+                yield _possible_trees(held, num, den)
+                held = []
+                batch = batch.slice(new[-1])
+            held.append(batch)
+            last = tuple(key[:, -1].tolist())
+        if held:
+            yield _possible_trees(held, num, den)
+
+    keys = ["key", "p", "q"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "a long, b long").distinct()
+
+
+def _possible_trees(parts: list[pa.RecordBatch], num: int, den: int) -> pa.RecordBatch:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    names = ("key", "p", "q", "side", "leader", "cid", "n")
+    key, p, q, side, leader, cid, n = (table.column(c).to_numpy() for c in names)
+    label = np.arange(len(cid))
+    if len(cid) > 1:
+        bits = Parities(table.column("bits").chunk(0))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        ends = np.append(np.flatnonzero(new)[1:], len(cid))[np.cumsum(new) - 1]
+        after = ends - np.arange(len(cid)) - 1  # rows of its group behind each row
+        before = np.cumsum(after) - after
+        low = 0
+        while low < len(cid):
+            high = max(low + 1, int(np.searchsorted(before, before[low] + PAIRS)))
+            i = np.repeat(np.arange(low, high), after[low:high])
+            j = i + 1 + np.arange(len(i)) - (before[i] - before[low])
+            open_ = (leader[i] != leader[j]) & ((p[i] == q[i]) | (side[i] != side[j])) & (label[i] != label[j])
+            open_ &= np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+            i, j = i[open_], j[open_]
+            near = _may_link(bits.differing(i, j), n[i] + n[j], num, den)
+            label = _united(label, i[near], j[near])
+            low = high
+    ends = np.flatnonzero(label != np.arange(len(cid)))
+    return pa.RecordBatch.from_arrays([pa.array(cid[ends]), pa.array(cid[label[ends]])], ["a", "b"])
+
+
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest rows reached, after links between rows ``i`` and ``j``."""
+    label = label.copy()
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            new = label[label]
+            if (new == label).all():
+                break
+            label = new
+    return label
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with na, nb and the number of common elements."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
@@ -301,43 +454,10 @@ def _trees(parts: list[pa.RecordBatch], num: int, den: int) -> pa.RecordBatch:
 
 def similar_sets(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
-    signs = signatures(docs, size)
-    named = signs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    lists = index_lists(docs, size, num, den)
-    wanted = classes.join(lists.select("cid").distinct(), "cid").select("cid", F.col("rep").alias("doc_id"))
-    sets = elements_of(docs, wanted, size)
-
-    def linked(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("common") * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-    # The same block keys come from either class group, so the pairs are few beside the entries.
-    first = ordered(lists.where("other IS NOT NULL").select(F.col("other").alias("a"), F.col("cid").alias("b")))
-    links = stored(linked(overlaps(first, sets)), "first-links")
-    groups = components(links)
-
-    # Lists whose members are not all in one component, united to families.
-    placed = lists.select("key", "cid").distinct().join(groups.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("component", "cid").alias("leader")
-    )
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("leader").alias("low"), F.max("leader").alias("high"), F.count(F.lit(1)).alias("held"))
-        .where("low < high AND held > 2")  # the two of a list of two were verified
-        .select("key", "low")
-    )
-    open_ = stored(placed.join(mixed, "key"), "open-lists")
-    families = components(open_.select(F.col("leader").alias("a"), F.col("low").alias("b")))
-    members = (
-        open_.select("cid", "leader").distinct()
-        .join(families.select(F.col("node").alias("leader"), F.col("component").alias("family")), "leader")
-        .join(sets, "cid")
-    )
-    more = family_links(members, num, den)
-    joined = components(links.union(more))
+    with session_settings(docs.sparkSession, SWEPT):
+        signs = signatures(docs, size)
+        joined = _components(docs, signs, size, num, den)
+    classes = _classes(signs)
     named_groups = (
         classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left")
         .where("members > 1 OR component IS NOT NULL")
@@ -355,3 +475,51 @@ def similar_sets(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = D
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def _classes(signs: DataFrame) -> DataFrame:
+    """Equal sets: (cid, check, n, rep, members)."""
+    named = signs.where("n > 0 AND doc_id IS NOT NULL")
+    return named.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+
+
+def _components(docs: DataFrame, signs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(node, component) of all sets that are linked with another."""
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("common") * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+    def led(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        named = groups.select(F.col("node").alias("cid"), F.col("component").alias("leader"))
+        return rows.join(named, "cid", "left").withColumn("leader", F.coalesce("leader", "cid"))
+
+    lists = index_lists(docs, size, num, den)
+    representatives = signs.join(_classes(signs).select("cid", F.col("rep").alias("doc_id")), ["cid", "doc_id"])
+    listed = representatives.join(lists.select("cid").distinct(), "cid", "left_semi")
+    sketches = stored(listed.select("cid", "doc_id", "n", "bits").dropDuplicates(["cid"]), "set-parities")
+
+    # The same block keys come from either class group, so the pairs are few beside the entries.
+    first = ordered(lists.where("other IS NOT NULL").select(F.col("other").alias("a"), F.col("cid").alias("b")))
+    first = stored(possible(first, sketches, num, den), "first-pairs")
+
+    # Lists whose members are not all united yet.
+    placed = led(lists.select("key", "cid").distinct(), components(first))
+    mixed = (
+        placed.groupBy("key")
+        .agg(F.min("leader").alias("low"), F.max("leader").alias("high"), F.count(F.lit(1)).alias("held"))
+        .where("low < high AND held > 2")  # the two of a list of two were compared
+        .select("key")
+    )
+    open_ = placed.join(mixed, "key").join(sketches.select("cid", "n", "bits"), "cid")
+    second = stored(list_links(open_, num, den), "second-pairs")
+    families = components(first.union(second)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+
+    sets = elements_of(docs, sketches.join(families, "cid").select("cid", "doc_id"), size)
+    links = stored(linked(overlaps(first, sets)), "first-links")
+    members = led(families, components(links))
+    mixed = members.groupBy("family").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low < high")
+    more = family_links(members.join(mixed.select("family"), "family").join(sets, "cid"), num, den)
+    return components(links.union(more))

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from chapterloom.llm import decontam, jaccard, neardup
@@ -136,6 +137,67 @@ def test_blocks_of_a_family_find_what_stars_leave_open(spark):
     assert _smallest(range(40), [(r.a, r.b) for r in got]) == _smallest(range(40), links) and links
 
 
+def test_parities_never_part_similar_sets():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (0, 1, 5, 63, 64, 65, 300, 900, 1100, 70_000, 140_000):
+        base = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[n // 12 :]), np.unique(np.append(base[n // 20 :], rng.integers(1 << 63, size=n // 20, dtype=np.uint64)))]
+    bits = jaccard.Parities(pa.array([jaccard.parities(s) for s in sets], pa.binary()))
+    i, j = (x.ravel() for x in np.mgrid[: len(sets), : len(sets)])
+    found = bits.differing(i, j)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (found <= apart).all() and (found[i == j] == 0).all()
+    n = np.array([len(s) for s in sets])
+    kept = jaccard._may_link(found, n[i] + n[j], 80, 100)
+    unlike = (n[i] > 50) & (n[j] < 60_000) & (n[j] <= n[i]) & (n[j] * 100 >= n[i] * 80) & (i // 3 != j // 3)
+    assert unlike.any() and not kept[unlike].any()
+
+
+def test_sets_that_only_share_lists_are_not_read(spark, monkeypatch):
+    """A passage in all documents puts them on common lists; before, that made one family, compared by pairs of blocks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    passage = " ".join(word() for _ in range(300))
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(200))}") for i in range(60)]
+    rows.append((99, rows[7][1] + " end"))
+    read = []
+    whole = jaccard.elements_of
+    monkeypatch.setattr(jaccard, "elements_of", lambda docs, wanted, size: read.append(wanted.count()) or whole(docs, wanted, size))
+    monkeypatch.setattr(jaccard, "MEETING", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_sets(docs, 5, 80, 100).collect()}
+    assert got == {i: 7 if i == 99 else i for i, _ in rows} and read == [2]
+
+
+def test_shuffle_files_of_a_set_join_go_with_its_steps(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name, None), []
+    whole = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, at: seen.append(spark.conf.get(name)) or whole(df, at))
+    jaccard.similar_sets(odd_docs(spark)).collect()
+    assert set(seen) == {"true"} and spark.conf.get(name, None) == before
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    """Links between members of one list, also where its blocks are small."""
+    monkeypatch.setattr(jaccard, "MEETING", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 5)
+    rng = np.random.default_rng(6)
+    rows, groups = [], {}
+    for g in range(9):
+        base = rng.integers(1 << 62, size=100, dtype=np.uint64)
+        for k in range(5):
+            cid = 10 * g + k
+            s = np.unique(np.append(base[k:], rng.integers(1 << 62, size=k, dtype=np.uint64)))
+            rows.append((1, cid, cid, len(s), bytearray(jaccard.parities(s))))
+            groups[cid] = g
+    lists = spark.createDataFrame(rows, "key long, leader long, cid long, n long, bits binary")
+    got = [(r.a, r.b) for r in jaccard.list_links(lists, 85, 100).collect()]
+    assert all(groups[a] == groups[b] for a, b in got)
+    assert _smallest(set(groups), got) == {c: 10 * g for c, g in groups.items()}
+
+
 def test_star_contraction(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + k) for k in range(1, 80)]
