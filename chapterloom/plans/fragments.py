@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.nodes import el, path
 from ..operators.ordering import MINUTE_US, with_ordinal
+from ..session import page_batches
 from ..sources.html_nodes import with_nodes
 from ..sources.pages import spread, table
 
@@ -25,6 +26,7 @@ def micros(ts: Column) -> Column:
 
 def page_nodes(spark: SparkSession, d: str, html: Column | None = None) -> DataFrame:
     """Pages with nodes, optionally of a changed page text."""
+    page_batches(spark)
     pages = spread(table(spark, d, "pages").select("page_id", "url", "html"))
     return with_nodes(pages.withColumn("html", html) if html is not None else pages)
 

@@ -39,6 +39,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Pages that go to a Python worker at once.
+PAGE_ROWS = 512
+
+
+def page_batches(spark: SparkSession) -> None:
+    """Batches of few pages: what a Python worker holds does not follow the rows of its task. Smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= PAGE_ROWS:
+        spark.conf.set(name, str(PAGE_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

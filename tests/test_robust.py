@@ -53,3 +53,22 @@ def test_an_archive_is_read_whole_or_not_at_all(spark):
     documents = A.explode_archives(df)
     assert sorted((r.archive_id, r.spine) for r in documents.collect()) == [(1, 1), (1, 2)]
     assert [r.archive_id for r in A.unreadable_archives(df, documents).collect()] == [2]
+
+
+def test_python_gets_few_pages_at_once(spark, tmp_path):
+    """Batches were as large as the session's setting let them be, here a whole task's rows."""
+    from chapterloom.plans.fragments import page_nodes
+    from chapterloom.session import PAGE_ROWS
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = [(i, f"https://a.example.org/{i}", "<p>t</p>") for i in range(2 * PAGE_ROWS + 7)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    sizes = lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        for given, most in (("10000", PAGE_ROWS), ("0", PAGE_ROWS), ("100", 100)):
+            spark.conf.set(name, given)
+            seen = [r.n for r in page_nodes(spark, str(tmp_path)).coalesce(1).select("page_id").mapInArrow(sizes, "n long").collect()]
+            assert sum(seen) == len(rows) and max(seen) <= most
+    finally:
+        spark.conf.set(name, before)
