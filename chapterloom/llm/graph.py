@@ -1,33 +1,93 @@
-"""Connected components by star contraction; no component ever meets in one task."""
+"""Connected components by star contraction; no component ever meets in one task.
+
+What a task reads or is dealt is united first, a bounded number of links at a time: a group of links becomes a star around
+its smallest node. That leaves few links and few rounds, and each round costs the driver its plans.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from .frames import stored
 
 ROUNDS = 64
+#: Links that are united at once.
+UNITED = 1 << 18
+
+
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest rows reached, after links between rows ``i`` and ``j``."""
+    label = label.copy()
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            new = label[label]
+            if (new == label).all():
+                break
+            label = new
+    return label
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b), ``a`` above ``b``, that unite in each task what its ``links`` unite."""
+
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= UNITED:
+                yield _star_rows(held)
+                held = []
+        if held:
+            yield _star_rows(held)
+
+    return links.mapInArrow(contracted, "a long, b long")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
-    return row.n, row.h
+def _star_rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x.column(c).to_numpy() for x in parts]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = united(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    leaves = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[leaves]), pa.array(nodes[label[leaves]])], ["a", "b"])
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """United where they lie, then where they are dealt to; stored."""
+    return stored(_stars(_stars(links.where("a <> b").select("a", "b")).distinct()), "graph-links")
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    """(node, component, open): the smallest neighbour or the node itself, and whether the node is more than a leaf or a root; stored."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("node")).agg(
+        F.min("b").alias("low"), F.max("b").alias("top"), F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("high")
+    )
+    star = (F.col("low") > F.col("node")) | ((F.col("low") == F.col("high")) & (F.col("top") < F.col("node")))
+    return stored(near.select("node", F.least("low", "node").alias("component"), (~star).alias("open")), "graph-nodes")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for all ends of ``links`` (a, b): the smallest node that links reach.
+    """(node, component) for all ends of ``links`` (a, b), 64-bit numbers: the smallest node that links reach.
 
-    Large-star and small-star steps in turn until nothing changes. The smallest neighbour
+    Large-star and small-star steps in turn until all is stars. The smallest neighbour
     of a node is a combined minimum; joins are by node, where adaptive execution splits a hot one.
     """
-    edges = checkpointed(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    seen = _state(edges)
+    edges = _contracted(links)
+    nodes = _nodes(edges)
     for _ in range(ROUNDS):
+        if nodes.where("open").isEmpty():
+            break
+        least = nodes.select(F.col("node").alias("a"), F.col("component").alias("m"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
             both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).union(least.where("m < a").select("a", F.col("m").alias("b")))
@@ -36,12 +96,6 @@ def components(links: DataFrame) -> DataFrame:
         small = (
             large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).union(least.select("a", F.col("m").alias("b")))
-        edges = checkpointed(
-            small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        )
-        now = _state(edges)
-        if now == seen:
-            break
-        seen = now
-    nodes = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return nodes.union(edges.select("b", "b").distinct())
+        edges = _contracted(small)
+        nodes = _nodes(edges)
+    return nodes.select("node", "component")

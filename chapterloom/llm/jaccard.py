@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as B
 from .frames import SWEPT, column, session_settings, stored
-from .graph import components
+from .graph import components, united
 
 SIZE, NUM, DEN = 3, 90, 100
 SALTS = 16
@@ -349,28 +349,12 @@ def _possible_trees(parts: list[pa.RecordBatch], num: int, den: int) -> pa.Recor
             open_ &= np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
             i, j = i[open_], j[open_]
             near = _may_link(bits.differing(i, j), n[i] + n[j], num, den)
-            label = _united(label, i[near], j[near])
+            label = united(label, i[near], j[near])
             low = high
     ends = np.flatnonzero(label != np.arange(len(cid)))
     return pa.RecordBatch.from_arrays([pa.array(cid[ends]), pa.array(cid[label[ends]])], ["a", "b"])
 
 
-def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest rows reached, after links between rows ``i`` and ``j``."""
-    label = label.copy()
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            new = label[label]
-            if (new == label).all():
-                break
-            label = new
-    return label
-
-
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with na, nb and the number of common elements."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
@@ -519,7 +503,7 @@ def _components(docs: DataFrame, signs: DataFrame, size: int, num: int, den: int
 
     sets = elements_of(docs, sketches.join(families, "cid").select("cid", "doc_id"), size)
     links = stored(linked(overlaps(first, sets)), "first-links")
-    members = led(families, components(links))
+    members = stored(led(families, components(links)), "family-members")
     mixed = members.groupBy("family").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low < high")
     more = family_links(members.join(mixed.select("family"), "family").join(sets, "cid"), num, den)
-    return components(links.union(more))
+    return components(links.union(stored(more, "family-links")))

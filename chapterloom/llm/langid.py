@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,15 +127,16 @@ def fit(docs: DataFrame, lang: Column, sample: int = SAMPLE) -> dict:
                 [pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"]
             )
 
-    # Of fixed size: at most BUCKETS + SCRIPTS rows a language.
+    # Of fixed size: at most BUCKETS + SCRIPTS rows a language, and no object for each of them on the driver.
     got = (
         chosen.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    ).collect()
-    names = sorted({r.lang for r in got})
+    ).toArrow().combine_chunks()
+    found = got.column("lang").unique().to_pylist()
+    names = sorted(found)
     counts = np.zeros((len(names), BUCKETS + SCRIPTS))
-    place = {name: i for i, name in enumerate(names)}
-    for r in got:
-        counts[place[r.lang], r.bucket] = r.n
+    place = np.array([names.index(name) for name in found], np.int64)
+    at = pc.index_in(got.column("lang"), pa.array(found, got.schema.field("lang").type)).to_numpy()
+    counts[place[at], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     grams, scripts = counts[:, :BUCKETS] + 0.1, counts[:, BUCKETS:]
     scores = np.log(grams / grams.sum(1, keepdims=True))
     allowed = scripts >= SHARE * scripts.sum(1, keepdims=True)

@@ -33,6 +33,8 @@ SAMPLE = 8_000
 BUCKETS = 1 << 18
 ROUNDS, EPOCHS, SHARES, BATCH = 4, 2, 6, 128
 STEP, SHRINK = 0.3, 1e-6
+#: Numbers of a model that are averaged at once.
+PIECE = 1 << 15
 SCALE = 4.0
 
 
@@ -112,12 +114,24 @@ def _trainer(weights, memory, thresholds, seed: int, place: dict[int, int]):
         held = [(np.frombuffer(b, "<i4"), n, place[g]) for _, g, b, n in sorted(zip(*columns, strict=True))]
         w, m, t = weights.copy(), memory.copy(), thresholds.copy()
         refine(w, m, t, held, seed)
-        model = np.concatenate([t, w, m]).astype("<f4").tobytes()
-        return pa.table({"n": pa.array([len(held)], pa.int64()), "model": pa.array([model])})
+        model = np.concatenate([t, w, m]).astype("<f4")
+        pieces = [model[low : low + PIECE].tobytes() for low in range(0, len(model), PIECE)]
+        return pa.table({
+            "n": pa.array([len(held)] * len(pieces), pa.int64()), "head": pa.array([pieces[0][:256]] * len(pieces), pa.binary()),
+            "piece": pa.array(range(len(pieces)), pa.int32()), "model": pa.array(pieces, pa.binary()),
+        })
 
     return trained
 
 
+def _averaged(part: pa.Table) -> pa.Table:
+    """The mean of one piece of the models of all shares."""
+    shares = sorted(zip(*(part.column(c).to_pylist() for c in ("n", "head", "model")), strict=True))
+    total = sum(n for n, _, _ in shares)
+    mean = sum(np.frombuffer(model, "<f4").astype(float) * (n / total) for n, _, model in shares)
+    return pa.table({"piece": part.column("piece")[:1].cast(pa.int32()), "mean": pa.array([mean.astype("<f8").tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     """Model from ``ratings`` (doc_id, grade): ``grades``, ``weights``, ``thresholds``."""
     rated = ratings.select(
@@ -148,13 +162,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     thresholds = np.linspace(-1.0, 1.0, len(grades) - 1)
 
     for round_ in range(ROUNDS):
-        # One model a share, so what comes back has a fixed size.
+        # One model a share, averaged by pieces, so what comes back is one model, of a fixed size.
         shares = examples.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).applyInArrow(
-            _trainer(weights, memory, thresholds, round_, place), "n long, model binary"
-        ).collect()
-        total = sum(s.n for s in shares)
-        models = sorted((s.n, bytes(s.model)) for s in shares)
-        mean = sum(np.frombuffer(model, "<f4").astype(float) * (n / total) for n, model in models)
+            _trainer(weights, memory, thresholds, round_, place), "n long, head binary, piece int, model binary"
+        )
+        pieces = shares.groupBy("piece").applyInArrow(_averaged, "piece int, mean binary").toArrow().sort_by("piece")
+        mean = np.concatenate([np.frombuffer(x.as_buffer(), "<f8") for x in pieces.column("mean")])
         k = len(thresholds)
         thresholds, weights, memory = mean[:k], mean[k : k + BUCKETS], mean[k + BUCKETS :]
     return {"grades": grades, "weights": weights.astype(np.float32), "thresholds": thresholds}

@@ -209,6 +209,41 @@ def test_star_contraction(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_need_few_jobs(spark):
+    """The driver holds plans, jobs and stages, so a small graph must not take many."""
+    links = [(100 * i, 100 * i + k) for i in range(50) for k in range(1, 9)] + [(i, i + 1) for i in range(5000, 5040)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    try:
+        got = components(frame)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 10
+    assert {r.node: r.component for r in got.collect()} == _smallest({n for x in links for n in x}, links)
+
+
+def test_components_of_links_that_no_task_holds_together(spark, monkeypatch):
+    from chapterloom.llm import graph
+
+    rounds = []
+    nodes = graph._nodes
+    monkeypatch.setattr(graph, "_nodes", lambda edges: rounds.append(1) or nodes(edges))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        monkeypatch.setattr(graph, "UNITED", 1)
+        rng = random.Random(3)
+        links = [(i + 1, i) for i in range(60)] + [(200, 200 + k) for k in range(1, 70)]
+        links += [(rng.randint(500, 560), rng.randint(500, 560)) for _ in range(70)] + [(None, 3), (3, None), (9, 9)]
+        rng.shuffle(links)
+        got = components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    finally:
+        spark.conf.unset(name)
+    real = [x for x in links if None not in x and x[0] != x[1]]
+    assert len(got) == len({r.node for r in got}) and len(rounds) > 2
+    assert {r.node: r.component for r in got} == _smallest({n for x in real for n in x}, real)
+
+
 VECTORS = T.StructType(
     [
         T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),

@@ -141,6 +141,30 @@ def test_models_without_anything_to_learn(spark):
         assert len(scored) == len(odd_rows()) and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_one_model_a_round_comes_to_the_driver(spark, monkeypatch):
+    """Before, each round brought the models of all shares, in rows of 2 MB."""
+    frame, seen = type(spark.range(0)), []
+    collect, to_arrow = frame.collect, frame.toArrow
+
+    def collected(df):
+        rows = collect(df)
+        seen.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    def arrow(df):
+        table = to_arrow(df)
+        seen.append(table.nbytes)
+        return table
+
+    monkeypatch.setattr(frame, "collect", collected)
+    monkeypatch.setattr(frame, "toArrow", arrow)
+    docs = odd_docs(spark)
+    ids = [r.doc_id for r in docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id").collect()]
+    model = quality.fit(docs, spark.createDataFrame([(i, k % 3) for k, i in enumerate(ids)], "doc_id long, grade int"))
+    assert model["grades"] == [0, 1, 2] and len(model["weights"]) == quality.BUCKETS and len(model["thresholds"]) == 2
+    assert max(seen) < 1.1 * 2 * quality.BUCKETS * 8
+
+
 def test_windows_tile_every_text():
     import pyarrow as pa
 
