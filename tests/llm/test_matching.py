@@ -244,6 +244,38 @@ def test_components_of_links_that_no_task_holds_together(spark, monkeypatch):
     assert {r.node: r.component for r in got} == _smallest({n for x in real for n in x}, real)
 
 
+def test_components_of_few_links_need_few_jobs_however_many_tasks_shuffles_have(spark):
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = spark.conf.get(names[1])
+    rng = random.Random(5)
+    links = [(i + 1, i) for i in range(200)] + [(500, 500 + k) for k in range(1, 200)]
+    links += [(rng.randint(900, 1100), rng.randint(900, 1100)) for _ in range(200)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    spark.conf.set(names[0], "false")
+    spark.conf.set(names[1], "40")
+    spark.sparkContext.setJobGroup("many-tasks", "components")
+    try:
+        got = components(frame).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(names[0])
+        spark.conf.set(names[1], before)
+    real = [x for x in links if x[0] != x[1]]
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == _smallest({n for x in real for n in x}, real)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-tasks")) <= 8
+
+
+def test_trees_that_share_a_leaf_meet(spark, monkeypatch):
+    from chapterloom.llm import graph
+
+    monkeypatch.setattr(graph, "UNITED", 4)
+    trees = spark.createDataFrame([(100 + k, k) for k in range(6)] + [(100 + k, 10 + k) for k in range(6)], "a long, b long")
+    got = graph._contracted(trees.repartition(6, "b"), 3).collect()
+    assert {(10 + k, k) for k in range(6)} <= {(r.a, r.b) for r in got}
+
+
 VECTORS = T.StructType(
     [
         T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
